@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import formatting
+from loomstone.llm import formatting, truncation
 from loomstone.session import table
 
 
@@ -19,7 +19,20 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return formatting.collapse(table(spark, d, "shard_atoms"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, d, "documents"))
+
+
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The hidden limits of each source and how many texts stop there."""
+    return truncation.hidden_limits(truncation.measured_texts(table(spark, d, "documents")).drop("text", "doc_id"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits}
 SQL: dict[str, str] = {}
 
 
