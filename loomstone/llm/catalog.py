@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import formatting, truncation
+from loomstone.llm import formatting, leakage, truncation
 from loomstone.session import table
 
 
@@ -32,7 +32,15 @@ def p9_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.hidden_limits(truncation.measured_texts(table(spark, d, "documents")).drop("text", "doc_id"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.item_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits}
 SQL: dict[str, str] = {}
 
 

@@ -134,8 +134,9 @@ def inspect(text: str) -> tuple[str, str]:
         return "whole", ""
     if re.match(r"^\s*#{1,6}\s+\S", last) or re.match(r"^\s*==+\s*\S", last):
         return "odd", ""
-    if not _SENTENCES.search(body):
-        return "odd", ""
+    tail = "\n".join(reversed(block))
+    if not _SENTENCES.search(body) or (len(tail.split()) >= 25 and not re.search(r"[.?!,;:](?:\s|$)", tail)):
+        return "odd", ""  # written without punctuation
     return "cut", ""
 
 
