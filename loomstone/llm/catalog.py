@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import formatting, leakage, truncation
+from loomstone.llm import formatting, leakage, mixing, truncation
 from loomstone.session import table
 
 
@@ -40,7 +40,19 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.item_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits}
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_curriculum(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.curriculum(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_curriculum": p8_curriculum, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits}
 SQL: dict[str, str] = {}
 
 
