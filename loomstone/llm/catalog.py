@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import formatting, leakage, mixing, truncation
+from loomstone.llm import formatting, leakage, mixing, names, truncation
 from loomstone.session import table
 
 
@@ -52,7 +52,20 @@ def p8_curriculum(spark: SparkSession, d: str) -> DataFrame:
     return mixing.curriculum(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_curriculum": p8_curriculum, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_names(table(spark, d, "name_variants"), table(spark, d, "person_entities")).select("entity_id", "variant_id")
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Per linked entity: how many variants and different spellings mean it."""
+    typed = table(spark, d, "name_variants")
+    links = names.link_names(typed, table(spark, d, "person_entities"))
+    return links.join(typed.select("variant_id", "variant"), "variant_id").groupBy("entity_id").agg(
+        F.count("*").alias("variants"), F.countDistinct("variant").alias("spellings")
+    )
+
+
+QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_curriculum": p8_curriculum, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits}
 SQL: dict[str, str] = {}
 
 
