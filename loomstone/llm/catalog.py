@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import formatting, leakage, mixing, names, truncation
+from loomstone.llm import formatting, leakage, matching, mixing, names, truncation
 from loomstone.session import table
 
 
@@ -65,7 +65,18 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_curriculum": p8_curriculum, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits}
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = matching.match(table(spark, d, "publication_entities"), table(spark, d, "publication_sightings"))
+    return rows.where("entity_id is not null").select("entity_id", "sighting_id").distinct()
+
+
+def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every sighting with its work, if any, and the confidence."""
+    rows = matching.match(table(spark, d, "publication_entities"), table(spark, d, "publication_sightings"))
+    return rows.withColumn("confidence", F.round("confidence", 4))
+
+
+QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p5_found": p5_found, "p5_groups": p5_groups, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_curriculum": p8_curriculum, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits}
 SQL: dict[str, str] = {}
 
 
