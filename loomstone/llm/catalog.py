@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import formatting, leakage, matching, mixing, names, truncation
+from loomstone.llm import formatting, leakage, matching, mixing, names, personal, truncation
 from loomstone.session import table
 
 
@@ -76,7 +76,16 @@ def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("confidence", F.round("confidence", 4))
 
 
-QUERIES = {"p1_found": p1_found, "p1_confidence": p1_confidence, "p5_found": p5_found, "p5_groups": p5_groups, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_curriculum": p8_curriculum, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found(table(spark, d, "hook_payloads"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of the three fields with its items replaced by placeholders."""
+    return personal.tagged(table(spark, d, "hook_payloads")).select("payload_id", "field", "redacted", F.size("items").alias("items"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p1_found": p1_found, "p1_confidence": p1_confidence, "p5_found": p5_found, "p5_groups": p5_groups, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_curriculum": p8_curriculum, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits}
 SQL: dict[str, str] = {}
 
 

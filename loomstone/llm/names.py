@@ -43,7 +43,7 @@ elizabeth: liz beth betty eliza lizzie bess libby elsie; francisco: paco pancho
 gabriela: gabi gaby bri; giuseppe: beppe pino peppe joe; guillermo: memo guille willy gil; henrietta: etta hettie hetty harriet
 ignacio: nacho iggy; jacqueline: jackie jacqui; johannes: hans jo johann hannes jan; katherine: kate kathy kat katie kit kay
 leonardo: leo nardo lenny; leopold: leo poldi; lucía: lucy luz; margaret: peggy meg maggie greta rita madge; mikhail: misha mike
-nikolai: kolya nick niko; ottoline: otto lina ottie; patricia: pat trish tricia patty; philippa: pippa pip; quentin: quin quent
+nikolai: kolya nick niko; ottoline: otto lina ottie; patricia: pat trish tricia patty; philippa: pippa; quentin: quin quent
 richard: dick rick rich richie ricky; robert: bob rob bobby bert robin; rosalind: roz linda rosa ros; susannah: sue susie zanna susan
 theodora: thea dora teddy theo; tomas: tom tommy; umberto: berto; valentina: val tina valya; vincenzo: enzo vince vinny
 wilhelmina: willa mina minnie billie wilma; william: bill will liam billy willy; yevgenia: zhenya genya jenya; zachary: zach zack zak
