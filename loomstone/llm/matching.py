@@ -81,15 +81,16 @@ def keys_of(title: str | None, author: str | None, year: str | None, work: bool)
     return out
 
 
-def _keys(work: bool):
+def heads_of(title: str | None) -> list[str]:
+    """The first letters of a title's words, each once."""
+    return sorted({w[:3] for w in title_words(title or "")})
+
+
+def _prepare(work: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                (i, k)
-                for i, t, a, y in pdf[["id", "title", "author", "year"]].itertuples(index=False)
-                for k in keys_of(t, a, y, work)
-            ]
-            yield pd.DataFrame(rows, columns=["id", "key"])
+            rows = list(pdf[["title", "author", "year"]].itertuples(index=False))
+            yield pdf.assign(heads=[heads_of(r.title) for r in rows], keys=[sorted(keys_of(*r, work)) for r in rows])
 
     return run
 
@@ -187,13 +188,15 @@ def venue_cost(a: str | None, b: str | None) -> float:
 
 def log_odds(work: tuple, seen: tuple) -> float | None:
     """(title, author, year, venue) of a work and a sighting -> log-odds."""
-    title = title_cost(work[0] or "", seen[0] or "")
-    if title is None:
-        return None
-    total = 1.0 - 1.2 * title
+    total = 1.0
+    x, y = year_of(work[2]), year_of(seen[2])
+    if x is not None and y is not None:
+        if abs(x - y) > 1:
+            return None
+        total += 1.5 if x == y else 0.2
     a, b = author_key(work[1]), author_key(seen[1])
     if a and b:
-        d = typos(a, b, 3)
+        d = 0.0 if a == b else typos(a, b, 3)
         if d <= 2 and min(len(a), len(b)) > 3 or d == 0:
             total += 3.0 - 0.8 * d
         elif d <= 3 and min(len(a), len(b)) >= 10:
@@ -202,12 +205,10 @@ def log_odds(work: tuple, seen: tuple) -> float | None:
             total += 1.5
         else:
             return None
-    x, y = year_of(work[2]), year_of(seen[2])
-    if x is not None and y is not None:
-        if abs(x - y) > 1:
-            return None
-        total += 1.5 if x == y else 0.2
-    return total + venue_cost(work[3], seen[3])
+    title = title_cost(work[0] or "", seen[0] or "")
+    if title is None:
+        return None
+    return total - 1.2 * title + venue_cost(work[3], seen[3])
 
 
 def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,13 +227,22 @@ def candidate_edges(works: DataFrame, sightings: DataFrame) -> DataFrame:
     seen = sightings.select(
         F.col("sighting_id").cast("long").alias("id"), F.coalesce("source_name", F.lit("")).alias("source"), "title", F.col("first_author_last").alias("author"), "year", "venue"
     ).dropDuplicates(["id"])
-    own, seen = materialize(own), materialize(seen)
-    left = seen.drop("source", "venue").mapInPandas(_keys(False), "id long, key string").select(F.col("id").alias("s"), F.xxhash64("key").alias("key"))
-    right = own.drop("venue").mapInPandas(_keys(True), "id long, key string").select(F.col("id").alias("w"), F.xxhash64("key").alias("key"))
-    pairs = materialize(left.join(right, "key").select("s", "w").distinct())
+    text = "id long, {}title string, author string, year string, venue string, heads array<string>, keys array<string>"
+    hashed = lambda df: materialize(df.withColumn("keys", F.transform("keys", lambda k: F.xxhash64(k))))
+    own = hashed(own.mapInPandas(_prepare(True), text.format("")))
+    seen = hashed(seen.mapInPandas(_prepare(False), text.format("source string, ")))
+    left = seen.select(F.col("id").alias("s"), F.explode("keys").alias("key"))
+    right = own.select(F.col("id").alias("w"), F.explode("keys").alias("key"))
+    pairs = left.join(right, "key").select("s", "w").distinct()
     fields = ["title", "author", "year", "venue"]
+    # A pair that shares too few word heads cannot agree in its title.
+    shared, fewer = F.size(F.array_intersect("s_heads", "w_heads")), F.least(F.size("s_heads"), F.size("w_heads"))
     rows = (
-        pairs.join(seen.select(F.col("id").alias("s"), "source", *[F.col(c).alias(f"s_{c}") for c in fields]), "s")
+        pairs.join(seen.select(F.col("id").alias("s"), F.col("heads").alias("s_heads")), "s")
+        .join(own.select(F.col("id").alias("w"), F.col("heads").alias("w_heads")), "w")
+        .where(shared >= F.greatest(F.lit(1), F.ceil(0.4 * fewer)))
+        .select("s", "w")
+        .join(seen.select(F.col("id").alias("s"), "source", *[F.col(c).alias(f"s_{c}") for c in fields]), "s")
         .join(own.select(F.col("id").alias("w"), *[F.col(c).alias(f"w_{c}") for c in fields]), "w")
         .select("s", "source", "w", *[f"w_{c}" for c in fields], *[f"s_{c}" for c in fields])
     )
