@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomstone.plans import core_problems
+from loomstone.plans import core_problems, reference_a
 
-_MODULES = [core_problems]
+_MODULES = [core_problems, reference_a]
 
 
 def queries() -> dict:
