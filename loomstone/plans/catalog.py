@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomstone.plans import core_problems, reference_a, reference_b
+from loomstone.plans import core_problems, reference_a, reference_b, reference_c
 
-_MODULES = [core_problems, reference_a, reference_b]
+_MODULES = [core_problems, reference_a, reference_b, reference_c]
 
 
 def queries() -> dict:
