@@ -182,7 +182,7 @@ class Filler:
         if self.r.random() < 0.12:
             one += "-" + (self.stem() + self.r.choice(_SURNAME)).capitalize()
         if self.r.random() < 0.06:
-            one = self.r.choice(["von ", "de ", "van ", "al-", "O'"]) + one
+            one = self.r.choice(["von ", "de ", "van ", "van der ", "bin ", "da ", "al-", "O'"]) + one
         return one
 
     def name(self) -> str:

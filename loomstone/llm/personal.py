@@ -135,81 +135,89 @@ class Tagger:
         starts = np.concatenate(([0], np.cumsum([len(own) for own in ids])[:-1])) if ids else np.zeros(0, np.int64)
         return np.add.reduceat(self.weights[flat], starts, axis=0)  # each token has the feature "b"
 
-    def fit(self, data: list[tuple[list[list[str]], list[int]]], rounds: int = 45, rate: float = 0.18, decay: float = 2e-4) -> Tagger:
-        """Adam on the negative log-likelihood, all sentences at once."""
+    def fit(self, data: list[tuple[list[list[str]], list[int]]], epochs: int = 9, rate: float = 0.12, decay: float = 2e-4, batch: int = 96) -> Tagger:
+        """Adam on the negative log-likelihood, in batches of like length."""
         counts: dict[str, int] = {}
         for feats, _ in data:
             for own in feats:
                 for f in own:
                     counts[f] = counts.get(f, 0) + 1
         self.index = {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= 3 or f == "b"))}
-        n_labels = len(LABELS)
-        self.weights = np.zeros((len(self.index), n_labels))
-        all_ids = [own for feats, _ in data for own in self.ids(feats)]
-        flat = np.fromiter((k for own in all_ids for k in own), np.int64)
-        sizes = np.array([len(own) for own in all_ids])
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        token_of = np.repeat(np.arange(len(all_ids)), sizes)
-        lengths = np.array([len(y) for _, y in data])
-        longest = int(lengths.max())
-        place = np.concatenate([s * longest + np.arange(n) for s, n in enumerate(lengths)])
-        gold = np.concatenate([y for _, y in data])
-        mask = (np.arange(longest)[None, :] < lengths[:, None]).astype(float)
-        hot = np.zeros((len(gold), n_labels))
-        hot[np.arange(len(gold)), gold] = 1
-        gold_moves = np.zeros_like(self.moves)
-        for _, y in data:
-            np.add.at(gold_moves, (y[:-1], y[1:]), 1)
-        order = np.argsort(flat, kind="stable")
-        sorted_flat = flat[order]
-        heads = np.flatnonzero(np.concatenate(([True], sorted_flat[1:] != sorted_flat[:-1])))
-        present, tokens_sorted = sorted_flat[heads], token_of[order]
+        self.weights = np.zeros((len(self.index), len(LABELS)))
+        ready = sorted(((self.ids(feats), y) for feats, y in data), key=lambda x: len(x[1]))
+        parts = [self._batch(ready[k : k + batch]) for k in range(0, len(ready), batch)]
         params = [self.weights, self.moves]
         first = [np.zeros_like(p) for p in params]
         second = [np.zeros_like(p) for p in params]
-        for step in range(1, rounds + 1):
-            emit = np.zeros((len(data) * longest, n_labels))
-            emit[place] = np.add.reduceat(self.weights[flat], starts, axis=0)
-            emit = emit.reshape(len(data), longest, n_labels)
-            # Forward and backward over scaled probabilities.
-            e = np.exp(emit - emit.max(axis=2, keepdims=True))
-            t = np.exp(self.moves)
-            alpha, beta, scale = np.zeros_like(e), np.zeros_like(e), np.ones((len(data), longest))
-            alpha[:, 0] = e[:, 0]
-            scale[:, 0] = alpha[:, 0].sum(1)
-            alpha[:, 0] /= scale[:, 0, None]
-            for i in range(1, longest):
-                a = (alpha[:, i - 1] @ t) * e[:, i]
-                m = mask[:, i, None]
-                a = a * m + alpha[:, i - 1] * (1 - m)
-                scale[:, i] = a.sum(1)
-                alpha[:, i] = a / scale[:, i, None]
-            beta[:, -1] = 1
-            pair = np.zeros_like(t)
-            for i in range(longest - 1, 0, -1):
-                m = mask[:, i, None]
-                right = e[:, i] * beta[:, i]
-                joint = alpha[:, i - 1].T @ (right * m / scale[:, i, None])
-                pair += joint * t
-                beta[:, i - 1] = ((right / scale[:, i, None]) @ t.T) * m + beta[:, i] * (1 - m)
-            post = alpha * beta
-            post /= post.sum(2, keepdims=True)
-            miss = post.reshape(-1, n_labels)[place] - hot
-            grad_w = np.zeros_like(self.weights)
-            grad_w[present] = np.add.reduceat(miss[tokens_sorted], heads, axis=0)
-            grads = [grad_w / len(data) + decay * self.weights, (pair - gold_moves) / len(data) + decay * self.moves]
-            for p, g, f, s in zip(params, grads, first, second):
-                f *= 0.9
-                f += 0.1 * g
-                s *= 0.99
-                s += 0.01 * g * g
-                p -= rate * (f / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        order, step = np.random.default_rng(11), 0
+        for epoch in range(epochs):
+            for k in order.permutation(len(parts)):
+                step += 1
+                now = rate * (1 - 0.8 * epoch / epochs)
+                for p, g, f, s in zip(params, self._gradient(parts[k]), first, second):
+                    g = g + decay * p
+                    f *= 0.9
+                    f += 0.1 * g
+                    s *= 0.99
+                    s += 0.01 * g * g
+                    p -= now * (f / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
         for i, x in enumerate(LABELS):  # an item never begins inside
             for j, y in enumerate(LABELS):
                 if y[0] == "I" and x[1:] != y[1:]:
                     self.moves[i, j] = -1e4
         return self
 
+    @staticmethod
+    def _batch(data: list[tuple[list[list[int]], list[int]]]) -> dict:
+        """Flat arrays of one batch, sorted once for the gradient's sums."""
+        ids = [own for feats, _ in data for own in feats]
+        flat = np.fromiter((k for own in ids for k in own), np.int64)
+        sizes = np.array([len(own) for own in ids])
+        lengths = np.array([len(y) for _, y in data])
+        longest = int(lengths.max())
+        gold = np.concatenate([y for _, y in data])
+        moves = np.zeros((len(LABELS), len(LABELS)))
+        for _, y in data:
+            np.add.at(moves, (y[:-1], y[1:]), 1)
+        by = np.argsort(flat, kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], flat[by][1:] != flat[by][:-1])))
+        return {
+            "n": len(data), "longest": longest, "flat": flat, "starts": np.concatenate(([0], np.cumsum(sizes)[:-1])), "hot": np.eye(len(LABELS))[gold], "moves": moves,
+            "place": np.concatenate([k * longest + np.arange(n) for k, n in enumerate(lengths)]), "mask": (np.arange(longest)[None, :] < lengths[:, None]).astype(float),
+            "heads": heads, "present": flat[by][heads], "tokens": np.repeat(np.arange(len(ids)), sizes)[by],
+        }
+
+    def _gradient(self, b: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean negative log-likelihood: expected less observed counts,
+        by forward and backward passes over scaled probabilities."""
+        n, longest, n_labels, mask = b["n"], b["longest"], len(LABELS), b["mask"]
+        emit = np.zeros((n * longest, n_labels))
+        emit[b["place"]] = np.add.reduceat(self.weights[b["flat"]], b["starts"], axis=0)
+        emit = emit.reshape(n, longest, n_labels)
+        e, t = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(self.moves)
+        alpha, beta, scale = np.zeros_like(e), np.zeros_like(e), np.ones((n, longest))
+        alpha[:, 0] = e[:, 0]
+        scale[:, 0] = alpha[:, 0].sum(1)
+        alpha[:, 0] /= scale[:, 0, None]
+        for i in range(1, longest):
+            live = mask[:, i, None]
+            a = (alpha[:, i - 1] @ t) * e[:, i] * live + alpha[:, i - 1] * (1 - live)
+            scale[:, i] = a.sum(1)
+            alpha[:, i] = a / scale[:, i, None]
+        beta[:, -1] = 1
+        pair = np.zeros_like(t)
+        for i in range(longest - 1, 0, -1):
+            live = mask[:, i, None]
+            right = e[:, i] * beta[:, i] / scale[:, i, None]
+            pair += (alpha[:, i - 1].T @ (right * live)) * t
+            beta[:, i - 1] = (right @ t.T) * live + beta[:, i] * (1 - live)
+        post = alpha * beta
+        post /= post.sum(2, keepdims=True)
+        miss = post.reshape(-1, n_labels)[b["place"]] - b["hot"]
+        grad = np.zeros_like(self.weights)
+        grad[b["present"]] = np.add.reduceat(miss[b["tokens"]], b["heads"], axis=0)
+        return grad / n, (pair - b["moves"]) / n
+
     def decode(self, batch: list[list[list[int]]]) -> list[np.ndarray]:
         """Viterbi paths of a batch of sentences of similar length."""
         if not batch:

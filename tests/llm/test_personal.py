@@ -37,7 +37,7 @@ def test_viterbi_finds_the_best_path():
 def test_gradient_raises_the_likelihood():
     data = [personal.encode(*s) for s in labelled.sentences(40, 5)]
     data = [x for x in data if x[0]]
-    t = personal.Tagger().fit(data, rounds=15)
+    t = personal.Tagger().fit(data, epochs=30)
     paths = t.decode([t.ids(f) for f, _ in data])
     assert np.mean([(p == np.array(y)).mean() for p, (_, y) in zip(paths, data)]) > 0.9
 
