@@ -27,6 +27,8 @@ from loomstone.session import materialize
 #: Different texts that must stop at one length, beyond what chance gives
 #: around the mean of the lengths this near.
 LIMIT_TEXTS, NEARBY = 8, 12
+#: Most characters of a mark that was added at a break.
+MARK_CHARS = 120
 
 # Marks that programs leave where they cut.
 _HARD_MARK = (
@@ -152,7 +154,10 @@ def measured_texts(documents: DataFrame) -> DataFrame:
     """(doc_id, source, text, m_<measure>...) of the texts that hold anything;
     lengths are those of the text before a mark that was added at a break."""
     rows = documents.select("doc_id", source_key(F.col("source")).alias("source"), "text").where("text is not null and text rlike '\\\\S'")
-    body = F.regexp_replace(F.regexp_replace("text", f"(?i){_HARD_MARK}", ""), _SOFT_MARK, "")
+    # Marks stand at the very end; the patterns needn't search the whole text.
+    head = F.expr(f"left(text, greatest(char_length(text) - {MARK_CHARS}, 0))")
+    tail = F.regexp_replace(F.regexp_replace(F.right(F.col("text"), F.lit(MARK_CHARS)), f"(?i){_HARD_MARK}", ""), _SOFT_MARK, "")
+    body = F.concat(head, tail)
     rows = rows.withColumn("_b", body)
     return rows.select("doc_id", "source", "text", F.xxhash64("text").alias("_h"), *[v.alias(f"m_{k}") for k, v in lengths(F.col("_b")).items()])
 
@@ -163,7 +168,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     names = [c for c in rows.columns if c.startswith("m_")]
     limits = materialize(hidden_limits(rows.drop("text", "doc_id")))
     # Plainly ended texts are settled in the JVM; only the rest goes to Python.
-    plain = F.col("text").rlike(r"[^.\d…�][.?!]\s*$") & ~F.col("text").rlike(_SOFT_MARK)
+    end = F.right(F.rtrim("text"), F.lit(12))
+    plain = end.rlike(r"[^.\d…�][.?!]\s*$") & ~end.rlike(_SOFT_MARK)
     unclear = rows.where(~plain)
     verdicts = unclear.select("doc_id", "text").mapInPandas(_inspect, "doc_id long, verdict string, phrase string")
     stack = ", ".join(f"'{c[2:]}', {c}" for c in names)
