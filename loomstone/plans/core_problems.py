@@ -33,7 +33,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_paths(spark: SparkSession, d: str) -> DataFrame:
     rows = hierarchy.expand_hierarchy(_links(spark, d))
-    return rows.withColumn("path", F.array_join("path", "/"))
+    return rows.withColumn("path", F.array_join("path", "/")).withColumn("descendants", F.coalesce("descendants", F.lit(-1)))
 
 
 QUERIES = {"p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_paths": p6_paths}
@@ -91,6 +91,6 @@ WITH RECURSIVE n AS (
   SELECT n.hierarchy, n.k, t.root_id, t.depth + 1, list_append(t.ids, n.node_id) FROM t JOIN n ON n.hierarchy = t.hierarchy AND n.p = t.k
 ), c AS (SELECT hierarchy, a, count(*) - 1 AS descendants FROM (SELECT hierarchy, unnest(ids) AS a FROM t) GROUP BY ALL)
 SELECT n.hierarchy, n.node_id, COALESCE(t.root_id, '') AS root_id, COALESCE(t.depth, -1) AS depth,
-       COALESCE(array_to_string(t.ids, '/'), '') AS path, c.descendants
+       COALESCE(array_to_string(t.ids, '/'), '') AS path, COALESCE(c.descendants, -1) AS descendants
 FROM n LEFT JOIN t ON n.hierarchy = t.hierarchy AND n.k = t.k LEFT JOIN c ON c.hierarchy = n.hierarchy AND c.a = n.node_id AND t.k IS NOT NULL""",
 }

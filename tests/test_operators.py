@@ -1,0 +1,180 @@
+"""Operators that SQL cannot express, against brute force."""
+
+import difflib
+import itertools
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from loomstone.functions import normalize as n
+from loomstone.operators import audit, capability, evaluation, extract, orbit, resolution, search, shards, trace
+
+
+def test_similarity_follows_its_branches(spark):
+    cases = [("Ann", "ann", 1.0), ("", "x", 0.0), (None, "x", 0.0), ("ab", "abcdefgh", 0.0), ("Robert", "Rob", 0.85)]
+    df = spark.createDataFrame([(i, a, b, "clash") for i, (a, b, _) in enumerate(cases)], "i int, a string, b string, _x string")
+    got = {r.i: r.s for r in n.with_similarity(df, "a", "b", "s").collect()}
+    assert all(abs(got[i] - s) < 1e-9 for i, (_, _, s) in enumerate(cases))
+    df = spark.createDataFrame([("Marlowe", "Marlough")], "a string, b string")
+    assert abs(n.with_similarity(df, "a", "b", "s").first().s - difflib.SequenceMatcher(None, "MARLOWE", "MARLOUGH").ratio()) < 1e-12
+
+
+SCHEMA = resolution.Schema("p", ("last", "first", "dob"), {"last": 0.85, "first": 0.8}, ("site",))
+FIELDS = "last string, first string, dob string, site string"
+
+
+def ratio(a, b):
+    a, b = (" ".join("".join(c for c in x.upper().strip() if c.isalnum() or c in " -").split()) for x in (a or "", b or ""))
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    pre = min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a))
+    if not pre and not 0.5 <= len(a) / len(b) <= 2:
+        return 0.0
+    r = difflib.SequenceMatcher(None, a, b).ratio()
+    return max(r, 0.85) if pre else r
+
+
+def brute_fuzzy(c, registry):
+    best = None
+    for seq, r in registry:
+        if not c["dob"] or not r["dob"]:
+            continue  # exact fields block: wildcards need one that both have
+        if c["dob"] != r["dob"]:
+            continue
+        scores = [ratio(c[f], r[f]) for f in ("last", "first") if c[f] and r[f]]
+        if not scores:
+            continue
+        both = [f for f in ("last", "first", "dob") if c[f] is not None and r[f] is not None]
+        over = sum(c[f].strip().lower() == r[f].strip().lower() for f in both) / len(both)
+        score = (sum(scores) / len(scores) + over) / 2
+        every = all(ratio(c[f], r[f]) >= t for f, t in SCHEMA.fuzzy.items() if c[f] and r[f])
+        if best is None or score > best[0] + 1e-12:
+            best = (score, seq, every)
+    if best and best[2] and best[0] >= 0.85:
+        return best[1], "strong"
+    return (best[1], "probable") if best and best[0] >= 0.65 else None
+
+
+def test_fuzzy_tiers_match_a_full_scan(spark):
+    r = random.Random(3)
+    last, first, dob = ["Marlowe", "Marlow", "Hartley", "Quimby", None], ["Ann", "Anna", "Bert", None], ["1990-01-01", "1991-02-02", None]
+    make = lambda: {"last": r.choice(last), "first": r.choice(first), "dob": r.choice(dob), "site": r.choice(["x", "y", None])}
+    reg, cand = [(i, make()) for i in range(25)], [(i, make()) for i in range(30)]
+    registry = spark.createDataFrame([(i, *x.values()) for i, x in reg], "seq long, " + FIELDS)
+    candidates = spark.createDataFrame([(i, *x.values()) for i, x in cand], "cid long, " + FIELDS)
+    got = {x.cid: (x.seq, x.tier) for x in resolution.resolve_fuzzy(candidates, registry, SCHEMA).collect()}
+    assert got == {i: b for i, c in cand if (b := brute_fuzzy(c, reg))}
+    tiers = resolution.resolve(candidates, registry, SCHEMA).collect()
+    assert sorted(x.cid for x in tiers) == list(range(30)) and {x.tier for x in tiers} <= set(resolution.CONFIDENCE)
+    assert resolution.resolve(candidates.where("false"), registry, SCHEMA).count() == 0
+
+
+def test_combine_and_find(spark):
+    df = spark.createDataFrame([("It is red. It is big.", "It is  BIG. It is old.")], "a string, b string")
+    assert df.select(resolution.combine_text(F.col("a"), F.col("b"))).first()[0] == "It is red. It is big. It is old."
+    reg = spark.createDataFrame([(1, "Marlowe"), (2, "Marlow"), (3, "Zed")], "seq long, last string")
+    assert [x.seq for x in resolution.find_fuzzy(reg, {"last": "marlowe"}).collect()] == [1, 2]
+
+
+def test_group_closure_and_orbits(spark):
+    group = orbit.close_group([(1, 2, 3, 0)], 4)
+    assert len(group) == 4 and len(orbit.close_group([(1, 0, 2), (1, 2, 0)], 3)) == 6
+    items = [list(p) for p in itertools.product("ab", repeat=4)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(items)], "i int, x array<string>")
+    got = {r.i: r.c for r in df.select("i", orbit.canonical_under(F.col("x"), group).alias("c")).collect()}
+    assert all(got[i] == min([x[k] for k in p] for p in group) for i, x in enumerate(items))
+    ring = {r.i: r.c for r in df.select("i", orbit.canonical_cycle(F.col("x")).alias("c")).collect()}
+    turns = lambda x: [x[k:] + x[:k] for k in range(4)]
+    assert all(ring[i] == min(turns(x) + turns(x[::-1])) for i, x in enumerate(items))
+
+
+def test_chain_breaks_are_found(spark):
+    rows = [("r", i, f'{{"type": "note", "value": {i / 7}, "text": "ü\\u0001"}}') for i in range(6)] + [("s", 1, '{"type":"x","role":null}')]
+    sealed = trace.seal(spark.createDataFrame(rows, "run_id string, seq long, body string"))
+    assert all(x.ok for x in trace.verify_chains(sealed).collect())
+    dropped = {x.run_id: x for x in trace.verify_chains(sealed.where("not (run_id = 'r' and seq = 3)")).collect()}
+    assert not dropped["r"].ok and dropped["r"].broken_at == 4 and dropped["s"].ok
+    assert trace.verify_chains(sealed.where("false")).count() == 0
+
+
+def test_shard_states(spark):
+    schema = "shard_id string, scope string, origin string, parent_shard_id string"
+    store = spark.createDataFrame([("a", "x", "o", None), ("b", "y", "o", None)], schema)
+    more = shards.put(store, spark.createDataFrame([("b", "z", "o", None), ("c", "x", "o", None), ("c", "x", "o", None)], schema))
+    assert sorted((r.shard_id, r.scope) for r in more.collect()) == [("a", "x"), ("b", "y"), ("c", "x")]
+    assert [r.shard_id for r in shards.delete(more, store).collect()] == ["c"]
+    moved = shards.move_scope(store, "a", "new").where("scope = 'new'").collect()
+    assert moved[0].parent_shard_id == "a" and moved[0].shard_id != "a"
+    refs = spark.createDataFrame([("b", 0), ("gone", 1), ("a", 2)], "shard_id string, pos int")
+    assert [r.shard_id for r in shards.resolve_many(store, refs).collect()] == ["b", "a"]
+
+
+def test_globs_and_unknown_caveats(spark):
+    cases = [("a:b", "a:*", True), ("a:b", "a:?", True), ("a.b", "a?b", True), ("axb", "a.b", False), ("a:b", "[ab]:b", True), ("c:b", "[!ab]:b", True), ("a", "b*", False)]
+    df = spark.createDataFrame([(i, s, [p]) for i, (s, p, _) in enumerate(cases)], "i int, s string, p array<string>")
+    got = {r.i: r.m for r in df.select("i", capability.scope_matches(F.col("s"), F.col("p")).alias("m")).collect()}
+    assert got == {i: m for i, (_, _, m) in enumerate(cases)}
+    one = spark.createDataFrame([([("odd", "1")],)], "c array<struct<type:string,value:string>>")
+    ask = lambda strict: one.select(capability.caveats_hold(F.col("c"), F.lit("s"), F.lit(0), F.lit("2025-01-01T00:00:00Z"), strict)).first()[0]
+    assert ask(False) is False
+    try:
+        ask(True)
+        raise AssertionError("an unknown caveat must raise")
+    except Exception as e:  # noqa: BLE001
+        assert "unknown caveat" in str(e)
+
+
+def test_chunks_cover_the_text_and_overlap(spark):
+    r = random.Random(1)
+    text = "".join("x" * r.randrange(5, 60) + "\n" for _ in range(80))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "short"), (4, "")], "id long, t string")
+    rows = extract.chunks(df, "id", "t", 300, 80).orderBy("id", "chunk").collect()
+    own = [x.text for x in rows if x.id == 1]
+    at = 0
+    for a, b in zip(own, own[1:]):
+        at = text.index(a, at)
+        k = max(i for i in range(len(a) + 1) if b.startswith(a[len(a) - i :]))
+        assert k >= 80
+    assert text.startswith(own[0]) and len(own) > 5
+    assert [x.text for x in rows if x.id == 3] == ["short"] and not [x for x in rows if x.id == 2]
+
+
+def test_entropy_and_residuals(spark):
+    df = spark.createDataFrame([(1, "aabb"), (2, ""), (3, "abcd")], "i int, s string")
+    got = {r.i: r.e for r in df.select("i", audit.entropy(F.col("s")).alias("e")).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: 2.0}
+    key = "AIza" + "b" * 35
+    leak = spark.createDataFrame([(1, f"key {key} and {key}"), (2, None), (3, "ghp_" + "a1" * 18)], "i int, t string")
+    clean = leak.withColumn("t", audit.scrub(F.col("t")))
+    assert clean.where("i = 1").first().t.count("<REDACTED:google_api_key fp:") == 2
+    assert [(r.i, r["class"]) for r in audit.residual_scan(clean, "i", "t").collect()] == [(3, "unhandled:github_token")]
+
+
+def test_vector_search_matches_brute_force(spark):
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in search.vector_topk(v, v.where("vec_id < 5").withColumnRenamed("vec_id", "query_id"), 3).collect():
+        got.setdefault(x.query_id, {})[x.rank] = x.vec_id
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    for q in range(5):
+        best = sorted((i for i, _ in rows if i != q), key=lambda i: -cos(rows[q][1], rows[i][1]))[:3]
+        assert [got[q][k] for k in (1, 2, 3)] == best
+
+
+def test_threshold_sweep_and_empty(spark):
+    df = spark.createDataFrame([(0.9, True), (0.6, False), (0.3, True)], "s double, a boolean")
+    got = {r.threshold: (r.caught, r.wrong) for r in evaluation.threshold_sweep(df, "s", "a", [0.25, 0.5, 0.75]).collect()}
+    assert got == {0.25: (2, 1), 0.5: (1, 1), 0.75: (1, 0)}
+    assert evaluation.threshold_sweep(df.where("false"), "s", "a", [0.5]).count() == 0
+
+
+def test_budget_rejections_do_not_count(spark):
+    spends = spark.createDataFrame([("t", 1, 60.0), ("t", 2, 50.0), ("t", 3, 40.0), ("t", 4, 1.0)], "k string, o long, a double")
+    budget = spark.createDataFrame([("t", 100.0)], "k string, budget double")
+    rows = capability.budget_ledger(spends, budget, "k", "o", "a").orderBy("o").collect()
+    assert [(r.accepted, r.spent) for r in rows] == [(True, 60.0), (False, 60.0), (True, 100.0), (False, 100.0)]
