@@ -2,7 +2,7 @@
 
 An event's hash covers everything in it but ``hash`` and ``sig``, its
 predecessor's hash included; sealing is therefore sequential within a run and
-goes through ``applyInPandas`` per run, while verifying is not: every stored
+streams each run in order, while verifying is not: every stored
 hash is recomputed on its own and links are compared with ``lag``.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -34,15 +35,21 @@ def seal(events: DataFrame) -> DataFrame:
 
     ``events`` has run_id, seq and ``body``, the event as JSON."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for seq, body in pdf.sort_values("seq")[["seq", "body"]].itertuples(index=False):
-            event = seal_event(json.loads(body), last)
-            last = event["hash"]
-            out.append((pdf["run_id"].iloc[0], seq, _dump(event)))
-        return pd.DataFrame(out, columns=["run_id", "seq", "raw"])
-
-    return events.groupBy("run_id").applyInPandas(run, "run_id string, seq long, raw string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, last = None, None
+        for pdf in batches:
+            out = []
+            for run_id, seq, body in pdf[["run_id", "seq", "body"]].itertuples(index=False):
+                if run_id != here:
+                    here, last = run_id, None
+                event = seal_event(json.loads(body), last)
+                last = event["hash"]
+                out.append((run_id, seq, _dump(event)))
+            yield pd.DataFrame(out, columns=["run_id", "seq", "raw"])
+
+    # A run streams through one task in order; it is never held as a whole.
+    rows = events.select("run_id", F.col("seq").cast("long").alias("seq"), "body").repartition("run_id").sortWithinPartitions("run_id", "seq")
+    return rows.mapInPandas(run, "run_id string, seq long, raw string")
 
 
 def check_events(trace: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomstone.plans import core_problems, reference_a, reference_b, reference_c
+from loomstone.plans import core_problems, reference_a, reference_b, reference_c, reference_d
 
-_MODULES = [core_problems, reference_a, reference_b, reference_c]
+_MODULES = [core_problems, reference_a, reference_b, reference_c, reference_d]
 
 
 def queries() -> dict:
