@@ -30,6 +30,8 @@ from loomstone.session import materialize
 #: Rounds at most, change of a belief that counts as none, and the strength
 #: with which sightings of one source compete for a work.
 ROUNDS, SETTLED, COMPETE = 8, 1e-3, 0.15
+#: Works that may share a key before it is split.
+HOT_KEY = 64
 #: Least log-odds of an edge of the graph.
 LEAST = -3.0
 
@@ -231,9 +233,15 @@ def candidate_edges(works: DataFrame, sightings: DataFrame) -> DataFrame:
     hashed = lambda df: materialize(df.withColumn("keys", F.transform("keys", lambda k: F.xxhash64(k))))
     own = hashed(own.mapInPandas(_prepare(True), text.format("")))
     seen = hashed(seen.mapInPandas(_prepare(False), text.format("source string, ")))
-    left = seen.select(F.col("id").alias("s"), F.explode("keys").alias("key"))
-    right = own.select(F.col("id").alias("w"), F.explode("keys").alias("key"))
-    pairs = left.join(right, "key").select("s", "w").distinct()
+    left = seen.select(F.col("id").alias("s"), "heads", F.explode("keys").alias("key"))
+    right = own.select(F.col("id").alias("w"), "heads", F.explode("keys").alias("key"))
+    # A key of many works is split by word heads: every pair that can count
+    # shares one, so nothing is lost and no key grows with the data.
+    many = right.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("key", F.lit(True).alias("hot"))
+    split = lambda df: df.join(many, "key", "left").withColumn(
+        "head", F.explode(F.when(F.col("hot"), F.col("heads")).otherwise(F.array(F.lit(""))))
+    )
+    pairs = split(left).join(split(right), ["key", "head"]).select("s", "w").distinct()
     fields = ["title", "author", "year", "venue"]
     # A pair that shares too few word heads cannot agree in its title.
     shared, fewer = F.size(F.array_intersect("s_heads", "w_heads")), F.least(F.size("s_heads"), F.size("w_heads"))

@@ -47,6 +47,15 @@ def test_sightings_find_their_work(spark):
     assert len(got) == 6 and all(0 <= x.confidence <= 1 for x in got)
 
 
+def test_hot_keys_lose_nothing(spark, monkeypatch):
+    works = [(i, f"Scoping of {w} ledgers in {v} stores", "Marlowe", "2014", None, "") for i, (w, v) in enumerate((a, b) for a in ("red", "blue", "green", "amber") for b in ("cold", "warm", "north"))]
+    seen = [(100 + w[0], "a", w[1].upper(), "Marlow", "2014", None, "") for w in works]
+    edges = lambda: sorted((x.s, x.w) for x in m.candidate_edges(spark.createDataFrame(works, WORK), spark.createDataFrame(seen, SEEN)).collect())
+    want = edges()
+    monkeypatch.setattr(m, "HOT_KEY", 2)
+    assert edges() == want and {(100 + i, i) for i in range(12)} <= set(want)
+
+
 def test_beliefs_on_a_tree_are_exact_and_competition_lowers_them(spark):
     edges = spark.createDataFrame([(1, "a", 10, 1.0), (1, "a", 11, 0.0), (2, "b", 12, 2.0)], "s long, source string, w long, odds double")
     got = {(x.s, x.w): x.belief for x in m.propagate(edges).collect()}
