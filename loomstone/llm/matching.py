@@ -153,7 +153,8 @@ def title_cost(work: str, seen: str) -> float | None:
             free.remove(best[1])
     free = [v for v in free if not any(typos(v, n, 3) <= (2 if len(n) > 5 else 1) for n in NOTES)]
     # A typo in a word without weight.
-    free = [v for v in free if len(v) < 2 or v.isdigit() or not any(typos(v, n, 2) <= (1 if len(n) < 6 else 2) for n in SMALL if len(n) >= 2)]
+    free = [v for v in free if v.isdigit() or len(v) > 1]
+    free = [v for v in free if v.isdigit() or not any(typos(v, n, 2) <= (1 if len(n) < 6 else 2) for n in SMALL if len(n) >= 2)]
     if cut and free and len(free) == 1 and len(free[0]) <= 3:
         free = []
     if free:
