@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions.canonical import pairs_digest
 from loomstone.functions.normalize import is_empty, pytrim, scalars_equivalent, with_similarity
+from loomstone.session import materialize
 
 # Confidence of each tier and the bounds of the fuzzy tiers.
 CONFIDENCE = {"exact": 0.95, "strong": 0.85, "probable": 0.70, "context": 0.50, "none": 0.0}
@@ -96,9 +97,11 @@ def _blocked(candidates: DataFrame, registry: DataFrame, schema: Schema) -> Data
 
 def resolve_fuzzy(candidates: DataFrame, registry: DataFrame, schema: Schema) -> DataFrame:
     """(cid, seq, tier, score): the best entity by mean similarity and overlap."""
+    # Scoring branches on cheap and costly pairs; a written table keeps each
+    # branch from joining again.
     pairs = _blocked(candidates, registry, schema)
     for f in schema.fuzzy:
-        pairs = with_similarity(pairs, f"c_{f}", f"r_{f}", f"s_{f}")
+        pairs = with_similarity(materialize(pairs), f"c_{f}", f"r_{f}", f"s_{f}")
         pairs = pairs.withColumn(f"s_{f}", F.when(~is_empty(F.col(f"c_{f}")) & ~is_empty(F.col(f"r_{f}")), F.col(f"s_{f}")))
     scores = F.array_compact(F.array(*[F.col(f"s_{f}") for f in schema.fuzzy]))
     mean = F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores))
