@@ -183,7 +183,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     # An author's own ellipsis comes after a phrase that recurs.
     soft = judged.where("verdict = 'soft'")
     phrases = soft.groupBy("phrase").agg(F.count("*").alias("k"))
-    share = phrases.crossJoin(F.broadcast(phrases.agg(F.sum("k").alias("all")))).where("k >= 3 and k >= 0.005 * all")
+    total = soft.count()
+    share = phrases.where((F.col("k") >= 3) & (F.col("k") >= 0.005 * total))
     own = soft.join(share.select("phrase", F.lit(True).alias("own")), "phrase", "left")
     cut_soft = own.where("at_limit or own is null").select("doc_id", "source", "at_limit")
     cut = judged.where("verdict = 'cut' or (verdict = 'odd' and at_limit)").select("doc_id", "source", "at_limit")
