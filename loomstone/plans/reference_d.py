@@ -23,7 +23,7 @@ def object_keys(spark: SparkSession, d: str) -> DataFrame:
 def job_status(spark: SparkSession, d: str) -> DataFrame:
     """A job for every token that names a capability shard pair of its scope."""
     s = table(spark, d, "shards").where("cap_id is not null").groupBy("cap_id").agg(F.min("shard_id").alias("a"), F.max("shard_id").alias("b"))
-    text = F.concat(F.lit("<sw-job>\n<entitlement> "), "cap_id", F.lit(" </entitlement><content-shard>"), "a", F.lit("</content-shard>"), F.when(F.col("a") != F.col("b"), F.concat(F.lit("<task-shard>"), "b", F.lit("</task-shard>"))).otherwise(F.lit("")))
+    text = F.concat(F.lit("<job>\n<entitlement> "), "cap_id", F.lit(" </entitlement><content-shard>"), "a", F.lit("</content-shard>"), F.when(F.col("a") != F.col("b"), F.concat(F.lit("<task-shard>"), "b", F.lit("</task-shard>"))).otherwise(F.lit("")))
     made = s.select(F.col("cap_id").alias("job_id"), text.alias("text"))
     return jobs.hydrate_jobs(made, table(spark, d, "entitlement_tokens"), table(spark, d, "shards"), NOW, "shard:read")
 
