@@ -2,9 +2,9 @@
 
 The registry is a DataFrame with a unique ``seq`` (insertion order) and the
 schema's fields.  Resolution blocks on the identity fields that are compared
-exactly, so no candidate meets the whole registry: two records of different
-blocks share no such field and could not match (nulls are wildcards and form
-blocks of their own, which are joined by the fields that remain).
+exactly, so no candidate meets the whole registry.  Empty ones are wildcards:
+pairs that share none of these fields are joined on a name that agrees, as
+without one they can't reach the least score.
 """
 
 from __future__ import annotations
@@ -72,9 +72,9 @@ def resolve_exact(candidates: DataFrame, registry: DataFrame, schema: Schema) ->
 def _blocked(candidates: DataFrame, registry: DataFrame, schema: Schema) -> DataFrame:
     """Pairs that contradict each other in no exact identity field.
 
-    One equi-join for each set of exact fields that both sides have; rows with
-    all of them null have nothing to contradict or agree and are left out, as
-    is a schema without exact fields (its fuzzy fields block by first letter).
+    One equi-join for each set of exact fields that both sides have; pairs that
+    share none are left to ``_wildcards``.  A schema without exact fields blocks
+    its fuzzy fields by first letter here.
     """
     left = candidates.select(F.col("cid"), *[F.col(f).alias(f"c_{f}") for f in schema.identity])
     right = registry.select(F.col("seq"), *[F.col(f).alias(f"r_{f}") for f in schema.identity])
@@ -95,24 +95,72 @@ def _blocked(candidates: DataFrame, registry: DataFrame, schema: Schema) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
-def resolve_fuzzy(candidates: DataFrame, registry: DataFrame, schema: Schema) -> DataFrame:
-    """(cid, seq, tier, score): the best entity by mean similarity and overlap."""
+def _wildcards(candidates: DataFrame, registry: DataFrame, schema: Schema) -> DataFrame:
+    """Pairs that share no exact identity field, as each is empty on a side.
+
+    A score of PROBABLE needs an overlap of 2 * PROBABLE - 1 at least, so some
+    field must agree: an equi-join on the agreeing field finds every pair that
+    can count.  What an exact field holds doesn't matter here, only whether it
+    holds anything; rows that are equal then are read once, the registry's
+    with the first ``seq``."""
+    flat = [F.when(is_empty(F.col(f)), F.col(f)).otherwise("*").alias(f) if f in schema.exact else F.col(f) for f in schema.identity]
+    left = candidates.select("cid", *flat).select("cid", *[F.col(f).alias(f"c_{f}") for f in schema.identity])
+    right = registry.select("seq", *flat).groupBy(*schema.identity).agg(F.min("seq").alias("seq"))
+    right = right.select("seq", *[F.col(f).alias(f"r_{f}") for f in schema.identity])
+    order = [*schema.fuzzy, *schema.exact]
+    usable = lambda side, f: F.col(f"{side}_{f}").isNotNull() & (is_empty(F.col(f"{side}_{f}")) if f in schema.exact else F.lit(True))
+    keys = lambda side: F.explode(F.array_compact(F.array(*[F.when(usable(side, f), F.struct(F.lit(i).alias("i"), fold(F.col(f"{side}_{f}")).alias("v"))) for i, f in enumerate(order)])))
+    # Each registry row stands under every set of fields it lacks; a candidate under the set it has.
+    sets = range(1 << len(schema.exact))
+    has = reduce(lambda x, y: x + y, [F.when(is_empty(F.col(f"c_{f}")), 0).otherwise(1 << i) for i, f in enumerate(schema.exact)], F.lit(0))
+    lacks = [reduce(lambda x, y: x & y, [is_empty(F.col(f"r_{f}")) for i, f in enumerate(schema.exact) if bits >> i & 1], F.lit(True)) for bits in sets]
+    left = left.withColumn("_k", keys("c")).withColumn("_p", has)
+    right = right.withColumn("_k", keys("r")).withColumn("_p", F.explode(F.array_compact(F.array(*[F.when(x, F.lit(bits)) for bits, x in zip(sets, lacks)]))))
+    agree = [usable("c", f) & usable("r", f) & (fold(F.col(f"c_{f}")) == fold(F.col(f"r_{f}"))) for f in order]
+    pairs = left.join(right, ["_k", "_p"]).where(F.coalesce(*[F.when(x, F.lit(i)) for i, x in enumerate(agree)]) == F.col("_k.i"))
+    shared = overlap([(F.col(f"c_{f}"), F.col(f"r_{f}")) for f in schema.identity])
+    return pairs.drop("_k", "_p").where((1 + shared) / 2 >= PROBABLE - 1e-9)
+
+
+def _best(pairs: DataFrame, schema: Schema) -> DataFrame:
+    """(cid, b): of each candidate's pairs the best by mean similarity and
+    overlap, the first registered of equal ones."""
     # Scoring branches on cheap and costly pairs; a written table keeps each
     # branch from joining again.
-    pairs = _blocked(candidates, registry, schema)
     for f in schema.fuzzy:
         pairs = with_similarity(materialize(pairs), f"c_{f}", f"r_{f}", f"s_{f}")
-        pairs = pairs.withColumn(f"s_{f}", F.when(~is_empty(F.col(f"c_{f}")) & ~is_empty(F.col(f"r_{f}")), F.col(f"s_{f}")))
+        pairs = pairs.withColumn(f"s_{f}", F.when(F.col(f"c_{f}").isNotNull() & F.col(f"r_{f}").isNotNull(), F.col(f"s_{f}")))
     scores = F.array_compact(F.array(*[F.col(f"s_{f}") for f in schema.fuzzy]))
     mean = F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores))
     shared = overlap([(F.col(f"c_{f}"), F.col(f"r_{f}")) for f in schema.identity])
     every = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"s_{f}") >= least, F.lit(True)) for f, least in schema.fuzzy.items()])
     rows = pairs.withColumn("score", (mean + shared) / 2).withColumn("every", every).where("score is not null")
-    best = rows.groupBy("cid").agg(F.max(F.struct("score", (-F.col("seq")).alias("s"), "every")).alias("b"))
+    return rows.groupBy("cid").agg(F.max(F.struct("score", (-F.col("seq")).alias("s"), "every")).alias("b"))
+
+
+def _tiered(best: DataFrame) -> DataFrame:
     tier = F.when(F.col("b.every") & (F.col("b.score") >= STRONG), "strong").when(F.col("b.score") >= PROBABLE, "probable")
     return best.select("cid", (-F.col("b.s")).alias("seq"), tier.alias("tier"), F.col("b.score").alias("score")).where("tier is not null")
 
 
+def resolve_fuzzy(candidates: DataFrame, registry: DataFrame, schema: Schema) -> DataFrame:
+    """(cid, seq, tier, score): the best of the entities that share an exact
+    identity field; ``resolve_similar`` takes wildcards too."""
+    return _tiered(_best(_blocked(candidates, registry, schema), schema))
+
+
+def resolve_similar(candidates: DataFrame, registry: DataFrame, schema: Schema) -> DataFrame:
+    """(cid, seq, tier, score): the best entity of the whole registry that no
+    exact identity field contradicts; an empty one contradicts nothing."""
+    alike = candidates.withColumn("_g", F.to_json(F.struct(*[F.when(is_empty(F.col(f)), F.col(f)).otherwise("*").alias(f) if f in schema.exact else F.col(f) for f in schema.identity])))
+    once = alike.groupBy("_g").agg(*[F.first(f).alias(f) for f in schema.identity]).withColumnRenamed("_g", "cid")
+    wild = materialize(_best(_wildcards(once, registry, schema), schema)).withColumnRenamed("cid", "_g")
+    best = alike.select("cid", "_g").join(wild, "_g").select("cid", "b")
+    if schema.exact:
+        best = best.unionByName(_best(_blocked(candidates, registry, schema), schema)).groupBy("cid").agg(F.max("b").alias("b"))
+    return _tiered(best)
+
+
 def resolve_context(candidates: DataFrame, registry: DataFrame, schema: Schema) -> DataFrame:
     """(cid, seq): the first registered entity that agrees in a context field
     and in some identity field."""
@@ -129,7 +177,7 @@ def resolve(candidates: DataFrame, registry: DataFrame, schema: Schema) -> DataF
     """(cid, seq, tier, confidence) for every candidate, the first tier that holds."""
     exact = resolve_exact(candidates, registry, schema).withColumn("tier", F.lit("exact"))
     left = candidates.join(exact, "cid", "left_anti")
-    fuzzy = resolve_fuzzy(left, registry, schema).select("cid", "seq", "tier") if schema.fuzzy else exact.limit(0)
+    fuzzy = resolve_similar(left, registry, schema).select("cid", "seq", "tier") if schema.fuzzy else exact.limit(0)
     left = left.join(fuzzy, "cid", "left_anti")
     context = resolve_context(left, registry, schema).withColumn("tier", F.lit("context")) if schema.context else exact.limit(0)
     found = exact.unionByName(fuzzy).unionByName(context)
