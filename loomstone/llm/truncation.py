@@ -146,7 +146,7 @@ def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         found = [inspect(x) for x in pdf["text"]]
         yield pd.DataFrame(
-            {"doc_id": pdf["doc_id"], "verdict": [x[0] for x in found], "phrase": [x[1] for x in found]}
+            {"doc_id": pdf["doc_id"], "_h": pdf["_h"], "verdict": [x[0] for x in found], "phrase": [x[1] for x in found]}
         )
 
 
@@ -171,7 +171,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     end = F.right(F.rtrim("text"), F.lit(12))
     plain = end.rlike(r"[^.\d…�][.?!]\s*$") & ~end.rlike(_SOFT_MARK)
     unclear = rows.where(~plain)
-    verdicts = unclear.select("doc_id", "text").mapInPandas(_inspect, "doc_id long, verdict string, phrase string")
+    verdicts = unclear.select("doc_id", "_h", "text").mapInPandas(_inspect, "doc_id long, _h long, verdict string, phrase string")
     stack = ", ".join(f"'{c[2:]}', {c}" for c in names)
     at = (
         unclear.select("doc_id", "source", F.expr(f"stack({len(names)}, {stack}) as (measure, length)"))
@@ -180,10 +180,12 @@ def truncated(documents: DataFrame) -> DataFrame:
         .agg(F.max(F.col("n").isNotNull()).alias("at_limit"))
     )
     judged = materialize(verdicts.where("verdict != 'whole'").join(at, "doc_id"))
-    # An author's own ellipsis comes after a phrase that recurs.
+    # An author's own ellipsis comes after a phrase that recurs in different
+    # texts; copies of one text count once.
     soft = judged.where("verdict = 'soft'")
-    phrases = soft.groupBy("phrase").agg(F.count("*").alias("k"))
-    total = soft.count()
+    texts = soft.select("phrase", "_h").distinct()
+    phrases = texts.groupBy("phrase").agg(F.count("*").alias("k"))
+    total = texts.count()
     share = phrases.where((F.col("k") >= 3) & (F.col("k") >= 0.005 * total))
     own = soft.join(share.select("phrase", F.lit(True).alias("own")), "phrase", "left")
     cut_soft = own.where("at_limit or own is null").select("doc_id", "source", "at_limit")

@@ -62,3 +62,10 @@ def test_corpus_and_limit(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert t.truncated(df).count() == 0 and t.truncation_rates(df).count() == 0
+
+
+def test_copies_of_one_text_make_no_phrase(spark):
+    own = [(i, f"Note {i} says the clerk moved {i * 37} files. But who can really say...", "a", "m", 1) for i in range(6)]
+    copies = [(100 + i, "The porter came in. He then moved the heavy led...", "b", "m", 1) for i in range(8)]
+    found = {x.doc_id for x in t.truncated(spark.createDataFrame(own + copies, SCHEMA)).collect()}
+    assert found == {i for i, *_ in copies}
