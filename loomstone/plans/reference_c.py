@@ -38,10 +38,9 @@ def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def consensus_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Atoms of shards' first ten places confirmed by a second, later pass."""
-    a = table(spark, d, "shard_atoms").where("entity is not null and key is not null")
-    one, two = a.where("pos < 5").dropDuplicates(["kind", "entity", "key"]), a.where("pos >= 5").dropDuplicates(["kind", "entity", "key"])
-    return extract.consensus(one, two).select("atom_id", "votes")
+    """Atoms of shards' first five places confirmed by a second, later pass."""
+    a = table(spark, d, "shard_atoms")
+    return extract.consensus(a.where("pos < 5"), a.where("pos >= 5")).select("atom_id", "votes")
 
 
 def doc_signals(spark: SparkSession, d: str) -> DataFrame:
