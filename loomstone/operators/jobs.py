@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import json
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -157,63 +160,154 @@ def split_tool(tool: Column, servers: list[str]) -> Column:
     return F.when(tool.startswith("mcp_") & server.isNotNull(), F.struct(server.alias("server"), rest.substr(F.length(server) + 2, F.length(rest)).alias("tool"), exact.alias("exact")))
 
 
+# Escapes that JSON knows, words that are values.
+_ESCAPES = '"\\/bfnrt'
+_WORD = re.compile(r"true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+
+
+def closed_json(text: str) -> str | None:
+    """The longest readable beginning of ``text`` as JSON, closed where it was
+    cut off, in one pass; null if nothing in it can be read.
+
+    A string value that was cut keeps what there is of it, a key without its
+    value is dropped, as is a number or word that isn't whole."""
+    start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
+    if start < 0:
+        return None
+    closers: list[str] = []
+    sound, i, n = start, start, len(text)  # all before ``sound`` reads well once closed
+    tail, value_next = "", False
+    while i < n:
+        c = text[i]
+        if c in "{[":
+            closers.append("}" if c == "{" else "]")
+            i += 1
+            sound, value_next = i, c == "["
+        elif c in "}]":
+            if not closers or closers[-1] != c:
+                break
+            closers.pop()
+            i += 1
+            sound, value_next = i, False
+            if not closers:
+                break
+        elif c == '"':
+            j, good = i + 1, i + 1
+            while j < n and text[j] != '"':
+                if text[j] == "\\":
+                    step = 6 if text[j + 1 : j + 2] == "u" else 2
+                    if j + step > n or (step == 2 and text[j + 1] not in _ESCAPES):
+                        break
+                    j += step
+                else:
+                    j += 1
+                good = j
+            whole = j < n and text[j] == '"'
+            if value_next:
+                sound, tail = (j + 1, "") if whole else (good, '"')
+            if not whole:
+                break
+            i, value_next = j + 1, False
+        elif c in ":,":
+            value_next = c == ":" or (bool(closers) and closers[-1] == "]")
+            i += 1
+        elif c.isspace():
+            i += 1
+        else:
+            j = i
+            while j < n and text[j] not in ',:{}[]"' and not text[j].isspace():
+                j += 1
+            word = text[i:j]
+            if not value_next or not _WORD.fullmatch(word):
+                break
+            sound, i, value_next = j, j, False
+    body = text[start:sound] + tail + "".join(reversed(closers))
+    try:
+        return json.dumps(json.loads(body, strict=False), sort_keys=True)
+    except ValueError:
+        return None
+
+
 def repair_json(raw: pd.Series) -> pd.Series:
-    """Cut-off JSON closed again: fences dropped, open brackets and strings
-    ended; null where nothing can be read.  Use with ``F.pandas_udf``."""
+    """Cut-off JSON closed again; code fences around it are dropped.  Use with
+    ``F.pandas_udf``."""
 
     def one(text: str | None) -> str | None:
         if text is None:
             return None
-        body = text.strip()
-        if "```" in body:
-            body = body.split("```")[1].removeprefix("json")
-        start = min((i for i in (body.find("{"), body.find("[")) if i >= 0), default=-1)
-        if start < 0:
-            return None
-        body = body[start:]
-        for end in range(len(body), 0, -1):
-            stack, quoted, escaped = [], False, False
-            for c in body[:end]:
-                if quoted:
-                    escaped, quoted = (not escaped and c == "\\"), (escaped or c != '"')
-                elif c == '"':
-                    quoted = True
-                elif c in "{[":
-                    stack.append("}" if c == "{" else "]")
-                elif c in "}]" and stack:
-                    stack.pop()
-            try:
-                return json.dumps(json.loads(body[:end].rstrip().rstrip(",:") + ('"' if quoted else "") + "".join(reversed(stack))), sort_keys=True)
-            except ValueError:
-                if len(body) - end > 200:
-                    return None
-        return None
+        if "```" in text:
+            text = text.split("```")[1].removeprefix("json")
+        return closed_json(text)
 
     return raw.map(one)
 
 
-_SECRET_KEY = r"(?i)(password|passwd|secret|token|api[_-]?key|authorization|credential)"
-
-
-def redact_json(raw: pd.Series) -> pd.Series:
-    """JSON with values of secret-named keys blanked, strings capped at 4,000
-    characters, lists at 200 entries, depth at 20.  Use with ``F.pandas_udf``."""
-    import re
-
-    secret = re.compile(_SECRET_KEY)
-
-    def walk(v, depth: int):
-        if depth > 20:
-            return "<TRUNCATED:depth>"
-        if isinstance(v, dict):
-            return {k: "<REDACTED:key>" if secret.search(k) and not isinstance(x, (dict, list)) else walk(x, depth + 1) for k, x in v.items()}
-        if isinstance(v, list):
-            return [walk(x, depth + 1) for x in v[:200]]
-        return v[:4000] + f"...<TRUNCATED:{len(v)} chars>" if isinstance(v, str) and len(v) > 4000 else v
+# Names of secret fields, shapes of secrets besides those of
+# ``audit``, marks and bounds of what is left out.
+SECRET_KEY = r"(?i)(pass(word|wd)?|secret|token|api[_-]?key|authorization|credential|private[_-]?key|cookie)"
+PROMPT_KEY = r"(?i)^(user[_-]?)?prompt$"
+SECRET_SHAPES = [
+    ("anthropic_key", r"\bsk-ant-[0-9A-Za-z_-]{16,}"),
+    ("openai_style_key", r"\bsk-(?:proj-)?[0-9A-Za-z_-]{20,}"),
+    ("github_pat", r"\bgithub_pat_[0-9A-Za-z_]{20,}"),
+    ("jwt", r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
+]
+DEPTH, ENTRIES, CHARS = 20, 200, 4000
+
+
+def fingerprinted(text: str) -> str:
+    """``text`` with everything that has the shape of a secret replaced by its
+    class and fingerprint."""
+    for cls, shape in _shapes():
+        text = shape.sub(lambda m, c=cls: f"<REDACTED:{c} fp:{hashlib.sha256(m[0].encode()).hexdigest()[:12]}>", text)
+    return text
+
+
+@lru_cache(maxsize=1)
+def _shapes() -> list[tuple[str, re.Pattern]]:
+    from loomstone.operators.audit import DETECT, REDACT
+
+    return [(cls, re.compile(shape)) for cls, shape in [*REDACT, *DETECT, *SECRET_SHAPES]]
+
+
+def without_secrets(document: object, prompts: bool = True) -> object:
+    """A JSON document fit to be kept, changed in place level by level."""
+    secret, prompt = re.compile(SECRET_KEY), re.compile(PROMPT_KEY)
+    holder = [document]
+    level: list[tuple] = [(holder, 0)]
+    depth = 0
+    while level:
+        below: list[tuple] = []
+        for box, at in level:
+            item = box[at]
+            if depth > DEPTH:
+                box[at] = "<TRUNCATED:depth>"
+            elif isinstance(item, str):
+                text = fingerprinted(item)
+                box[at] = text if len(text) <= CHARS else f"{text[:CHARS]}...<TRUNCATED:{len(text)} chars>"
+            elif isinstance(item, list):
+                del item[ENTRIES:]
+                below += [(item, i) for i in range(len(item))]
+            elif isinstance(item, dict):
+                for name, inner in item.items():
+                    plain = not isinstance(inner, (dict, list))
+                    if plain and secret.search(name):
+                        item[name] = "<REDACTED:key>"
+                    elif isinstance(inner, str) and not prompts and prompt.match(name):
+                        item[name] = f"<OMITTED:prompt {len(inner)} chars>"
+                    else:
+                        below.append((item, name))
+        level, depth = below, depth + 1
+    return holder[0]
+
+
+def redact_json(raw: pd.Series, prompts: bool = True) -> pd.Series:
+    """JSON documents ``without_secrets``; null where one can't be read.  Use
+    with ``F.pandas_udf``."""
 
     def one(text: str | None) -> str | None:
         try:
-            return None if text is None else json.dumps(walk(json.loads(text), 0), sort_keys=True, ensure_ascii=False)
+            return None if text is None else json.dumps(without_secrets(json.loads(text), prompts), sort_keys=True, ensure_ascii=False)
         except ValueError:
             return None
 

@@ -73,15 +73,10 @@ def _blocked(candidates: DataFrame, registry: DataFrame, schema: Schema) -> Data
     """Pairs that contradict each other in no exact identity field.
 
     One equi-join for each set of exact fields that both sides have; pairs that
-    share none are left to ``_wildcards``.  A schema without exact fields blocks
-    its fuzzy fields by first letter here.
+    share none are left to ``_wildcards``.
     """
     left = candidates.select(F.col("cid"), *[F.col(f).alias(f"c_{f}") for f in schema.identity])
     right = registry.select(F.col("seq"), *[F.col(f).alias(f"r_{f}") for f in schema.identity])
-    if not schema.exact:
-        f = next(iter(schema.fuzzy))
-        head = lambda c: F.substring(fold(c), 1, 1)
-        return left.withColumn("_k", head(F.col(f"c_{f}"))).join(right.withColumn("_k", head(F.col(f"r_{f}"))), "_k").drop("_k")
     parts = []
     for bits in range(1, 1 << len(schema.exact)):
         on = [f for i, f in enumerate(schema.exact) if bits >> i & 1]
@@ -145,7 +140,10 @@ def _tiered(best: DataFrame) -> DataFrame:
 
 def resolve_fuzzy(candidates: DataFrame, registry: DataFrame, schema: Schema) -> DataFrame:
     """(cid, seq, tier, score): the best of the entities that share an exact
-    identity field; ``resolve_similar`` takes wildcards too."""
+    identity field; ``resolve_similar`` takes wildcards too, as a schema
+    without exact fields needs."""
+    if not schema.exact:
+        return resolve_similar(candidates, registry, schema)
     return _tiered(_best(_blocked(candidates, registry, schema), schema))
 
 

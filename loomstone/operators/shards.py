@@ -26,7 +26,8 @@ def with_content_hash(atoms: DataFrame) -> DataFrame:
 
 def distinct_shards(shards: DataFrame) -> DataFrame:
     """One row for each address: the one ingested first (puts are idempotent)."""
-    return shards.groupBy("shard_id").agg(F.min_by(F.struct(*[c for c in shards.columns if c != "shard_id"]), "ingested_at").alias("s")).select("shard_id", "s.*")
+    at = "ingested_at" if "ingested_at" in shards.columns else "shard_id"
+    return shards.groupBy("shard_id").agg(F.min_by(F.struct(*[c for c in shards.columns if c != "shard_id"]), at).alias("s")).select("shard_id", "s.*")
 
 
 def content_addresses(shards: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -132,11 +133,17 @@ def resolve_many(store: DataFrame, refs: DataFrame, pos: str = "pos") -> DataFra
     return refs.select("shard_id", pos).join(store, "shard_id").orderBy(pos)
 
 
-def move_scope(store: DataFrame, shard_id: str, scope: str) -> DataFrame:
-    """Adds a copy in another scope with the original as its parent."""
-    copy = store.where(F.col("shard_id") == shard_id).limit(1)
-    copy = copy.withColumn("parent_shard_id", F.col("shard_id")).withColumn("scope", F.lit(scope))
-    return store.unionByName(copy.withColumn("shard_id", F.sha2(F.concat_ws("|", "shard_id", "scope", "origin"), 256)))
+def move_scope(store: DataFrame, atoms: DataFrame, shard_id: str, scope: str) -> tuple[DataFrame, DataFrame]:
+    """(store, atoms) with a copy of the shard in another scope, the original as
+    its parent.  The copy's id is its own content address, so moving a shard
+    and writing it there afresh give one and the same."""
+    old = distinct_shards(store.where(F.col("shard_id") == shard_id)).withColumn("scope", F.lit(scope))
+    own = atoms.where(F.col("shard_id") == shard_id)
+    address = content_addresses(old, own)
+    moved = old.join(address, "shard_id").withColumn("parent_shard_id", F.col("shard_id"))
+    moved = moved.withColumn("shard_id", F.col("address")).drop("address").join(store.select("shard_id").distinct(), "shard_id", "left_anti")
+    carried = own.join(address, "shard_id").withColumn("shard_id", F.col("address")).drop("address").join(atoms.select("shard_id").distinct(), "shard_id", "left_anti")
+    return store.unionByName(moved.select(store.columns)), atoms.unionByName(carried.select(atoms.columns))
 
 
 def by_entity(shards: DataFrame, atoms: DataFrame, entity: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -125,16 +126,38 @@ def hook_events(payloads: DataFrame) -> DataFrame:
     )
 
 
+def _paired(ttl: int):
+    """Open calls of one key in order of time; only those younger than ``ttl``
+    seconds are held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, open_ = None, deque()
+        for pdf in batches:
+            out = []
+            for key, at, pid, result in pdf[["key", "at", "payload_id", "result"]].itertuples(index=False):
+                if key != here:
+                    here, open_ = key, deque()
+                while open_ and at - open_[0][0] > ttl:
+                    open_.popleft()
+                if not result:
+                    open_.append((at, pid))
+                elif open_:
+                    began, call = open_.popleft()
+                    out.append((call, pid, at - began))
+            yield pd.DataFrame(out, columns=["call_id", "result_id", "waited"]).astype("int64")
+
+    return run
+
+
 def pair_calls(payloads: DataFrame, ttl_seconds: int = 900) -> DataFrame:
-    """(call_id, result_id, waited): results paired with the oldest open call of
-    their session, agent and tool, first in first out; a call older than the
-    time to live is no longer open when its turn comes."""
-    keys = ["session_id", "agent", "tool_name"]
+    """(call_id, result_id, waited): each result with the oldest call of its
+    session, agent and tool that is still open, i.e. unanswered and no older
+    than the time to live; a result without such a call has no row.
+
+    Which call is open depends on all before it, so the events of one key
+    stream through a task in order; only open calls are held."""
     rows = payloads.dropDuplicates(["payload_id"]).where("hook_event_name in ('PreToolUse', 'PostToolUse')")
-    rows = rows.select("payload_id", "session_id", F.coalesce("agent_id", F.lit("")).alias("agent"), "tool_name", "ts", (F.col("hook_event_name") == "PostToolUse").alias("result"))
-    order = Window.partitionBy(*keys, "result").orderBy("ts", "payload_id")
-    rows = rows.withColumn("k", F.row_number().over(order))
-    calls = rows.where("not result").select(*keys, "k", F.col("payload_id").alias("call_id"), F.col("ts").alias("t0"))
-    results = rows.where("result").select(*keys, "k", F.col("payload_id").alias("result_id"), F.col("ts").alias("t1"))
-    waited = F.unix_timestamp("t1") - F.unix_timestamp("t0")
-    return calls.join(results, [*keys, "k"]).select("call_id", "result_id", waited.alias("waited")).where((F.col("waited") >= 0) & (F.col("waited") <= ttl_seconds))
+    key = F.to_json(F.array(*[F.coalesce(c, F.lit("")) for c in ("session_id", "agent_id", "tool_name")]))
+    rows = rows.select(key.alias("key"), F.unix_timestamp("ts").alias("at"), "payload_id", (F.col("hook_event_name") == "PostToolUse").alias("result")).where("at is not null")
+    ordered = rows.repartition("key").sortWithinPartitions("key", "at", "payload_id")
+    return ordered.mapInPandas(_paired(ttl_seconds), "call_id long, result_id long, waited long")

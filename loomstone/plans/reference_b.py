@@ -180,7 +180,12 @@ SQL = {
     "events_under_chain": f"WITH {_CAPS} SELECT seq, cap_id FROM e WHERE list_contains(cap_chain, 'r2')",
     "delegation_tree": f"WITH {_CAPS}, h AS (SELECT seq, unnest(cap_chain) AS cap, unnest([NULL, cap_chain[1], cap_chain[2]]) AS parent FROM e), g AS (SELECT cap, min(parent) AS parent, count(DISTINCT seq) AS events FROM h GROUP BY 1) SELECT cap, parent, events, CASE WHEN parent IS NULL THEN 'root' WHEN cap IN (SELECT parent FROM g WHERE parent IS NOT NULL) THEN 'branch' ELSE 'leaf' END AS place FROM g",
     "hook_events": f"WITH {_HOOK}, x AS (SELECT *, coalesce(prompt, tool_input.prompt, tool_input.command, '') AS body FROM h) SELECT payload_id, session_id, agent_id, coalesce(MAP {{{', '.join(f'{k!r}: {v!r}' for k, v in trace.HOOK_EVENTS.items())}}}[hook_event_name], 'other') AS type, CASE WHEN tool_name IS NULL THEN NULL {' '.join(f'WHEN regexp_matches(tool_name, {p!r}) THEN {k!r}' for k, p in trace.TOOL_HINTS)} ELSE 'other' END AS tool_kind, CASE WHEN tool_input.command IS NULL THEN NULL ELSE regexp_extract(regexp_extract(tool_input.command, '^\\s*(?:sudo\\s+)?([\\w./-]+)', 1), '([^/]*)$', 1) END AS program, sha256(body) AS receipt, length(body) AS size FROM x",
-    "call_pairs": f"WITH {_HOOK}, r AS (SELECT payload_id, session_id, coalesce(agent_id, '') AS agent, tool_name, ts, hook_event_name, row_number() OVER (PARTITION BY session_id, coalesce(agent_id, ''), tool_name, hook_event_name ORDER BY ts, payload_id) AS k FROM h WHERE hook_event_name IN ('PreToolUse', 'PostToolUse')) SELECT a.payload_id AS call_id, b.payload_id AS result_id, CAST(floor(epoch(b.ts)) - floor(epoch(a.ts)) AS BIGINT) AS waited FROM r a JOIN r b ON a.session_id = b.session_id AND a.agent = b.agent AND a.tool_name = b.tool_name AND a.k = b.k WHERE a.hook_event_name = 'PreToolUse' AND b.hook_event_name = 'PostToolUse' AND floor(epoch(b.ts)) - floor(epoch(a.ts)) BETWEEN 0 AND 900",
+    "call_pairs": f"""WITH RECURSIVE {_HOOK}, e AS (SELECT coalesce(session_id, '') || '|' || coalesce(agent_id, '') || '|' || coalesce(tool_name, '') AS k, payload_id AS p, CAST(floor(epoch(ts)) AS BIGINT) AS t, hook_event_name = 'PostToolUse' AS r
+  FROM h WHERE hook_event_name IN ('PreToolUse', 'PostToolUse') AND ts IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, p) AS i FROM e),
+f AS (SELECT k, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(t BIGINT, p BIGINT)[]) AS q, CAST(NULL AS BIGINT) AS call_id, CAST(NULL AS BIGINT) AS result_id, CAST(NULL AS BIGINT) AS waited FROM n GROUP BY k
+  UNION ALL SELECT k, i, CASE WHEN r THEN q[2:] ELSE list_append(q, {{'t': t, 'p': p}}) END, CASE WHEN r AND len(q) > 0 THEN q[1].p END, CASE WHEN r AND len(q) > 0 THEN p END, CASE WHEN r AND len(q) > 0 THEN t - q[1].t END
+  FROM (SELECT n.k, n.i, n.p, n.t, n.r, list_filter(f.q, x -> n.t - x.t <= 900) AS q FROM f JOIN n ON n.k = f.k AND n.i = f.i + 1))
+SELECT call_id, result_id, waited FROM f WHERE call_id IS NOT NULL""",
     "scope_match": f"WITH {_T} SELECT token_id, coalesce(len(list_filter(scopes, lambda s: 'project:harbor-ledger/notes' GLOB s)) > 0, false) AS opens, coalesce(list_contains(capabilities, 'export'), false) AS exports, coalesce(TIMESTAMPTZ '{NOW}' >= CAST(expires_at AS TIMESTAMPTZ), false) AS expired FROM t",
     "caveat_check": f"WITH {_T} SELECT token_id, coalesce('{NOW}' < coalesce(expires_at, '2099-01-01T00:00:00Z') AND 'project:harbor-ledger' GLOB coalesce(scopes[1], '*') AND 1 <= len(capabilities), true) AS holds FROM t",
     "attenuation": f"WITH {_T}, j AS (SELECT c.token_id, coalesce(c.capabilities, []) AS cc, coalesce(p.capabilities, []) AS pc, coalesce(c.scopes, []) AS cs, coalesce(p.scopes, []) AS ps, c.budget_usd AS cb, p.budget_usd AS pb, c.expires_at AS ce, p.expires_at AS pe FROM t c JOIN t p ON lower(trim(c.parent_cap_id)) = lower(p.token_id)) SELECT token_id, 'capabilities' AS issue FROM j WHERE len(list_filter(cc, lambda x: NOT list_contains(pc, x))) > 0 UNION ALL SELECT token_id, 'scopes' FROM j WHERE len(list_filter(cs, lambda x: len(list_filter(ps, lambda p: p = x OR (NOT regexp_matches(p, '[?\\[\\]]') AND x GLOB p))) = 0)) > 0 UNION ALL SELECT token_id, 'budget' FROM j WHERE NOT coalesce(cb <= pb, false) UNION ALL SELECT token_id, 'expiry' FROM j WHERE pe IS NOT NULL AND (ce IS NULL OR ce > pe)",

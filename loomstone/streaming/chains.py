@@ -68,7 +68,7 @@ class CallPairer(StatefulProcessor):
     """Per session, agent and tool: open calls in order; a result takes the
     oldest one that is no older than the time to live."""
 
-    TTL, MOST = 900, 200
+    TTL = 900
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", StructType([StructField("calls", StringType())]))
@@ -79,7 +79,7 @@ class CallPairer(StatefulProcessor):
         for _, at, pid, result in pd.concat(list(rows)).sort_values(["at", "payload_id"])[["key", "at", "payload_id", "result"]].itertuples(index=False):
             calls = [c for c in calls if at - c[0] <= self.TTL]
             if not result:
-                calls = (calls + [[int(at), int(pid)]])[-self.MOST :]
+                calls.append([int(at), int(pid)])
             elif calls:
                 t0, call = calls.pop(0)
                 out.append((call, int(pid), int(at - t0)))

@@ -1,14 +1,17 @@
 """Operators that SQL cannot express, against brute force."""
 
+import datetime as dt
 import difflib
 import itertools
+import json
 import math
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loomstone.functions import normalize as n
-from loomstone.operators import audit, capability, evaluation, extract, orbit, resolution, search, shards, trace
+from loomstone.operators import audit, capability, evaluation, extract, jobs, orbit, resolution, search, shards, trace
 
 
 def test_similarity_follows_its_branches(spark):
@@ -106,8 +109,15 @@ def test_shard_states(spark):
     more = shards.put(store, spark.createDataFrame([("b", "z", "o", None), ("c", "x", "o", None), ("c", "x", "o", None)], schema))
     assert sorted((r.shard_id, r.scope) for r in more.collect()) == [("a", "x"), ("b", "y"), ("c", "x")]
     assert [r.shard_id for r in shards.delete(more, store).collect()] == ["c"]
-    moved = shards.move_scope(store, "a", "new").where("scope = 'new'").collect()
-    assert moved[0].parent_shard_id == "a" and moved[0].shard_id != "a"
+    atom = "shard_id string, pos int, atom_id long, text string, kind string, entity string, key string, value string, confidence double, source_ref string"
+    atoms = spark.createDataFrame([("a", 0, 1, "t", "fact", None, None, None, 1.0, None), ("b", 0, 2, "u", "fact", None, None, None, 1.0, None)], atom)
+    stores, all_atoms = shards.move_scope(store, atoms, "a", "new")
+    moved = stores.where("scope = 'new'").collect()
+    fresh = spark.createDataFrame([("f", "new", "o", None)], schema)
+    written = shards.content_addresses(fresh, atoms.where("shard_id = 'a'").withColumn("shard_id", F.lit("f"))).collect()
+    assert moved[0].parent_shard_id == "a" and moved[0].shard_id == written[0].address
+    assert all_atoms.where(F.col("shard_id") == moved[0].shard_id).count() == 1
+    assert shards.move_scope(stores, all_atoms, "a", "new")[0].count() == stores.count()
     refs = spark.createDataFrame([("b", 0), ("gone", 1), ("a", 2)], "shard_id string, pos int")
     assert [r.shard_id for r in shards.resolve_many(store, refs).collect()] == ["b", "a"]
 
@@ -178,3 +188,32 @@ def test_budget_rejections_do_not_count(spark):
     budget = spark.createDataFrame([("t", 100.0)], "k string, budget double")
     rows = capability.budget_ledger(spends, budget, "k", "o", "a").orderBy("o").collect()
     assert [(r.accepted, r.spent) for r in rows] == [(True, 60.0), (False, 60.0), (True, 100.0), (False, 100.0)]
+
+
+def test_results_take_the_oldest_call_still_open(spark):
+    schema = "payload_id long, hook_event_name string, session_id string, agent_id string, tool_name string, ts timestamp, received_at timestamp"
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=n)
+    calls = [(1, "PreToolUse", 0), (2, "PreToolUse", 2000), (4, "PreToolUse", 3000), (3, "PostToolUse", 2005), (5, "PostToolUse", 3004), (6, "PostToolUse", 3005)]
+    rows = spark.createDataFrame([(i, e, "s", None, "Bash", at(t), at(t)) for i, e, t in calls], schema)
+    assert sorted(map(tuple, trace.pair_calls(rows).collect())) == [(2, 3, 5), (4, 5, 4)]
+
+
+def test_json_is_closed_and_kept_without_secrets():
+    whole = {"a": [1, 2.5, {"b": 'x"y\\n'}], "c": None, "d": "é"}
+    text = json.dumps(whole)
+    assert json.loads(jobs.closed_json(text)) == whole
+    assert all(jobs.closed_json(text[:k]) is not None for k in range(1, len(text)))
+    assert json.loads(jobs.closed_json('{"a": [1, {"b": "long ' + "x" * 5000)) == {"a": [1, {"b": "long " + "x" * 5000}]}
+    assert jobs.closed_json('noise {"k": tru') == "{}" and jobs.closed_json("none") is None
+    key = "sk-ant-" + "a" * 20
+    kept = json.loads(jobs.redact_json(pd.Series([json.dumps({"note": f"use {key} now", "api_key": "k", "token": {"a": "b"}, "prompt": "hi", "l": list(range(300))})]), prompts=False)[0])
+    assert key not in kept["note"] and "<REDACTED:anthropic_key fp:" in kept["note"]
+    assert kept["api_key"] == "<REDACTED:key>" and kept["token"] == {"a": "b"} and kept["prompt"] == "<OMITTED:prompt 2 chars>" and len(kept["l"]) == 200
+
+
+def test_every_decision_verb_counts(spark):
+    said = [f"{v} ledgers because of cost" for v in ("We decided to use", "we chose", "picked", "went with", "We selected", "choosing")]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*said, "We chose queues for speed", "Selected maps over lists"])], "i int, t string")
+    got = {r.i: (r.a[0].key, r.a[0].value) for r in rows.select("i", extract.text_atoms(F.col("t")).alias("a")).collect()}
+    assert all(got[i] == ("ledgers", "of cost") for i in range(len(said)))
+    assert got[6] == ("queues", "speed") and got[7] == ("maps", "lists")
