@@ -184,7 +184,7 @@ SQL = {
   FROM h WHERE hook_event_name IN ('PreToolUse', 'PostToolUse') AND ts IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, p) AS i FROM e),
 f AS (SELECT k, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(t BIGINT, p BIGINT)[]) AS q, CAST(NULL AS BIGINT) AS call_id, CAST(NULL AS BIGINT) AS result_id, CAST(NULL AS BIGINT) AS waited FROM n GROUP BY k
   UNION ALL SELECT k, i, CASE WHEN r THEN q[2:] ELSE list_append(q, {{'t': t, 'p': p}}) END, CASE WHEN r AND len(q) > 0 THEN q[1].p END, CASE WHEN r AND len(q) > 0 THEN p END, CASE WHEN r AND len(q) > 0 THEN t - q[1].t END
-  FROM (SELECT n.k, n.i, n.p, n.t, n.r, list_filter(f.q, x -> n.t - x.t <= 900) AS q FROM f JOIN n ON n.k = f.k AND n.i = f.i + 1))
+  FROM (SELECT n.k, n.i, n.p, n.t, n.r, list_filter(f.q, lambda x: n.t - x.t <= 900) AS q FROM f JOIN n ON n.k = f.k AND n.i = f.i + 1))
 SELECT call_id, result_id, waited FROM f WHERE call_id IS NOT NULL""",
     "scope_match": f"WITH {_T} SELECT token_id, coalesce(len(list_filter(scopes, lambda s: 'project:harbor-ledger/notes' GLOB s)) > 0, false) AS opens, coalesce(list_contains(capabilities, 'export'), false) AS exports, coalesce(TIMESTAMPTZ '{NOW}' >= CAST(expires_at AS TIMESTAMPTZ), false) AS expired FROM t",
     "caveat_check": f"WITH {_T} SELECT token_id, coalesce('{NOW}' < coalesce(expires_at, '2099-01-01T00:00:00Z') AND 'project:harbor-ledger' GLOB coalesce(scopes[1], '*') AND 1 <= len(capabilities), true) AS holds FROM t",
