@@ -29,7 +29,12 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_limits(spark: SparkSession, d: str) -> DataFrame:
     """The hidden limits of each source and how many texts stop there."""
-    return truncation.hidden_limits(truncation.measured_texts(table(spark, d, "documents")).drop("text", "doc_id"))
+    return truncation.hidden_limits(truncation.measured_texts(table(spark, d, "documents")))
+
+
+def p9_steps(spark: SparkSession, d: str) -> DataFrame:
+    """How many cut texts each step decides: those at a limit, the others."""
+    return truncation.judged(table(spark, d, "documents")).groupBy("at_limit", "verdict").agg(F.count("*").alias("documents"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +90,7 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.tagged(table(spark, d, "hook_payloads")).select("payload_id", "field", "redacted", F.size("items").alias("items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p1_found": p1_found, "p1_confidence": p1_confidence, "p5_found": p5_found, "p5_groups": p5_groups, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_curriculum": p8_curriculum, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits}
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p1_found": p1_found, "p1_confidence": p1_confidence, "p5_found": p5_found, "p5_groups": p5_groups, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_curriculum": p8_curriculum, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits, "p9_steps": p9_steps}
 SQL: dict[str, str] = {}
 
 

@@ -1,10 +1,15 @@
 """Text cut off by field limits (problem 9).
 
-Every text's length is recomputed under several encodings (characters, UTF-8
-bytes, UTF-16 units, HTML escaping, JSON escaping, and each with line ends
-rewritten).  Counted by source and measure, a length at which far more texts
-stop than at its neighbours is a hidden storage limit.  Endings are inspected
-then: most speak for themselves, the unclear ones are settled by the limit.
+One Arrow pass recomputes every text's length under several encodings
+(characters, UTF-8 bytes, UTF-16 units, HTML escaping, JSON escaping, and each
+with line ends rewritten) and inspects its ending.  Counted by source and
+measure over different texts, a length at which far more texts stop than at
+its neighbours is a hidden storage limit; of limits that the same texts show
+under several measures the one that most texts obey is kept.
+
+A text that stops at its source's limit is cut unless its ending says
+otherwise, as whole texts of just that length occur.  Elsewhere (cut in mid
+transfer) the ending alone must say so, and an unclear one doesn't.
 
 Defined results: null and blank texts are whole; a text is cut if it stops
 inside a word or sentence, whatever mark was added there; texts that end with
@@ -18,7 +23,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +34,18 @@ from loomstone.session import materialize
 #: Different texts that must stop at one length, beyond what chance gives
 #: around the mean of the lengths this near.
 LIMIT_TEXTS, NEARBY = 8, 12
-#: Most characters of a mark that was added at a break.
-MARK_CHARS = 120
+#: Measures of length, the plainest first.
+MEASURES = ("chars", "utf8", "utf16", "html", "json", "chars_crlf", "utf8_crlf", "html_crlf", "chars_lf", "utf8_lf", "html_lf")
+#: A limit is the shadow of another one if so many of its texts obey that too.
+SHADOW = 0.8
 
 # Marks that programs leave where they cut.
 _HARD_MARK = (
-    r"\s*(?:\[\s*(?:cut|truncated|snip(?:ped)?|more|continued|gekürzt|tronqué|cortado)\b[^\]]*\]|\(\s*(?:cut|truncated|snip(?:ped)?|more)\b[^)]*\)"
-    r"|<\s*(?:cut|truncated|snip(?:ped)?|more)\b[^>]*>|(?:\.{2,}|…)?\s*[<\[(]\+?\d+\s*(?:more\s+)?(?:chars?|characters|bytes|words|Zeichen)[^>\])]*[>\])]|�+|\[\s*(?:\.{3}|…)\s*\])\s*$"
+    r"(?:\[\s*(?:cut|truncated|snip(?:ped)?|more|continued|gekürzt|tronqué|cortado)\b[^\]]*\]|\(\s*(?:cut|truncated|snip(?:ped)?|more)\b[^)]*\)"
+    r"|<\s*(?:cut|truncated|snip(?:ped)?|more)\b[^>]*>|(?:\.{2,}|…)?\s*[<\[(]\+?\d+\s*(?:more\s+)?(?:chars?|characters|bytes|words|Zeichen)[^>\])]*[>\])]|�+|\[\s*(?:\.{3}|…)\s*\])$"
 )
-_SOFT_MARK = r"\s*(?:\.{2,}|…)\s*$"
-_END = r"(?:[.?!。！？]|[.?!]\*+)[\"'”’»“«)\]*_`]*\s*$"
+_CLOSERS = "\"'”’»“«)]*_`"
+_STOPS = ".?!。！？"
 
 
 def source_key(c: Column) -> Column:
@@ -44,43 +53,46 @@ def source_key(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.lower(F.trim(c)), r"[-\s]+", "_"), F.lit(""))
 
 
-def lengths(body: Column) -> dict[str, Column]:
-    """The length of ``body`` under each measure."""
-    chars = F.char_length(body)
-    count = lambda s: F.char_length(body) - F.char_length(F.replace(body, F.lit(s)))
-    crlf = count("\r\n") / F.lit(2)
-    grow = count("\n") - crlf
-    units = F.octet_length(F.encode(body, "UTF-16LE")) / F.lit(2)
-    html = 4 * count("&") + 3 * (count("<") + count(">")) + 5 * (count('"') + count("'"))
-    json = count('"') + count("\\") + count("\n") + count("\r") + count("\t")
-    out = {"chars": chars, "utf8": F.octet_length(body), "utf16": units, "html": chars + html, "json": chars + json}
-    out |= {f"{k}_crlf": v + grow for k, v in list(out.items()) if k in ("chars", "utf8", "html")}
-    out |= {f"{k}_lf": v - crlf for k, v in list(out.items()) if k in ("chars", "utf8", "html")}
-    return {k: v.cast("int") for k, v in out.items()}
+def lengths(body: pa.Array) -> np.ndarray:
+    """The length of each text under each of ``MEASURES``, one row a text."""
+    count = lambda x: pc.count_substring(body, x).to_numpy(zero_copy_only=False).astype(np.int64)
+    chars = pc.utf8_length(body).to_numpy(zero_copy_only=False).astype(np.int64)
+    utf8 = pc.binary_length(body).to_numpy(zero_copy_only=False).astype(np.int64)
+    astral = pc.count_substring_regex(body, r"[\x{10000}-\x{10FFFF}]").to_numpy(zero_copy_only=False)
+    crlf, lf, cr, quotes = count("\r\n"), count("\n"), count("\r"), count('"')
+    html = chars + 4 * count("&") + 3 * (count("<") + count(">")) + 5 * (quotes + count("'"))
+    json = chars + quotes + count("\\") + lf + cr + count("\t")
+    grow = lf - crlf
+    plain = [chars, utf8, chars + astral, html, json]
+    return np.stack([*plain, chars + grow, utf8 + grow, html + grow, chars - crlf, utf8 - crlf, html - crlf], axis=1).astype(np.int32)
 
 
 def hidden_limits(measured: DataFrame) -> DataFrame:
     """(source, measure, length, n): lengths at which a source stops its texts.
 
-    ``measured`` has source, a hash of the text (texts filed again count once)
-    and one int column for each measure.  Counts come
-    from all rows, combined before the shuffle.
+    ``measured`` has source, ``_h`` (a hash of the text: texts filed again
+    count once) and ``lens``, its lengths by ``MEASURES``.  Counts come from
+    all different texts, combined before the shuffle.
     """
-    names = [c for c in measured.columns if c.startswith("m_")]
-    stack = ", ".join(f"'{c[2:]}', {c}" for c in names)
-    counts = (
-        measured.select("source", "_h", F.expr(f"stack({len(names)}, {stack}) as (measure, length)"))
-        .groupBy("source", "measure", "length")
-        .agg(F.approx_count_distinct("_h", 0.02).alias("n"))
-    )
-    near = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-NEARBY, NEARBY)
-    rest = F.sum("n").over(near) - F.col("n")
+    texts = measured.groupBy("source", "_h").agg(F.first("lens").alias("lens"))
+    counts = texts.select("source", F.posexplode("lens").alias("m", "length")).groupBy("source", "m", "length").agg(F.count("*").alias("n"))
+    near = Window.partitionBy("source", "m").orderBy("length").rangeBetween(-NEARBY, NEARBY)
     mean = F.col("rest") / (2 * NEARBY)
-    spikes = counts.withColumn("rest", rest).where(F.col("n") >= LIMIT_TEXTS + 3 * mean + 5 * F.sqrt(mean))
-    return spikes.select("source", "measure", "length", "n")
-
-
-_HARD, _SOFT, _ENDS = re.compile(_HARD_MARK, re.I), re.compile(_SOFT_MARK), re.compile(_END)
+    spikes = materialize(
+        counts.withColumn("rest", F.sum("n").over(near) - F.col("n")).where(F.col("n") >= LIMIT_TEXTS + 3 * mean + 5 * F.sqrt(mean)).select("source", "m", "length", "n")
+    )
+    # Texts that obey two of them tell whether one is the other's shadow.
+    obeyed = texts.select("source", "_h", F.posexplode("lens").alias("m", "length")).join(spikes, ["source", "m", "length"])
+    obeyed = obeyed.groupBy("source", "_h").agg(F.collect_list(F.struct("m", "length", "n")).alias("a")).withColumn("b", F.col("a"))
+    both = obeyed.select("source", F.explode("a").alias("a"), "b").select("source", "a", F.explode("b").alias("b")).groupBy("source", "a", "b").agg(F.count("*").alias("both"))
+    more = (F.col("b.n") > 1.02 * F.col("a.n")) | ((1.02 * F.col("b.n") >= F.col("a.n")) & (F.col("b.m") < F.col("a.m")))
+    shadows = both.where((F.col("both") >= SHADOW * F.col("a.n")) & more).select("source", F.col("a.m").alias("m"), F.col("a.length").alias("length")).distinct()
+    names = F.array(*[F.lit(x) for x in MEASURES])
+    kept = spikes.join(shadows, ["source", "m", "length"], "left_anti")
+    return kept.select("source", F.element_at(names, F.col("m") + 1).alias("measure"), "length", "n")
+
+
+_HARD = re.compile(_HARD_MARK, re.I)
 _BULLET = re.compile(r"^\s*(?:[-*•·–▪◦+]|\d{1,3}[.)]|[a-z][.)]|\[[ xX]?\])\s+\S")
 _PAIR = re.compile(r"^\s*[^\s:=][^:=]{0,30}\s*[:=]\s*\S.{0,80}$")
 _TAGS = re.compile(r"^\s*(?:tags?|labels?|keywords?|topics?|schlagw\w+|stichw\w+|etiquetas|mots[- ]cl\w+|palabras clave|see also|cc|ref|refs)\s*:", re.I)
@@ -93,18 +105,52 @@ _PATHS = re.compile(r"(?:^|\s)(?:https?://\S+|[\w.~-]*/[\w./~-]*\.[a-z0-9]{1,5}|
 _SENTENCES = re.compile(r"[.?!](?:[\"'”’»)\]]*)(?=\s)")
 
 
+def parted(text: str) -> tuple[str, str, bool]:
+    """(body, mark, soft): the text before a mark that a program left where it
+    cut, that mark, and whether the body ends with an ellipsis.
+
+    A mark holds no closing bracket but its last character (or replacement
+    characters only), so the search begins after the closing bracket before."""
+    whole = text.rstrip()
+    mark = ""
+    if whole.endswith(("]", ")", ">")):
+        hit = _HARD.search(whole, whole.rfind(whole[-1], 0, len(whole) - 1) + 1)
+        mark = whole[hit.start() :] if hit else ""
+    elif whole.endswith("\ufffd"):
+        mark = whole[len(whole.rstrip("\ufffd")) :]
+    body = whole[: len(whole) - len(mark)].rstrip() if mark else whole
+    return body, mark, body.endswith(("…", ".."))
+
+
+def ended(body: str) -> bool:
+    """Whether a text ends with a stop, quotes and brackets after it aside."""
+    return body.rstrip().rstrip(_CLOSERS).endswith(tuple(_STOPS))
+
+
+def last_words(body: str) -> str:
+    """The end of ``body`` that holds its last three words, if it has so many."""
+    at, words = len(body), 0
+    while at and words < 4:
+        at -= 1
+        words += (body[at].isalnum() or body[at] == "_") and not (at and (body[at - 1].isalnum() or body[at - 1] == "_"))
+    return body[at:]
+
+
+def without_ellipsis(body: str) -> str:
+    """``body`` without the ellipsis at its end."""
+    return body[:-1].rstrip() if body.endswith("…") else body.rstrip(".").rstrip()
+
+
 def inspect(text: str) -> tuple[str, str]:
     """(verdict, phrase): ``whole``, ``cut``, or ``soft`` (an ellipsis; phrase
     holds the words before it), ``odd`` (no grammar to go by)."""
-    hard = _HARD.search(text)
-    body = text[: hard.start()] if hard else text.rstrip()
-    if hard:
-        return ("whole" if _ENDS.search(body) and not _SOFT.search(body) and "�" not in hard.group() else "cut"), ""
-    soft = _SOFT.search(body)
+    body, mark, soft = parted(text)
+    if mark:
+        return ("whole" if ended(body) and not soft and "\ufffd" not in mark else "cut"), ""
     if soft:
-        return "soft", " ".join(re.findall(r"\w+", body[: soft.start()])[-3:]).lower()
-    if _ENDS.search(body):
-        return ("odd" if re.search(r"\d\.$", body) else "whole"), ""
+        return "soft", " ".join(re.findall(r"\w+", last_words(without_ellipsis(body)))[-3:]).lower()
+    if ended(body):
+        return ("odd" if re.fullmatch(r"\d\.", body[-2:]) else "whole"), ""
     lines = body.splitlines()
     last = lines[-1]
     before = [x for x in lines[:-1]]
@@ -124,7 +170,7 @@ def inspect(text: str) -> tuple[str, str]:
     if _BULLET.match(last):
         others = [x for x in before if _BULLET.match(x)]
         if others:
-            return ("cut" if _ENDS.search(others[-1]) else "whole"), ""
+            return ("cut" if ended(others[-1]) else "whole"), ""
         return ("odd" if len(last.split()) <= 5 else "cut"), ""
     if _TAGS.match(last) or _PATHS.search(last):
         return "whole", ""
@@ -132,7 +178,7 @@ def inspect(text: str) -> tuple[str, str]:
         return "whole", ""
     if len(block) >= 2 and len(last.split()) <= 6 and (_CLOSING.match(block[1]) or any(_CLOSING.match(x) for x in block[1:3])):
         return "whole", ""
-    if len(block) >= 2 and all(_PAIR.match(x) and len(x.split()) <= 6 and not _ENDS.search(x) for x in block):
+    if len(block) >= 2 and all(_PAIR.match(x) and len(x.split()) <= 6 and not ended(x) for x in block):
         return "whole", ""
     if re.match(r"^\s*#{1,6}\s+\S", last) or re.match(r"^\s*==+\s*\S", last):
         return "odd", ""
@@ -142,55 +188,56 @@ def inspect(text: str) -> tuple[str, str]:
     return "cut", ""
 
 
-def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        found = [inspect(x) for x in pdf["text"]]
-        yield pd.DataFrame(
-            {"doc_id": pdf["doc_id"], "_h": pdf["_h"], "verdict": [x[0] for x in found], "phrase": [x[1] for x in found]}
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        bodies = []
+        for text in texts:
+            body, mark, soft = parted(text)
+            bodies.append(without_ellipsis(body) if soft else body if mark else text)
+        lens = lengths(pa.array(bodies, pa.string()))
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(MEASURES)), pa.array(lens.ravel()))
+        found = [inspect(x) for x in texts]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(3), rows, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())],
+            ["doc_id", "source", "_h", "lens", "verdict", "phrase"],
         )
 
 
 def measured_texts(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, text, m_<measure>...) of the texts that hold anything;
-    lengths are those of the text before a mark that was added at a break."""
-    rows = documents.select("doc_id", source_key(F.col("source")).alias("source"), "text").where("text is not null and text rlike '\\\\S'")
-    # Marks stand at the very end; the patterns needn't search the whole text.
-    head = F.expr(f"left(text, greatest(char_length(text) - {MARK_CHARS}, 0))")
-    tail = F.regexp_replace(F.regexp_replace(F.right(F.col("text"), F.lit(MARK_CHARS)), f"(?i){_HARD_MARK}", ""), _SOFT_MARK, "")
-    body = F.concat(head, tail)
-    rows = rows.withColumn("_b", body)
-    return rows.select("doc_id", "source", "text", F.xxhash64("text").alias("_h"), *[v.alias(f"m_{k}") for k, v in lengths(F.col("_b")).items()])
-
-
-def truncated(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, at_limit): the documents whose text was cut off."""
-    rows = measured_texts(documents)
-    names = [c for c in rows.columns if c.startswith("m_")]
-    limits = materialize(hidden_limits(rows.drop("text", "doc_id")))
-    # Plainly ended texts are settled in the JVM; only the rest goes to Python.
-    end = F.right(F.rtrim("text"), F.lit(12))
-    plain = end.rlike(r"[^.\d…�][.?!]\s*$") & ~end.rlike(_SOFT_MARK)
-    unclear = rows.where(~plain)
-    verdicts = unclear.select("doc_id", "_h", "text").mapInPandas(_inspect, "doc_id long, _h long, verdict string, phrase string")
-    stack = ", ".join(f"'{c[2:]}', {c}" for c in names)
-    at = (
-        unclear.select("doc_id", "source", F.expr(f"stack({len(names)}, {stack}) as (measure, length)"))
-        .join(limits, ["source", "measure", "length"], "left")
-        .groupBy("doc_id", "source")
-        .agg(F.max(F.col("n").isNotNull()).alias("at_limit"))
-    )
-    judged = materialize(verdicts.where("verdict != 'whole'").join(at, "doc_id"))
+    """(doc_id, source, _h, lens, verdict, phrase) of the texts that hold
+    anything; lengths are those of the text before a mark added at a break."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(F.col("source")).alias("source"), F.col("text").cast("string").alias("text"))
+    rows = rows.where("text is not null and text rlike '\\\\S'").withColumn("_h", F.xxhash64("text"))
+    return rows.mapInArrow(_measure, "doc_id long, source string, _h long, lens array<int>, verdict string, phrase string")
+
+
+def judged(documents: DataFrame, endings: bool = True) -> DataFrame:
+    """(doc_id, source, at_limit, verdict): the documents whose text was cut
+    off.  Without ``endings`` every text that stops at a limit of its source
+    is named and no other, whatever it looks like."""
+    rows = materialize(measured_texts(documents))
+    limits = materialize(hidden_limits(rows))
+    order = F.create_map(*[x for i, m in enumerate(MEASURES) for x in (F.lit(m), F.lit(i))])
+    unclear = rows.where("verdict != 'whole'") if endings else rows
+    keys = limits.select("source", order[F.col("measure")].alias("m"), "length", F.lit(True).alias("hit"))
+    at = unclear.select("doc_id", "source", F.posexplode("lens").alias("m", "length")).join(keys, ["source", "m", "length"]).select("doc_id").distinct()
+    placed = unclear.drop("lens").join(at.withColumn("at_limit", F.lit(True)), "doc_id", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
+    if not endings:
+        return placed.where("at_limit").select("doc_id", "source", "at_limit", "verdict").distinct()
     # An author's own ellipsis comes after a phrase that recurs in different
     # texts; copies of one text count once.
-    soft = judged.where("verdict = 'soft'")
-    texts = soft.select("phrase", "_h").distinct()
+    texts = rows.where("verdict = 'soft'").select("phrase", "_h").distinct()
     phrases = texts.groupBy("phrase").agg(F.count("*").alias("k"))
     total = texts.count()
-    share = phrases.where((F.col("k") >= 3) & (F.col("k") >= 0.005 * total))
-    own = soft.join(share.select("phrase", F.lit(True).alias("own")), "phrase", "left")
-    cut_soft = own.where("at_limit or own is null").select("doc_id", "source", "at_limit")
-    cut = judged.where("verdict = 'cut' or (verdict = 'odd' and at_limit)").select("doc_id", "source", "at_limit")
-    return cut.unionByName(cut_soft).distinct()
+    own = phrases.where((F.col("k") >= 3) & (F.col("k") >= 0.005 * total)).select("phrase", F.lit(True).alias("own"))
+    cut = F.col("at_limit") | (F.col("verdict") == "cut") | ((F.col("verdict") == "soft") & F.col("own").isNull())
+    return placed.join(own, "phrase", "left").where(cut).select("doc_id", "source", "at_limit", "verdict").distinct()
+
+
+def truncated(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, at_limit): the documents whose text was cut off."""
+    return judged(documents).select("doc_id", "source", "at_limit").distinct()
 
 
 def truncation_rates(documents: DataFrame) -> DataFrame:

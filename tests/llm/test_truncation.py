@@ -37,7 +37,7 @@ def corpus():
     r = random.Random(3)
     rows, cut = [], set()
     for i in range(300):
-        text = " ".join(f"The {r.choice(['clerk', 'porter', 'warden'])} moved {r.randrange(10**6)} café files to room {r.randrange(99)} today." for _ in range(6))
+        text = " ".join(f"The {r.choice(['clerk', 'porter', 'warden'])} moved {r.randrange(10**6)} {r.choice(['café', 'cafe', 'tea'])} files to room {r.randrange(99)} today." for _ in range(6))
         if i % 3 == 0:
             text = text.encode()[:200].decode("utf-8", "ignore")
             if text.rstrip().endswith("."):
@@ -55,8 +55,27 @@ def test_corpus_and_limit(spark):
     assert {x.doc_id for x in found} == cut and len(found) == len(cut)
     rate = {x.source: x for x in t.truncation_rates(df).collect()}
     assert rate["feed_a"].cut == len(cut)
-    limits = t.hidden_limits(t.measured_texts(df).drop("text", "doc_id")).collect()
-    assert any(x.measure == "utf8" and x.length in (198, 199, 200) for x in limits)
+    limits = t.hidden_limits(t.measured_texts(df)).collect()
+    assert any(x.measure == "utf8" and x.length in (198, 199, 200) for x in limits), limits
+
+
+def test_a_known_limit_tells_without_the_endings(spark):
+    r = random.Random(5)
+    text = lambda: " ".join(f"The clerk moved {r.randrange(10**6)} files to room {r.randrange(99)} today." for _ in range(8))
+    rows = [(i, text()[:300] if i % 4 == 0 else text(), "feed", "m", 1) for i in range(400)]
+    rows += [(1000 + i, text() + f" [{'truncated: ' + 'x' * 500}]", "mail", "m", 1) for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    named = {x.doc_id for x in t.judged(df, endings=False).collect()}
+    assert {i for i, x, *_ in rows[:400] if i % 4 == 0 and len(x) == 300} == named
+    found = {x.doc_id for x in t.truncated(df).collect()}
+    assert found <= named and len(found) >= 0.9 * len(named)
+
+
+def test_marks_of_any_length_and_long_texts():
+    assert t.inspect("A start. And then the ledg [truncated " + "y" * 900 + "]")[0] == "cut"
+    assert t.inspect("A start. And then the ledg (an aside)")[0] == "cut"
+    assert t.inspect("w " * 200_000 + "It ends.")[0] == "whole"
+    assert t.lengths(t.pa.array(['é<"\r\n𝒳'])).tolist() == [[6, 10, 7, 14, 9, 6, 10, 14, 5, 9, 13]]
 
 
 def test_empty(spark):
