@@ -61,12 +61,12 @@ def test_corpus_and_limit(spark):
 
 def test_a_known_limit_tells_without_the_endings(spark):
     r = random.Random(5)
-    text = lambda: " ".join(f"The clerk moved {r.randrange(10**6)} files to room {r.randrange(99)} today." for _ in range(8))
+    text = lambda: " ".join(f"The clerk moved {r.randrange(10**6)} files to the {'r' * r.randrange(40)}oom today." for _ in range(r.randrange(7, 30)))
     rows = [(i, text()[:300] if i % 4 == 0 else text(), "feed", "m", 1) for i in range(400)]
     rows += [(1000 + i, text() + f" [{'truncated: ' + 'x' * 500}]", "mail", "m", 1) for i in range(3)]
     df = spark.createDataFrame(rows, SCHEMA)
     named = {x.doc_id for x in t.judged(df, endings=False).collect()}
-    assert {i for i, x, *_ in rows[:400] if i % 4 == 0 and len(x) == 300} == named
+    assert {i for i, x, *_ in rows[:400] if i % 4 == 0 and len(x) == 300} <= named and len(named) <= 105
     found = {x.doc_id for x in t.truncated(df).collect()}
     assert found <= named and len(found) >= 0.9 * len(named)
 
