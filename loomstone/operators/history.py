@@ -5,10 +5,14 @@ the period a value was valid in and the period the ledger believed so.  A late
 report splits the interval it falls into; the earlier ledger row is closed on
 the recorded axis and superseded by a shorter one, never overwritten.
 
-The sweep runs over range partitions of (key, start), so that the longest
-history is cut into many tasks.  Within a partition a monotone stack finds for
-each start the neighbour that was known before it; what the stack of one
-partition leaves open at its edges is a short staircase, swept once more.
+The sweep runs in place over range partitions (chunks) of (key, start), so that
+the longest history is cut into many tasks.  Within a chunk a monotone stack
+finds for each start the neighbour that was known before it.  What it leaves
+open at a chunk's edge is met by another chunk only if something there was
+recorded earlier: the earliest moment of each chunk and key, of which there are
+no more than two a chunk, tells which chunk that is, if any.  With reports in
+order hardly a row goes on; what does is spread over salts and looked up in
+the staircase of first and last moments of its chunk.
 
 Defined results: a row without ``valid_from`` starts at ``recorded_at``; a row
 with neither has no place in time and is left out; a row whose ``valid_to``
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +33,10 @@ from pyspark.sql import functions as F
 from loomstone.functions.instants import blank_to_null, iso_utc, parse_instant
 from loomstone.session import materialize, parallelism
 
-_EVENT = "_key string, _start long, _at long, _end long, _prev boolean, _next boolean"
+_SWEPT = "_chunk int, _key string, _start long, _at long, _end long, _prev boolean, _next boolean"
+_EVENT = "_key string, _start long, _at long, _end long"
+#: Open rows that one salt of a chunk's staircase takes.
+SALT_ROWS = 200_000
 
 
 def _reports(
@@ -50,59 +58,69 @@ def _reports(
     return rows.withColumn("_key", named).withColumn("_at", F.coalesce("_at", F.lit(-(2**62)))).distinct()
 
 
-def _sweep(chunk: bool):
-    """Monotone stack over rows sorted by (chunk,) key and start.
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Monotone stack over one chunk, sorted by key and start.
 
-    Emits, for a start, the ends it had and from when; with ``chunk`` also the
-    rows whose neighbour may lie in another partition (``_prev``/``_next``).
+    Emits, for a start, the ends it had and from when; and of the chunk's first
+    and last key the rows whose neighbour before (``_prev``) or after
+    (``_next``) may stand in another chunk.
     """
+    cols = ["_chunk", "_key", "_start", "_at", "_end", "_prev", "_next"]
+    out: list[tuple] = []
+    stack: list[tuple[int, int]] = []
+    chunk, here, first = 0, None, True
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        stack: list[tuple[int, int, bool, bool]] = []
-        here: tuple = (None, None)
-        first = True  # the segment is the first of its chunk
-
-        def close(last: bool) -> None:
-            for start, at, prev, nxt in stack:
-                if chunk and last:
-                    out.append((here[1], start, at, None, prev, True))
-                elif chunk:
-                    out.append((here[1], start, at, None, False, False))
-                    if prev:
-                        out.append((here[1], start, at, None, True, False))
-                elif nxt:
-                    out.append((here[1], start, at, None, False, False))
-            stack.clear()
-
-        for pdf in batches:
-            marks = pdf["_chunk"].tolist() if chunk else [0] * len(pdf)
-            flags = ([(True, True)] * len(pdf)) if chunk else list(zip(pdf["_prev"].tolist(), pdf["_next"].tolist()))
-            for mark, key, start, at, (want_prev, want_next) in zip(
-                marks, pdf["_key"].tolist(), pdf["_start"].tolist(), pdf["_at"].tolist(), flags
-            ):
-                if (mark, key) != here:
-                    close(last=mark != here[0])
-                    first = mark != here[0]
-                    here = (mark, key)
-                while stack and stack[-1][1] >= at:
-                    p_start, p_at, p_prev, p_next = stack.pop()
-                    if p_next:
-                        out.append((key, p_start, p_at, start, False, False))
-                    if chunk and p_prev:
-                        out.append((key, p_start, p_at, None, True, False))
-                open_left = not stack
-                if stack and want_prev:
-                    out.append((key, stack[-1][0], at, start, False, False))
-                stack.append((start, at, chunk and open_left and first, want_next))
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["_key", "_start", "_at", "_end", "_prev", "_next"]).astype({"_end": "Int64"})
-                out.clear()
-        close(last=True)
-        if out:
-            yield pd.DataFrame(out, columns=["_key", "_start", "_at", "_end", "_prev", "_next"]).astype({"_end": "Int64"})
+    def flush() -> pd.DataFrame:
+        rows = pd.DataFrame(out, columns=cols).astype({"_end": "Int64"})
+        out.clear()
+        return rows
+
+    for pdf in batches:
+        for chunk, key, start, at in zip(*(pdf[c].tolist() for c in cols[:4])):
+            if key != here:
+                first = here is None
+                here = key
+                stack.clear()
+            while stack and stack[-1][1] >= at:
+                before, known = stack.pop()
+                out.append((chunk, key, before, known, start, False, False))
+            if stack:
+                out.append((chunk, key, stack[-1][0], at, start, False, False))
+            elif first:
+                out.append((chunk, key, start, at, None, True, False))
+            stack.append((start, at))
+        if len(out) > 50_000:
+            yield flush()
+    out.extend((chunk, here, start, at, None, False, True) for start, at in stack)
+    if out:
+        yield flush()
 
-    return run
+
+def _lookup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Open rows against the staircase of the chunk that holds their neighbour;
+    groups come one after the other, each with its stairs first."""
+    here: tuple = ()
+    stairs: list[tuple[int, int]] = []
+    for pdf in batches:
+        out = []
+        for group, part in pdf.groupby(["_key", "_target", "_right", "_salt"], sort=False):
+            if group != here:
+                here, stairs = group, []
+            steps = part[part["_stair"]]
+            stairs += list(zip(steps["_start"].tolist(), steps["_at"].tolist()))
+            asked = part[~part["_stair"]]
+            if not len(asked):
+                continue
+            starts, moments = (np.array(x, np.int64) for x in zip(*stairs))
+            start, at = asked["_start"].to_numpy(np.int64), asked["_at"].to_numpy(np.int64)
+            if group[2]:  # the first one after that was known no later
+                found = starts[np.searchsorted(-moments, -at, "left")]
+                out.append(pd.DataFrame({"_key": group[0], "_start": start, "_at": at, "_end": found}))
+            else:  # the last one before that was known earlier
+                found = starts[np.searchsorted(moments, at, "left") - 1]
+                out.append(pd.DataFrame({"_key": group[0], "_start": found, "_at": at, "_end": start}))
+        if out:
+            yield pd.concat(out, ignore_index=True)
 
 
 def range_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -111,25 +129,43 @@ def range_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return materialize(df.repartitionByRange(n, *order).withColumn("_chunk", F.spark_partition_id()))
 
 
+def open_rows(swept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, minima): the rows that another chunk completes, with that chunk
+    (``_target``) and its side (``_right``), and each key's earliest moments."""
+    edges = swept.where("_prev or _next")
+    minima = edges.groupBy("_key", "_chunk").agg(F.min("_at").alias("_m"))
+    line = Window.partitionBy("_key").orderBy("_chunk")
+    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    around = minima.select("_key", "_chunk", F.min("_m").over(before).alias("_earlier"), F.min("_m").over(after).alias("_later"))
+    every = minima.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_chunk", "_m"))).alias("_all"))
+    # A chunk has one first and one last key: two rows a chunk at most.
+    told = edges.join(F.broadcast(around.where("_earlier is not null or _later is not null")), ["_key", "_chunk"])
+    met = lambda rows, holds, end: rows.join(F.broadcast(every), "_key").withColumn("_target", F.element_at(F.filter("_all", holds), end)["_chunk"])
+    left = met(told.where(F.col("_prev") & (F.col("_earlier") < F.col("_at"))), lambda x: (x["_chunk"] < F.col("_chunk")) & (x["_m"] < F.col("_at")), -1)
+    right = met(told.where(F.col("_next") & (F.col("_later") <= F.col("_at"))), lambda x: (x["_chunk"] > F.col("_chunk")) & (x["_m"] <= F.col("_at")), 1)
+    cols = ["_key", "_start", "_at", "_target"]
+    asked = left.select(*cols, F.lit(False).alias("_right")).unionByName(right.select(*cols, F.lit(True).alias("_right")))
+    return asked, minima
+
+
 def _interval_ends(slots: DataFrame) -> DataFrame:
     """Every end each start ever had: (_key, _start, _at, _end), open is null."""
     n = parallelism(slots.sparkSession)
-    chunks = range_chunks(slots, ["_key", "_start"])
-    swept = materialize(
-        chunks.repartition(n, "_chunk")
-        .sortWithinPartitions("_chunk", "_key", "_start")
-        .select("_chunk", "_key", "_start", "_at")
-        .mapInPandas(_sweep(chunk=True), _EVENT)
-    )
-    # The staircases at the chunks' edges, in order: one more sweep.
-    stairs = (
-        swept.where("_prev or _next")
-        .groupBy("_key", "_start", "_at")
-        .agg(F.max("_prev").alias("_prev"), F.max("_next").alias("_next"))
-    )
-    rest = stairs.repartition(n, "_key").sortWithinPartitions("_key", "_start").mapInPandas(_sweep(chunk=False), _EVENT)
+    ranged = slots.repartitionByRange(n, "_key", "_start").sortWithinPartitions("_key", "_start")
+    swept = materialize(ranged.select(F.spark_partition_id().alias("_chunk"), "_key", "_start", "_at").mapInPandas(_sweep, _SWEPT))
+    asked = materialize(open_rows(swept)[0])
+    group = ["_key", "_target", "_right"]
+    # As many groups as chunks have edges, so this is small too.
+    sizes = asked.groupBy(*group).agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_k"))
+    stairs = swept.where("_prev or _next").select("_key", "_start", "_at", F.col("_chunk").alias("_target"), F.col("_prev").alias("_right"))
+    stairs = stairs.join(F.broadcast(sizes), group).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    spread = asked.join(F.broadcast(sizes), group).withColumn("_salt", F.pmod(F.xxhash64("_start"), F.col("_k")).cast("int"))
+    cols = [*group, "_salt", "_stair", "_start", "_at"]
+    both = stairs.withColumn("_stair", F.lit(True)).select(cols).unionByName(spread.withColumn("_stair", F.lit(False)).select(cols))
+    ordered = both.repartition(n, *group, "_salt").sortWithinPartitions(*group, "_salt", F.desc("_stair"), "_start")
+    rest = ordered.mapInPandas(_lookup, _EVENT)
     # Starts reported at once have one end from that moment: the nearest.
-    events = swept.where("not _prev and not _next").unionByName(rest)
+    events = swept.where("_end is not null").select("_key", "_start", "_at", "_end").unionByName(rest)
     return events.groupBy("_key", "_start", "_at").agg(F.min("_end").alias("_end"))
 
 

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from loomstone.operators import history as h
 
 SCHEMA = "triple_id long, subject string, predicate string, object string, valid_from string, valid_to string, source_ref string, recorded_at timestamp, _key string"
@@ -86,6 +88,32 @@ def test_ledger_knows_what_was_believed_at_any_time(spark):
         assert {((x.subject, x.predicate), hours(x.valid_from), hours(x.next_from), x.value) for x in held} == want
 
 
+def test_reports_in_order_leave_nothing_open(spark):
+    n = 1_000_000
+    ids = spark.range(n)
+    slots = ids.select(F.lit("k").alias("_key"), F.col("id").alias("_start"), F.when(F.col("id") % 9973 == 0, F.col("id") - 50).otherwise(F.col("id")).alias("_at"))
+    ranged = slots.repartitionByRange(8, "_key", "_start").sortWithinPartitions("_key", "_start").select(F.spark_partition_id().alias("_chunk"), "*")
+    swept = ranged.mapInPandas(h._sweep, h._SWEPT)
+    asked, minima = h.open_rows(swept)
+    assert minima.count() == 8 and asked.count() < n / 100
+
+
+def test_chunk_edges_match_brute_force(spark):
+    r = random.Random(8)
+    for kind in (lambda i: i, lambda i: 500 - i, lambda i: r.randrange(40), lambda i: i if i % 50 else 3):
+        rows = [("k" if i < 450 else f"z{i}", i, kind(i)) for i in range(500)]
+        got = {(x._start, x._at): x._end for x in h._interval_ends(spark.createDataFrame(rows, "_key string, _start long, _at long")).collect()}
+        want = {}
+        for key, start, at in rows:
+            own = [(s, a) for k, s, a in rows if k == key]
+            for moment in {a for _, a in own if a >= at}:
+                nxt = [s for s, a in own if s > start and a <= moment]
+                old = [s for s, a in own if s > start and a < moment]
+                if nxt and (moment == at or not old or min(nxt) != min(old)):
+                    want[start, moment] = min(nxt)
+        assert got == want
+
+
 def test_empty_and_unreadable(spark):
     assert h.attribute_history(load(spark, [])).count() == 0
     odd = spark.createDataFrame([(1, "s", "p", "o", "soon", " ", None, ts(3), "k"), (2, "s", "p", "o", None, None, None, None, "k")], SCHEMA)
