@@ -36,7 +36,13 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("path", F.array_join("path", "/")).withColumn("descendants", F.coalesce("descendants", F.lit(-1)))
 
 
-QUERIES = {"p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_paths": p6_paths}
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Number of descendants of each node, -1 on and below cycles."""
+    rows = hierarchy.descendant_counts(_links(spark, d))
+    return rows.withColumn("descendants", F.coalesce("descendants", F.lit(-1)))
+
+
+QUERIES = {"p6_descendants": p6_descendants, "p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_paths": p6_paths}
 
 _REPORTS = """
 WITH r AS (
@@ -52,7 +58,22 @@ WITH r AS (
   QUALIFY row_number() OVER (PARTITION BY subject, predicate, s ORDER BY recorded_at DESC NULLS LAST, triple_id DESC) = 1
 )"""
 
+_BELOW = """
+WITH RECURSIVE n AS (
+  SELECT hierarchy, lower(trim(id)) AS k, min(id) AS node_id, max(nullif(lower(trim(parent)), '')) AS p
+  FROM (SELECT 'shard' AS hierarchy, shard_id AS id, parent_shard_id AS parent FROM shards
+        UNION ALL SELECT 'token', token_id, parent_cap_id FROM entitlement_tokens)
+  GROUP BY ALL
+), t AS (
+  SELECT n.hierarchy, n.k, [n.k] AS ids FROM n LEFT JOIN n q ON n.hierarchy = q.hierarchy AND n.p = q.k WHERE q.k IS NULL
+  UNION ALL
+  SELECT n.hierarchy, n.k, list_append(t.ids, n.k) FROM t JOIN n ON n.hierarchy = t.hierarchy AND n.p = t.k
+)
+SELECT n.hierarchy, n.node_id, COALESCE(c.m - 1, -1) AS descendants
+FROM n LEFT JOIN (SELECT hierarchy, a, count(*) AS m FROM (SELECT hierarchy, unnest(ids) AS a FROM t) GROUP BY ALL) c ON c.hierarchy = n.hierarchy AND c.a = n.k"""
+
 SQL = {
+    "p6_descendants": _BELOW,
     "p4_found": _REPORTS
     + """, m AS (
   SELECT *, CASE WHEN lag(s) OVER w IS NULL OR lag(object) OVER w IS DISTINCT FROM object OR lag(e) OVER w < s THEN 1 ELSE 0 END AS n,
@@ -64,6 +85,29 @@ SELECT subject, predicate, strftime(timezone('UTC', min(s)), '%Y-%m-%dT%H:%M:%SZ
        any_value(object) AS object
 FROM (SELECT *, max(s) OVER (PARTITION BY subject, predicate, v) AS ls FROM g)
 GROUP BY subject, predicate, v""",
+    "p4_ledger": """
+WITH r AS (
+  SELECT subject, predicate, object, triple_id AS i, COALESCE(CAST(epoch_us(recorded_at) AS BIGINT), -4611686018427387904) AS a,
+         epoch_us(COALESCE(CAST(valid_from AS TIMESTAMPTZ), recorded_at)) AS s, epoch_us(CAST(valid_to AS TIMESTAMPTZ)) AS e
+  FROM (SELECT * REPLACE (
+          CASE WHEN length(trim(valid_from)) = 10 THEN trim(valid_from) || 'T00:00:00Z' ELSE nullif(trim(valid_from), '') END AS valid_from,
+          CASE WHEN length(trim(valid_to)) = 10 THEN trim(valid_to) || 'T00:00:00Z' ELSE nullif(trim(valid_to), '') END AS valid_to)
+        FROM triples)
+), k AS (SELECT * FROM r WHERE s IS NOT NULL AND (e IS NULL OR e > s)),
+o AS (SELECT subject, predicate, s, min(a) AS a FROM k GROUP BY ALL),
+m AS (  -- moments at which the belief about a start changed: it was reported, or a nearer next start became known
+  SELECT DISTINCT subject, predicate, s, a FROM k
+  UNION
+  SELECT x.subject, x.predicate, x.s, y.a FROM o x JOIN o y ON x.subject IS NOT DISTINCT FROM y.subject AND x.predicate IS NOT DISTINCT FROM y.predicate AND y.s > x.s AND y.a > x.a
+  WHERE NOT EXISTS (SELECT 1 FROM o z WHERE z.subject IS NOT DISTINCT FROM x.subject AND z.predicate IS NOT DISTINCT FROM x.predicate AND z.s > x.s AND z.s < y.s AND z.a <= y.a)
+), w AS (
+  SELECT m.*, (SELECT arg_max(struct_pack(v := object, e := e), (k.a, k.i)) FROM k WHERE k.subject IS NOT DISTINCT FROM m.subject AND k.predicate IS NOT DISTINCT FROM m.predicate AND k.s = m.s AND k.a <= m.a) AS said,
+         (SELECT min(o.s) FROM o WHERE o.subject IS NOT DISTINCT FROM m.subject AND o.predicate IS NOT DISTINCT FROM m.predicate AND o.s > m.s AND o.a <= m.a) AS nx
+  FROM m
+)
+SELECT subject, predicate, said.v AS object, s AS valid_from, said.e AS valid_to, nx AS next_from, a AS recorded_from,
+       lead(a) OVER (PARTITION BY subject, predicate, s ORDER BY a) AS recorded_to
+FROM w""",
     "p6_found": """
 WITH RECURSIVE n AS (
   SELECT hierarchy, lower(trim(id)) AS k, min(id) AS node_id, max(nullif(lower(trim(parent)), '')) AS p

@@ -50,6 +50,8 @@ def test_paths_and_descendants(spark):
     parents = forest(5, 200)
     want = brute(parents)
     rows = {x.node_id: x for x in h.expand_hierarchy(load(spark, parents)).collect()}
+    counts = {x.node_id: x.descendants for x in h.descendant_counts(load(spark, parents), 30).collect()}
+    assert counts == {k: x.descendants for k, x in rows.items()}
     below = {}
     for v in parents:
         path, x = [v], v

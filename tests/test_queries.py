@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from loomstone.plans import catalog
@@ -23,7 +24,7 @@ def duck():
 
 def norm(df):
     def one(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return "null"
         return f"{float(x):.6f}" if isinstance(x, (int, float)) or hasattr(x, "dtype") and x.dtype.kind in "iuf" and not x.shape else str(x)
 
