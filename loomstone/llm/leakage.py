@@ -4,9 +4,10 @@ Texts are compared on their letters and digits, case folded.  The q-grams of
 all items form one index; a document's q-grams are looked up in it, counted
 for each item and in overlapping diagonal bands.  By the q-gram lemma a region
 of m characters within e edits shares m - q + 1 - q * e q-grams at least, so
-bands below that hold no region; what is left is verified by banded alignment,
-and a document leaks an item of which it holds ``SHARE`` of the wording in
-regions of ``REGION`` characters and more, wherever they stand.
+bands below that hold no region; what is left is verified by banded alignment
+with just that budget, so that the filter loses nothing verification would
+accept.  A document leaks an item of which it holds ``SHARE`` of the wording
+in regions of ``REGION`` characters and more, wherever they stand.
 
 Defined results: null, blank and short items or texts hold nothing; each
 (doc_id, item_id) comes once; documents with equal text are each reported;
@@ -26,13 +27,16 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.folding import code_points, tables
 
-Q = 14
-#: Characters of a region, edits it may have, and half the width of a band.
-REGION, EDITS, HALF = 50, 1, 8
+Q = 7
+#: Characters of a region, edits it may have, and half the width of a band; two
+#: diagonals of one region are no further apart than its edits.
+REGION, EDITS, HALF = 50, 4, 8
 #: Share of an item's characters that makes a leak.
 SHARE = 0.42
 #: Characters of one block of items, so many are broadcast at once.
 BLOCK_CHARS = 4_000_000
+#: Counters of bands, and alignments that advance together.
+SLOTS, ALIGNED = 1 << 22, 256
 #: Least q-grams of a region (the lemma).
 LEAST = REGION - Q + 1 - Q * EDITS
 
@@ -93,37 +97,69 @@ class Index:
         return np.repeat(probe, count), start + np.arange(count.sum())
 
 
-def aligned(a: np.ndarray, b: np.ndarray, shift: int, half: int = HALF) -> int:
-    """Least edits that turn ``a`` into a part of ``b`` along a diagonal:
-    a[i] stands at b[i + shift], give or take ``half``."""
+def edit_places(parts: list[tuple[np.ndarray, np.ndarray, int]], half: int = 2 * HALF) -> list[np.ndarray]:
+    """For each (a, b, shift), the edits at each place of ``a`` in the best
+    alignment to a part of ``b`` along a diagonal: a[i] stands at b[i + shift],
+    give or take ``half``.  A symbol of ``b`` that ``a`` lacks counts at the
+    place before it.  All alignments advance together, row by row."""
+    if not parts:
+        return []
     width = 2 * half + 1
-    lo = shift - half
-    window = np.full(len(a) + width - 1, -1, np.int64)
-    window[max(0, -lo) : max(0, min(len(window), len(b) - lo))] = b[max(0, lo) : max(0, lo + len(window))]
-    if (window[half : half + len(a)] == a).all():
-        return 0
-    lane = np.arange(width)
-    miss = (np.lib.stride_tricks.sliding_window_view(window, width) != a[:, None]).astype(np.int64)
-    row = np.zeros(width, np.int64)  # free start within the band
-    for i in range(len(a)):
-        step = row + miss[i]
-        np.minimum(step[:-1], row[1:] + 1, out=step[:-1])
-        row = np.minimum.accumulate(step - lane) + lane
-    return int(row.min())
-
-
-def regions(at: np.ndarray, diag: np.ndarray) -> list[tuple[int, int, int]]:
-    """(from, to, diagonal) of the stretches of one item in one document: runs
-    of q-grams in one band, bridged over gaps that the edit budget can leave."""
+    size = np.array([len(a) for a, _, _ in parts])
+    longest, n = int(size.max()), len(parts)
+    left = np.full((n, longest), -2, np.int64)
+    right = np.full((n, longest + width - 1), -1, np.int64)
+    for k, (a, b, shift) in enumerate(parts):
+        lo = shift - half
+        left[k, : len(a)] = a
+        piece = b[max(0, lo) : max(0, lo + len(a) + width - 1)]
+        right[k, max(0, -lo) : max(0, -lo) + len(piece)] = piece
+    lane = np.arange(width, dtype=np.int16)
+    rows = np.zeros((longest + 1, n, width), np.int16)  # free start within the band
+    for i in range(longest):
+        step = rows[i] + (right[:, i : i + width] != left[:, i, None])
+        np.minimum(step[:, :-1], rows[i][:, 1:] + 1, out=step[:, :-1])
+        rows[i + 1] = np.minimum.accumulate(step - lane, axis=1) + lane
+    edits = np.zeros((n, longest), np.int64)
+    every = np.arange(n)
+    at = rows[size, every].argmin(1)
+    for i in range(longest - 1, -1, -1):
+        todo = every[i < size]
+        while len(todo):
+            here = at[todo]
+            now, before = rows[i + 1, todo, here], rows[i, todo]
+            miss = right[todo, i + here] != left[todo, i]
+            over = np.minimum(here + 1, width - 1)
+            diagonal = now == before[np.arange(len(todo)), here] + miss
+            drop = ~diagonal & (over > here) & (now == before[np.arange(len(todo)), over] + 1)
+            edits[todo[diagonal], i] += miss[diagonal]
+            edits[todo[~diagonal], i] += 1
+            at[todo[drop]] += 1
+            todo = todo[~diagonal & ~drop]
+            at[todo] -= 1
+    return [e[:m] for e, m in zip(edits, size)]
+
+
+def regions(at: np.ndarray, diag: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(from, to, diagonal) of the stretches of one item in one document: all
+    stretches of ``REGION`` characters that hold ``LEAST`` q-grams of one band,
+    overlapping ones together."""
     out: list[tuple[int, int, int]] = []
     for offset in (0, HALF):
         band = (diag + offset) // (2 * HALF)
         order = np.lexsort((at, band))
         a, g, d = at[order], band[order], diag[order]
-        cut = np.flatnonzero((np.diff(g) != 0) | (np.diff(a) > Q * (EDITS + 1))) + 1
-        for lo, hi in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(a)]))):
-            if hi - lo >= LEAST and a[hi - 1] + Q - a[lo] >= REGION:
-                out.append((int(a[lo]), int(a[hi - 1]) + Q, int(np.median(d[lo:hi]))))
+        if len(a) < LEAST:
+            continue
+        end = a[LEAST - 1 :]
+        first = np.flatnonzero((g[LEAST - 1 :] == g[: len(end)]) & (end - a[: len(end)] <= REGION - Q))
+        if not len(first):
+            continue
+        lo, hi = np.maximum(0, end[first] + Q - REGION), np.minimum(length, a[first] + REGION)
+        reach = np.maximum.accumulate(hi + g[first] * (1 << 32))
+        cut = np.flatnonzero(lo[1:] + g[first][1:] * (1 << 32) > reach[:-1]) + 1
+        for x, y in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(first)]))):
+            out.append((int(lo[x:y].min()), int(hi[x:y].max()), int(d[(first[x] + first[y - 1] + LEAST) // 2])))
     out = sorted(set(out), key=lambda r: r[0] - r[1])
     kept: list[tuple[int, int, int]] = []
     for r in out:  # the same stretch seen from the other band
@@ -132,20 +168,25 @@ def regions(at: np.ndarray, diag: np.ndarray) -> list[tuple[int, int, int]]:
     return kept
 
 
-def held(item: np.ndarray, doc: np.ndarray, found: list[tuple[int, int, int]]) -> float:
-    """Share of ``item`` held in verified regions; none counts twice."""
-    if not found:
-        return 0.0
-    cover = np.zeros(len(item), bool)
+def covered(length: int, found: list[tuple[int, int, int]]) -> float:
+    """Share of an item that its regions could hold at most."""
+    cover = np.zeros(length, bool)
     for lo, hi, _ in found:
         cover[lo:hi] = True
-    if cover.mean() < SHARE:  # even if every region stood the test
-        return 0.0
-    worth = np.zeros(len(item))
-    for lo, hi, shift in found:
-        edits = aligned(item[lo:hi], doc, lo + shift)
-        if edits <= (hi - lo) // 5:
-            worth[lo:hi] = np.maximum(worth[lo:hi], 1 - edits / (hi - lo))
+    return float(cover.mean()) if length else 0.0
+
+
+def held(length: int, found: list[tuple[int, int, int]], places: list[np.ndarray]) -> float:
+    """Share of an item held in verified regions, given the edits at each place
+    of them; none counts twice, and a place that was edited doesn't count."""
+    worth = np.zeros(length, bool)
+    for (lo, hi, _), edits in zip(found, places):
+        total = np.concatenate(([0], np.cumsum(edits)))
+        good = np.flatnonzero(total[REGION:] - total[:-REGION] <= EDITS)
+        inside = np.zeros(hi - lo + 1, np.int64)
+        np.add.at(inside, good, 1)
+        np.add.at(inside, good + REGION, -1)
+        worth[lo:hi] |= (np.cumsum(inside)[:-1] > 0) & (edits == 0)
     return float(worth.mean())
 
 
@@ -156,37 +197,50 @@ def leaks_of(index: Index, column: pa.Array) -> list[tuple[int, int, float]]:
     if not len(h) or not len(index.keys):
         return []
     probe, posting = index.hits(h)
-    item = index.item[posting].astype(np.int64)
-    pair = doc[probe] * len(index.ids) + item
+    item = index.item[posting]
+    pair = (doc[probe] * len(index.ids) + item).astype(np.int64)
     # Enough q-grams of the item at all, however they lie.
+    need = np.maximum(LEAST, (SHARE * index.lengths / REGION).astype(np.int64) * LEAST)
     total = np.bincount(pair, minlength=len(column) * len(index.ids))
-    need = np.maximum(LEAST, (SHARE * index.lengths * (LEAST / REGION)).astype(np.int64))
-    keep = total[pair] >= need[item]
+    keep = np.flatnonzero((total >= np.tile(need, len(column)))[pair])
     probe, posting, pair = probe[keep], posting[keep], pair[keep]
-    if not len(pair):
-        return []
     item_at = index.at[posting].astype(np.int64)
     diag = at[probe] - item_at
-    # Enough of them in bands that can hold a region.
+    # Enough of them in bands that can hold a region (colliding bands count
+    # together, which loses none).
     good = np.zeros(len(pair), bool)
     for offset in (0, HALF):
-        band = (diag + offset) // (2 * HALF) + (1 << 30)
-        _, where, count = np.unique(pair * (1 << 32) + band, return_inverse=True, return_counts=True)
-        good |= count[where] >= LEAST
+        slot = ((pair * 0x9E3779B1 + (diag + offset) // (2 * HALF)) * 0x85EBCA6B) & (SLOTS - 1)
+        good |= np.bincount(slot, minlength=SLOTS)[slot] >= LEAST
     pair, item_at, diag = pair[good], item_at[good], diag[good]
-    pairs, where, count = np.unique(pair, return_inverse=True, return_counts=True)
-    enough = (count >= need[pairs % len(index.ids)])[where]
-    pair, item_at, diag = pair[enough], item_at[enough], diag[enough]
-    order = np.argsort(pair, kind="stable")
+    count = np.bincount(pair, minlength=len(total))
+    enough = np.flatnonzero(count[pair] >= need[pair % len(index.ids)])
+    order = enough[np.argsort(pair[enough], kind="stable")]
     pair, item_at, diag = pair[order], item_at[order], diag[order]
-    edges = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True]))) if len(pair) else np.zeros(1, int)
-    out = []
+    if not len(pair):
+        return []
+    edges = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True])))
+    jobs = []
     for lo, hi in zip(edges[:-1], edges[1:]):
         row, k = divmod(int(pair[lo]), len(index.ids))
-        found = regions(item_at[lo:hi], diag[lo:hi])
-        share = held(
-            index.codes[index.offsets[k] : index.offsets[k + 1]], codes[offsets[row] : offsets[row + 1]], found
-        )
+        length = int(index.lengths[k])
+        found = [r for r in regions(item_at[lo:hi], diag[lo:hi], length) if r[1] - r[0] >= REGION]
+        if covered(length, found) >= SHARE:  # if every region stood the test
+            jobs.append((row, k, found))
+    parts = []
+    for row, k, found in jobs:
+        own, text = index.codes[index.offsets[k] : index.offsets[k + 1]], codes[offsets[row] : offsets[row + 1]]
+        parts += [(own[lo:hi], text, lo + shift) for lo, hi, shift in found]
+    order = sorted(range(len(parts)), key=lambda x: len(parts[x][0]))
+    places: list = [None] * len(parts)
+    for lo in range(0, len(order), ALIGNED):
+        some = order[lo : lo + ALIGNED]
+        for x, edits in zip(some, edit_places([parts[x] for x in some])):
+            places[x] = edits
+    out, at_part = [], 0
+    for row, k, found in jobs:
+        share = held(int(index.lengths[k]), found, places[at_part : at_part + len(found)])
+        at_part += len(found)
         if share >= SHARE:
             out.append((row, k, share))
     return out

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from loomstone.llm import leakage
 
@@ -61,7 +62,47 @@ def test_alignment_is_an_edit_distance():
                 b.insert(k, int(r.integers(0, 4)))
         b = np.array([9] * 5 + b + [9] * 5)
         best = min(_plain(a, b[i:j]) for i in range(len(b)) for j in range(i, len(b) + 1) if abs(j - i - len(a)) <= 4)
-        assert leakage.aligned(a, b, 5) == best
+        assert leakage.edit_places([(a, b, 5), (a[:9], b, 5)], 8)[0].sum() == best
+
+
+def _edited(r, text, rate):
+    out = []
+    for c in text:
+        k = r.random()
+        if k >= rate:
+            out.append(c)
+        elif k < rate * 0.5:
+            out.append(r.choice("abcdefghijklmnopqrstuvwxyz"))
+        elif k < rate * 0.75:
+            out.append(c + r.choice("abcdefghijklmnopqrstuvwxyz"))
+    return "".join(out)
+
+
+def test_filter_loses_no_region_within_the_budget():
+    r = random.Random(5)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for _ in range(300):
+        item = letters(leakage.REGION)
+        doc = list(item)
+        for place in r.sample(range(1, len(doc) - 1), leakage.EDITS):
+            doc[place] = r.choice(["", "0", doc[place] + "1"])
+        index = leakage.Index([1], [item])
+        found = leakage.leaks_of(index, pa.array([letters(50) + "".join(doc) + letters(50)]))
+        assert [x[:2] for x in found] == [(0, 0)]
+
+
+def test_recall_by_share_of_edits():
+    r = random.Random(6)
+    items = [passage(r, 70) for _ in range(60)]
+    index = leakage.Index(list(range(60)), items)
+    recall = {}
+    for rate in (0.05, 0.1, 0.15):
+        docs = pa.array([passage(r, 40) + " " + _edited(r, x, rate) + " " + passage(r, 40) for x in items])
+        found = {x[:2] for x in leakage.leaks_of(index, docs)}
+        assert all(a == b for a, b in found)
+        recall[rate] = len(found) / 60
+    print("recall", recall)
+    assert recall[0.05] == 1.0 and recall[0.1] >= 0.9
 
 
 def _plain(a, b):
