@@ -57,6 +57,11 @@ def p8_curriculum(spark: SparkSession, d: str) -> DataFrame:
     return mixing.curriculum(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p8_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens asked and given per mixture, source and tenth of training time."""
+    return mixing.progress(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.link_names(table(spark, d, "name_variants"), table(spark, d, "person_entities")).select("entity_id", "variant_id")
 
@@ -90,7 +95,7 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.tagged(table(spark, d, "hook_payloads")).select("payload_id", "field", "redacted", F.size("items").alias("items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p1_found": p1_found, "p1_confidence": p1_confidence, "p5_found": p5_found, "p5_groups": p5_groups, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_curriculum": p8_curriculum, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits, "p9_steps": p9_steps}
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p1_found": p1_found, "p1_confidence": p1_confidence, "p5_found": p5_found, "p5_groups": p5_groups, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_curriculum": p8_curriculum, "p8_progress": p8_progress, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits, "p9_steps": p9_steps}
 SQL: dict[str, str] = {}
 
 

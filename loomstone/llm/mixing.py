@@ -25,7 +25,7 @@ tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm.tokens import TOKENIZER, token_counts
@@ -92,35 +92,65 @@ def plan(targets: DataFrame, placed: DataFrame) -> DataFrame:
     )
 
 
-def _uses(placed: DataFrame, plans: DataFrame) -> DataFrame:
-    """Documents of each mixture with the number of times they are used: once
-    for each pass over the source in which their middle is still demanded."""
+def weight(u: Column, share: Column, tilt: Column) -> Column:
+    """A source's weight at training time u."""
+    return share * (1 + tilt * (1 - 2 * u))
+
+
+def demanded(u: Column, demand: Column, tilt: Column) -> Column:
+    """The integral of the weight schedule: tokens of a source until time u."""
+    return demand * (u + tilt * (u - u * u))
+
+
+def time_of(tokens: Column, demand: Column, tilt: Column) -> Column:
+    """The inverse of ``demanded``: when a source's demand reaches ``tokens``;
+    null where it never does."""
+    y = tokens / demand
+    # The stable root of y = u + tilt * (u - u^2); it holds for tilt = 0 too.
+    return F.when(y <= 1, 2 * y / ((1 + tilt) + F.sqrt(F.greatest(F.lit(0.0), (1 + tilt) * (1 + tilt) - 4 * tilt * y))))
+
+
+def positions(placed: DataFrame, plans: DataFrame) -> DataFrame:
+    """(mix_id, source, doc_id, pass, tokens, position): every use of every
+    document, at the time its source's demand reaches the middle of it.  A
+    document's pass whose middle is never demanded is no use."""
     wanted = plans.where("demand > 0").select("mix_id", "source", "max_repeats", "available", "demand", "tilt")
-    middle = F.col("offset") + F.col("tokens") / 2
-    repeats = F.least(F.col("max_repeats"), F.ceil((F.col("demand") - middle) / F.col("available")).cast("long"))
-    return placed.join(wanted, "source").withColumn("repeats", repeats).where("repeats > 0")
+    rows = placed.join(wanted, "source")
+    passes = F.ceil(F.col("demand") / F.col("available")).cast("long")
+    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("max_repeats"), passes) - 1)))
+    middle = F.col("offset") + F.col("tokens") / 2 + F.col("pass") * F.col("available")
+    rows = rows.withColumn("position", time_of(middle, F.col("demand"), F.col("tilt"))).where("position is not null")
+    return rows.select("mix_id", "source", "doc_id", "pass", "tokens", "position")
 
 
 def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(mix_id, doc_id, source, tokens, repeats): the documents of each mixture."""
+    """(mix_id, doc_id, source, tokens, repeats): the documents of each mixture,
+    as many times as they have a training position."""
     placed = materialize(offsets(documents, tokenizer))
-    return _uses(placed, plan(targets, placed)).select("mix_id", "doc_id", "source", "tokens", "repeats")
+    used = positions(placed, plan(targets, placed))
+    return used.groupBy("mix_id", "doc_id", "source", "tokens").agg(F.count("*").alias("repeats"))
 
 
 def curriculum(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(mix_id, position, doc_id, pass, tokens) in training order: range-sorted
     by mixture and position in [0, 1]."""
     placed = materialize(offsets(documents, tokenizer))
-    used = _uses(placed, plan(targets, placed)).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)))
-    y = F.least(F.lit(1.0), (F.col("offset") + F.col("tokens") / 2 + F.col("pass") * F.col("available")) / F.col("demand"))
-    # Inverse of y = u + a (u - u^2); the stable form holds for a = 0 too.
-    a = F.col("tilt")
-    position = 2 * y / ((1 + a) + F.sqrt((1 + a) * (1 + a) - 4 * a * y))
-    return (
-        used.withColumn("position", position)
-        .select("mix_id", "position", "doc_id", "pass", "tokens")
-        .orderBy("mix_id", "position", "doc_id", "pass")
-    )
+    used = positions(placed, plan(targets, placed)).select("mix_id", "position", "doc_id", "pass", "tokens")
+    return used.orderBy("mix_id", "position", "doc_id", "pass")
+
+
+def progress(documents: DataFrame, targets: DataFrame, steps: int = 10, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Per mixture, source and step of training time: the tokens its schedule
+    asks for and those its documents give."""
+    placed = materialize(offsets(documents, tokenizer))
+    plans = materialize(plan(targets, placed))
+    step = F.least(F.lit(steps - 1), F.floor(F.col("position") * steps)).cast("int")
+    given = positions(placed, plans).groupBy("mix_id", "source", step.alias("step")).agg(F.sum("tokens").alias("tokens"))
+    slots = plans.where("demand > 0").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    until = lambda k: demanded(k / F.lit(float(steps)), F.col("demand"), F.col("tilt"))
+    asked = until(F.col("step") + 1) - until(F.col("step"))
+    rows = slots.select("mix_id", "source", "step", F.round(asked, 3).alias("asked")).join(given, ["mix_id", "source", "step"], "left")
+    return rows.withColumn("tokens", F.coalesce("tokens", F.lit(0)))
 
 
 def shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -128,8 +158,8 @@ def shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER)
     reached and the most times one document is used."""
     placed = materialize(offsets(documents, tokenizer))
     plans = plan(targets, placed)
-    used = _uses(placed, plans).groupBy("mix_id", "source").agg(
-        F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("repeats"), F.count("*").alias("documents")
+    used = positions(placed, plans).groupBy("mix_id", "source").agg(
+        F.sum("tokens").alias("tokens"), (F.max("pass") + 1).alias("repeats"), F.sum((F.col("pass") == 0).cast("long")).alias("documents")
     )
     mix = Window.partitionBy("mix_id")
     return (

@@ -40,6 +40,15 @@ def test_curriculum_follows_the_schedule(spark):
         assert abs(part / total - 0.2) < 0.05
 
 
+def test_documents_give_what_the_integrated_weights_ask(spark):
+    rows = mixing.progress(docs(spark), mixes(spark), 4).where("mix_id = 1").collect()
+    assert len(rows) == 12
+    for x in rows:
+        assert abs(x.asked - x.tokens) <= 2 * 60, x
+    shares_ = [x.asked for x in sorted(rows, key=lambda x: x.step) if x.source == "tiny"]
+    assert shares_ == sorted(shares_) or shares_ == sorted(shares_, reverse=True)
+
+
 def test_offsets_are_prefix_sums(spark):
     rows = mixing.offsets(docs(spark)).collect()
     by = {}
