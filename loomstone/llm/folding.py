@@ -4,7 +4,9 @@ Code points pass through one lookup table that either skips them (white space,
 invisible characters, punctuation) or folds their case.  Signs and dots inside
 numbers are content.  In a list of named fields each field is a piece of its
 own, and pieces combine without order; any other text is one piece.  Hashes
-are polynomials over the kept code points; no canonical string is ever made.
+are polynomials over the kept code points where they stand, and two texts are
+compared by two pointers that pass over what is skipped; no canonical string
+is ever made.
 """
 
 from __future__ import annotations
@@ -61,9 +63,9 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cps, offsets
 
 
-def pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kept (folded) code points of a column, the offset at which each piece
-    begins among them, and the row each piece belongs to (ascending)."""
+def folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of a column, folded or 0 where they are skipped, the offset at
+    which each piece begins among them, and each piece's row (ascending)."""
     column = column.cast(pa.string())
     if pc.any(pc.match_substring_regex(column, "[ßẞ]")).as_py():
         column = pc.replace_substring_regex(column, "[ßẞ]", "ss")
@@ -77,9 +79,9 @@ def pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(cps)
     if not n:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    folded = np.where(cps > 0xFFFF, cps, fold[low])
+    codes = np.where(cps > 0xFFFF, cps, fold[low])
     what = kind[low]
-    content = folded != 0
+    content = codes != 0
     digit = (cps >= 48) & (cps <= 57)
     begins = np.empty(n, bool)
     begins[0] = True
@@ -94,7 +96,7 @@ def pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     dot_before = np.zeros(n, bool)
     dot_before[1:] = (cps[:-1] == 46) & ~begins[1:]
     dot = (cps == 46) & digit_next & (digit_before | ~(word_before | dot_before))
-    folded = np.where(sign, np.where(cps == 43, 43, 45), np.where(dot, 46, folded)).astype(np.uint32)
+    codes = np.where(sign, np.where(cps == 43, 43, 45), np.where(dot, 46, codes)).astype(np.uint32)
 
     # Named fields: a mark whose name starts with a letter after a separator.
     at = np.arange(n)
@@ -112,16 +114,11 @@ def pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     named &= last_mark < last_part + (begins[last_part] & ~mark[last_part]) * 1
     listed = np.bincount(rows[named], minlength=len(offsets) - 1) >= 2
     named &= listed[rows]
-    folded = np.where(named, np.uint32(61), folded)
+    codes = np.where(named, np.uint32(61), codes)
     cut = begins.copy()
     cut[last_part[named]] = True
-    kept = folded != 0
-    piece = np.cumsum(cut)[kept]
-    codes = folded[kept]
-    if not len(codes):
-        return codes, np.zeros(0, np.int64), np.zeros(0, np.int32)
-    starts = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
-    return codes, starts, rows[kept][starts]
+    starts = np.flatnonzero(cut)
+    return codes, starts, rows[starts]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -139,21 +136,33 @@ def _powers(base: int, length: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def piece_hashes(codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each piece over its kept code points, 0 if none."""
+    kept = codes != 0
+    rank = np.cumsum(kept)
+    lengths = np.add.reduceat(kept.astype(np.int64), starts)
+    sizes = np.diff(np.append(starts, len(codes)))
+    position = np.maximum(rank - 1 - np.repeat(np.cumsum(lengths) - lengths, sizes), 0)
+    longest = 1 << max(1, int(lengths.max()).bit_length())
+    out = []
+    with np.errstate(over="ignore"):
+        for base in _LANES:
+            terms = _mix(codes.astype(np.uint64) + np.uint64(base)) * _powers(base | 1, longest)[position]
+            h = _mix(np.add.reduceat(np.where(kept, terms, np.uint64(0)), starts) + lengths.astype(np.uint64))
+            out.append(np.where(lengths > 0, h, np.uint64(0)))
+    return out
+
+
 def column_hashes(column: pa.Array) -> list[np.ndarray]:
     """Two 64-bit hashes of the content of each value (0 for no content)."""
-    codes, starts, rows = pieces(column)
+    codes, starts, rows = folded(column)
     n = len(column)
     if not len(codes):
         return [np.zeros(n, np.uint64) for _ in _LANES]
-    lengths = np.diff(np.append(starts, len(codes)))
-    position = np.arange(len(codes)) - np.repeat(starts, lengths)
-    longest = 1 << int(lengths.max()).bit_length()
     first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
     out = []
     with np.errstate(over="ignore"):
-        for base in _LANES:
-            terms = _mix(codes.astype(np.uint64) + np.uint64(base)) * _powers(base | 1, longest)[position]
-            h = _mix(np.add.reduceat(terms, starts) + lengths.astype(np.uint64))
+        for h in piece_hashes(codes, starts):
             whole = np.zeros(n, np.uint64)
             whole[rows[first]] = np.add.reduceat(h, first)
             out.append(whole)
@@ -173,9 +182,51 @@ def combined_hashes(columns: list[pa.Array]) -> list[np.ndarray]:
     return out
 
 
+#: Code points of a piece up to which pieces are compared in step.
+IN_STEP = 2_000
+
+
+def _in_step(a: np.ndarray, b: np.ndarray, i: np.ndarray, i_end: np.ndarray, j: np.ndarray, j_end: np.ndarray) -> np.ndarray:
+    """Whether pieces a[i:i_end] and b[j:j_end] hold the same kept code points:
+    a pointer for each side of each pair, all moved together."""
+    same = np.ones(len(i), bool)
+    i, j, live = i.copy(), j.copy(), np.arange(len(i))
+    while len(live):
+        x, y = i[live], j[live]
+        left, right = x < i_end[live], y < j_end[live]
+        u = np.where(left, a[np.minimum(x, len(a) - 1)], 0)
+        v = np.where(right, b[np.minimum(y, len(b) - 1)], 0)
+        pass_a, pass_b = left & (u == 0), right & (v == 0)
+        met = ~pass_a & ~pass_b
+        differ = met & ((left != right) | (u != v))
+        same[live[differ]] = False
+        i[live] += pass_a | met
+        j[live] += pass_b | met
+        live = live[~differ & ~(met & ~left)]
+    return same
+
+
+def _by_blocks(a: np.ndarray, b: np.ndarray, size: int = 1 << 16) -> bool:
+    """The same for two long pieces: the pointers move from block to block."""
+    i = j = 0
+    while True:
+        x, y = np.flatnonzero(a[i : i + size]), np.flatnonzero(b[j : j + size])
+        if not len(x) and i < len(a):
+            i += size
+        elif not len(y) and j < len(b):
+            j += size
+        elif i >= len(a) or j >= len(b):
+            return not len(x) and not len(y)
+        else:
+            n = min(len(x), len(y))
+            if (a[i + x[:n]] != b[j + y[:n]]).any():
+                return False
+            i, j = i + int(x[n - 1]) + 1, j + int(y[n - 1]) + 1
+
+
 def same_content(a: list[pa.Array], b: list[pa.Array]) -> np.ndarray:
-    """For each row, whether all columns agree: both sides advance over their
-    kept code points together; pieces of lists are matched in sorted order."""
+    """For each row, whether all columns agree; the pieces of a list meet in the
+    order of their hashes and are compared code point by code point."""
     n = len(a[0])
     same = np.ones(n, bool)
     for x, y in zip(a, b):
@@ -186,12 +237,28 @@ def same_content(a: list[pa.Array], b: list[pa.Array]) -> np.ndarray:
         take = pa.array(todo)
         sides = []
         for col in (x.take(take), y.take(take)):
-            codes, starts, rows = pieces(col)
-            ends = np.append(starts[1:], len(codes))
-            sides.append((codes, starts, ends, np.searchsorted(rows, np.arange(len(todo) + 1))))
-        (ca, sa, ea, ra), (cb, sb, eb, rb) = sides
-        for i, row in enumerate(todo):
-            left = [ca[sa[j] : ea[j]].tobytes() for j in range(ra[i], ra[i + 1])]
-            right = [cb[sb[j] : eb[j]].tobytes() for j in range(rb[i], rb[i + 1])]
-            same[row] = left == right or (len(left) > 1 and sorted(left) == sorted(right))
+            codes, starts, rows = folded(col)
+            if len(codes):
+                h = piece_hashes(codes, starts)[0]
+                ends = np.append(starts[1:], len(codes))
+                order = np.lexsort((h, rows))
+                order = order[h[order] != 0]
+                rows, starts, ends = rows[order], starts[order], ends[order]
+            else:
+                ends = starts
+            sides.append((codes, rows, starts, ends))
+        (ca, ra, sa, ea), (cb, rb, sb, eb) = sides
+        na, nb = np.bincount(ra, minlength=len(todo)), np.bincount(rb, minlength=len(todo))
+        good = na == nb
+        ka, kb = good[ra], good[rb]
+        rows, sa, ea, sb, eb = ra[ka], sa[ka], ea[ka], sb[kb], eb[kb]
+        agree = np.ones(len(rows), bool)
+        long = np.maximum(ea - sa, eb - sb) > IN_STEP
+        short = np.flatnonzero(~long)
+        if len(short):
+            agree[short] = _in_step(ca, cb, sa[short], ea[short], sb[short], eb[short])
+        for k in np.flatnonzero(long):
+            agree[k] = _by_blocks(ca[sa[k] : ea[k]], cb[sb[k] : eb[k]])
+        good[rows[~agree]] = False
+        same[todo[~good]] = False
     return same

@@ -2,124 +2,130 @@
 
 ``hash_rows`` streams each row once through the skip-and-fold table into two
 polynomial hashes.  Groups are counted on those 16 bytes alone, combined
-before the shuffle.  Only then rows of groups of two and more are brought
-together with their group's first row and compared, code point by code point.
-Groups that hold more than a thousandth of all rows, of which there can be no
-more than a thousand, are salted.
+before the shuffle.  Only the texts of groups of two and more are fetched then:
+a bitmap of fixed size turns nearly all others away at the scan.  Each group's
+first row goes ahead of the others, which are compared with it by two pointers
+that pass over what is skipped.  Groups of many rows are salted, their first
+row goes to every salt.
 
 Defined results: null, empty and formatting-only values are equal; rows whose
 hashes collide but whose content differs are regrouped by exact comparison
-with each other; repeated ids count as copies of their smallest id only once;
-an empty table gives an empty result; extra columns are ignored.
+with each other; repeated ids count as copies of their smallest id only once,
+rows of one id with different content each in their own group; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.folding import combined_hashes, pieces, same_content
+from loomstone.llm.folding import combined_hashes, same_content
 from loomstone.session import materialize
 
 FIELDS = ("text", "entity", "key", "value")
-#: Rows of one hot group that one salt takes.
+#: Rows of one group that one salt takes.
 SALT_ROWS = 50_000
-#: Most hot groups: any further group holds less than 1/HOT of the rows.
-HOT = 1_000
+#: Bits of the map of wanted ids (8 MB at most, whatever the input), in pages.
+MAP_BITS, PAGE_BITS = 1 << 26, 1 << 15
 
 
-def _hashes(n: int, keep: bool):
+def _hashes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(i + 1) for i in range(n)]
-            h1, h2 = combined_hashes(cols)
-            kept = cols if keep else []
-            names = [f"f{i}" for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1), pa.array(h2), *kept], ["id", "h1", "h2", *names])
+            h1, h2 = combined_hashes([batch.column(i + 2) for i in range(n)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h1), pa.array(h2)], ["id", "raw", "h1", "h2"])
 
     return run
 
 
-def hash_rows(df: DataFrame, key: str, fields: Sequence[str], keep: bool = False) -> DataFrame:
-    """(id, h1, h2[, f0..]) of each row; equal content has equal hashes."""
-    rows = df.select(F.col(key).cast("long").alias("id"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
-    schema = "id long, h1 long, h2 long" + "".join(f", f{i} string" for i in range(len(fields)) if keep)
-    return rows.mapInArrow(_hashes(len(fields), keep), schema)
+def _texts(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(id, raw, f0..): ``raw`` tells rows of one id apart."""
+    cols = [F.col(f).cast("string") for f in fields]
+    return df.select(F.col(key).cast("long").alias("id"), F.xxhash64(*cols).alias("raw"), *[c.alias(f"f{i}") for i, c in enumerate(cols)])
 
 
-def _compare(n: int):
+def hash_rows(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(id, raw, h1, h2) of each row; equal content has equal hashes."""
+    return _texts(df, key, fields).mapInArrow(_hashes(len(fields)), "id long, raw long, h1 long, h2 long")
+
+
+def _verify(n: int):
+    """Each row against the last first row before it; groups come in order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead = None
         for batch in batches:
-            a = [batch.column(3 + i) for i in range(n)]
-            b = [batch.column(3 + n + i) for i in range(n)]
-            same = same_content(a, b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same)], ["id", "first", "same"])
+            rows = pa.Table.from_batches([batch] if ahead is None else [ahead, batch]).combine_chunks().to_batches()[0] if batch.num_rows else batch
+            if not rows.num_rows:
+                continue
+            head = rows.column(2).to_numpy(zero_copy_only=False)
+            at = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+            ahead = rows.slice(int(at[-1]), 1)
+            other = np.flatnonzero(~head)
+            take, first = pa.array(other), pa.array(at[other])
+            cols = [rows.column(3 + i) for i in range(n)]
+            same = same_content([c.take(take) for c in cols], [c.take(first) for c in cols]) if len(other) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(same)], ["id", "first", "same"])
 
     return run
 
 
 def _regroup(n: int):
-    """Exact classes among rows whose hashes collided though they differ."""
-    import pandas as pd
+    """Exact classes among rows whose hashes collided though they differ: each
+    is compared with the first row of every class found so far."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        content = [[] for _ in range(len(pdf))]
-        for i in range(n):
-            codes, starts, rows = pieces(pa.array(pdf[f"f{i}"].where(pdf[f"f{i}"].notna(), None).tolist(), pa.string()))
-            ends = [*starts[1:], len(codes)]
-            own = [[] for _ in range(len(pdf))]
-            for s, e, r in zip(starts, ends, rows):
-                own[r].append(codes[s:e].tobytes())
-            for r in range(len(pdf)):
-                content[r].append(tuple(sorted(own[r])))
-        firsts: dict = {}
-        return pd.DataFrame({"id": pdf["id"], "first": [firsts.setdefault(tuple(c), i) for c, i in zip(content, pdf["id"])]})
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        cols = [pa.array(pdf[f"f{i}"].where(pdf[f"f{i}"].notna(), None).tolist(), pa.string()) for i in range(n)]
+        firsts = np.full(len(pdf), -1, np.int64)
+        while (firsts < 0).any():
+            left = np.flatnonzero(firsts < 0)
+            same = same_content([c.take(pa.array(left)) for c in cols], [c.take(pa.array(np.full(len(left), left[0]))) for c in cols])
+            firsts[left[same]] = pdf["id"][left[0]]
+        return pd.DataFrame({"id": pdf["id"], "first": firsts})
 
     return run
 
 
+def _mapped(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` less most rows whose id isn't wanted."""
+    place = lambda: F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    page = lambda: F.expr(f"cast(pmod(xxhash64(id), {MAP_BITS}) div {PAGE_BITS} as int)")
+    bits = wanted.select(page().alias("_page"), F.pmod(place(), F.lit(PAGE_BITS)).alias("_bit"))
+    pages = bits.groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    # MAP_BITS / PAGE_BITS rows of PAGE_BITS / 8 bytes: 8 MB for any input.
+    rows = texts.join(F.broadcast(pages), page() == F.col("_page"))
+    bit = F.pmod(place(), F.lit(PAGE_BITS))
+    byte = F.expr(f"conv(hex(substring(_map, cast(pmod(xxhash64(id), {PAGE_BITS}) div 8 as int) + 1, 1)), 16, 10)").cast("int")
+    return rows.where(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).drop("_page", "_map")
+
+
 def copy_groups(df: DataFrame, key: str = "atom_id", fields: Sequence[str] = FIELDS) -> DataFrame:
-    """(first, id) for every row that has copies, its group's smallest id first;
-    the first row itself is included with id = first."""
-    spark = df.sparkSession
+    """(first, id) for every row that has copies but the first: its group's
+    smallest id and its own."""
     n = len(fields)
-    bare = hash_rows(df, key, fields)
-    groups = materialize(
-        bare.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    )
-    hot = groups.where(F.col("n") > SALT_ROWS).orderBy(F.desc("n")).limit(HOT)
-    salts = hot.select("h1", "h2", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("k"))
-    rows = hash_rows(df, key, fields, keep=True)
-    salted = groups.select("h1", "h2", "first")
-    salt = F.lit(0)
-    if salts.limit(1).count():
-        # At most HOT rows: a bound that holds for any input.
-        small = F.broadcast(salts)
-        rows = rows.join(small, ["h1", "h2"], "left").withColumn("s", F.coalesce(F.pmod(F.xxhash64("id"), F.col("k")).cast("int"), salt))
-        salted = salted.join(small, ["h1", "h2"], "left").withColumn(
-            "s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k") - 1, F.lit(0))))
-        )
-        on = ["h1", "h2", "s"]
-        rows, salted = rows.drop("k"), salted.drop("k")
-    else:
-        on = ["h1", "h2"]
-    together = rows.join(salted, on)
-    heads = together.where("id = first") if on == ["h1", "h2"] else (
-        together.where("id = first").drop("s").join(salted.drop("first"), ["h1", "h2"])
-    )
-    heads = heads.select(*on, *[F.col(f"f{i}").alias(f"g{i}") for i in range(n)])
-    pairs = together.where("id > first").join(heads.dropDuplicates(on), on)
-    checked = pairs.select("id", "first", "h1", *[f"f{i}" for i in range(n)], *[f"g{i}" for i in range(n)])
-    checked = materialize(checked.mapInArrow(_compare(n), "id long, first long, same boolean"))
-    copies = checked.where("same").select("first", "id").distinct()
-    odd = checked.where("not same").select("id", "first")
+    hashed = materialize(hash_rows(df, key, fields).distinct())
+    groups = hashed.groupBy("h1", "h2").agg(F.min(F.struct("id", "raw")).alias("m"), F.count("*").alias("n")).where("n > 1")
+    groups = materialize(groups.select("h1", "h2", F.col("m.id").alias("first"), F.col("m.raw").alias("raw"), F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("k")))
+    heads = groups.select(F.col("first").alias("id"), "raw", "first", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(True).alias("head"))
+    others = hashed.join(groups.withColumnRenamed("raw", "_raw"), ["h1", "h2"]).where("id != first or raw != _raw")
+    others = others.select("id", "raw", "first", F.pmod(F.xxhash64("id", "raw"), F.col("k")).cast("int").alias("salt"), F.lit(False).alias("head"))
+    wanted = materialize(heads.unionByName(others))
+    texts = _mapped(_texts(df, key, fields), wanted)
+    rows = texts.join(wanted, ["id", "raw"])
+    ordered = rows.repartition("first", "salt").sortWithinPartitions("first", "salt", F.desc("head"), "id")
+    checked = ordered.select("id", "first", "head", *[f"f{i}" for i in range(n)]).mapInArrow(_verify(n), "id long, first long, same boolean")
+    checked = materialize(checked)
+    copies = checked.where("same and id > first").select("first", "id").distinct()
+    odd = checked.where("not same").select("id", "first").distinct()
     if odd.limit(1).count():
-        texts = df.select(F.col(key).cast("long").alias("id"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
-        regrouped = texts.join(odd, "id").groupBy("first").applyInPandas(_regroup(n), "id long, first long")
+        regrouped = _texts(df, key, fields).join(odd, "id").groupBy("first").applyInPandas(_regroup(n), "id long, first long")
         copies = copies.unionByName(regrouped.where("id > first").select("first", "id").distinct())
     return copies
 

@@ -68,10 +68,10 @@ def test_collisions_are_regrouped_exactly(spark, monkeypatch):
     data, truth = rows(60, 2)
     real = formatting.hash_rows
 
-    def colliding(df, key, fields, keep=False):
+    def colliding(df, key, fields):
         from pyspark.sql import functions as F
 
-        return real(df, key, fields, keep).withColumn("h1", F.lit(1).cast("long")).withColumn("h2", F.lit(1).cast("long"))
+        return real(df, key, fields).withColumn("h1", F.lit(1).cast("long")).withColumn("h2", F.lit(1).cast("long"))
 
     monkeypatch.setattr(formatting, "hash_rows", colliding)
     got = formatting.copy_groups(spark.createDataFrame(data, SCHEMA)).collect()
@@ -83,3 +83,16 @@ def test_empty_and_long(spark):
     long = "word " * 50_000
     df = spark.createDataFrame([(1, long, None, None, None, "", ""), (2, long.upper(), "", None, None, "", ""), (3, long + "x", None, None, None, "", "")], SCHEMA)
     assert [tuple(x) for x in formatting.copy_groups(df).collect()] == [(1, 2)]
+
+
+def test_two_pointers_in_step_and_by_blocks(monkeypatch):
+    r = random.Random(4)
+    for _ in range(60):
+        text = " ".join(r.choice(["ab", "c1", "-5", "x.y", "..."]) for _ in range(r.randrange(0, 40)))
+        other = dirty(r, text) if r.random() < 0.6 else text + r.choice(["a", "9"])
+        verdicts = set()
+        for most in (10**9, 0):
+            monkeypatch.setattr(folding, "IN_STEP", most)
+            verdicts.add(bool(folding.same_content([pa.array([text])], [pa.array([other])])[0]))
+        h = folding.column_hashes(pa.array([text, other], pa.string()))
+        assert verdicts == {all(x[0] == x[1] for x in h)}
