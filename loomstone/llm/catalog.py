@@ -86,6 +86,11 @@ def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("confidence", F.round("confidence", 4))
 
 
+def p1_rivalry(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the candidate graph is contested, and what propagation changes."""
+    return matching.rivalry(table(spark, d, "publication_entities"), table(spark, d, "publication_sightings"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return personal.found(table(spark, d, "hook_payloads"))
 
@@ -95,7 +100,7 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.tagged(table(spark, d, "hook_payloads")).select("payload_id", "field", "redacted", F.size("items").alias("items"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p1_found": p1_found, "p1_confidence": p1_confidence, "p5_found": p5_found, "p5_groups": p5_groups, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_curriculum": p8_curriculum, "p8_progress": p8_progress, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits, "p9_steps": p9_steps}
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p1_found": p1_found, "p1_confidence": p1_confidence, "p1_rivalry": p1_rivalry, "p5_found": p5_found, "p5_groups": p5_groups, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_curriculum": p8_curriculum, "p8_progress": p8_progress, "p7_found": p7_found, "p7_items": p7_items, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p9_found": p9_found, "p9_rates": p9_rates, "p9_limits": p9_limits, "p9_steps": p9_steps}
 SQL: dict[str, str] = {}
 
 

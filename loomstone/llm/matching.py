@@ -1,39 +1,49 @@
 """Matching works and sightings without keys (problem 1).
 
-Candidate pairs share a key: the author's name less at most one letter within
-a year, or the title's words (first letters) less at most one word.  Each pair
-gets log-odds from title, author, year and venue.  Loopy belief propagation
-then runs over the candidate graph: a sighting reports one work or none (hard
-factor), and sightings of one source compete softly for a work (one-to-one
-factor that redelivery can override).  Messages are exchanged through joins
-until the beliefs settle; the marginals are the confidences.
-
-Defined results: missing fields are no evidence either way; pairs whose titles
-differ in a word of content, or whose years lie more than one apart, are
-different works; repeated sightings count once; empty tables give an empty
-result; very long titles are compared whole; extra columns are ignored.
+Candidate pairs agree in the author's name but for one letter on either side
+and share a title word's head in about the same year, or agree in all their title
+words' heads but one.  Pairs whose authors contradict each other are no
+candidates; all others get log-odds from title, author, year and venue, rivals (a sequel, an edition, a
+sister study) low ones.
+
+Loopy belief propagation runs over this graph.  A record (the sightings of one
+source that read alike) reports one work or none; a source reports a work once,
+each pair of its records for one work costs ``price``, which is estimated from
+how often records without a rival share a work.  Messages are kept in log space
+and damped, and exchanged through joins until they settle; the marginals are
+the confidences.
+
+Defined results: missing fields are no evidence either way; repeated sightings count once;
+empty tables give an empty result; names and titles of any length are compared
+whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.names import plain, typos
 from loomstone.session import materialize
 
-#: Rounds at most, change of a belief that counts as none, and the strength
-#: with which sightings of one source compete for a work.
-ROUNDS, SETTLED, COMPETE = 8, 1e-3, 0.15
-#: Works that may share a key before it is split.
-HOT_KEY = 64
-#: Least log-odds of an edge of the graph.
-LEAST = -3.0
+#: Change of a message (log) that counts as none, the part of the old message
+#: that is kept, and the rounds after which messages that still move are told.
+SETTLED, DAMPING, ROUNDS = 1e-3, 0.3, 100
+#: Log-odds that a first and any further contradicting title word take, and the
+#: least of an edge.
+APART, FURTHER, LEAST = 8.0, 1.0, -14.0
+#: Log-odds that years more than one apart take.
+YEARS = 8.0
+#: Greatest price of a second record of one source for a work.
+DEAREST = 6.0
 
 # Words without weight, notes that make no other work, venues that say nothing.
 SMALL = set("a an the of for in on at to by and with w from under over through between after without beyond via de la der die das und et y".split())
@@ -65,36 +75,44 @@ def year_of(s: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def keys_of(title: str | None, author: str | None, year: str | None, work: bool) -> set[str]:
-    out: set[str] = set()
-    a, y = author_key(author), year_of(year)
-    if a:
-        forms = {a} | {a[:i] + a[i + 1 :] for i in range(len(a))} if len(a) <= 60 else {a}
-        if work:
-            when = ["none"] if y is None else [str(y), "any"]
-        else:
-            when = ["any", "none"] if y is None else [str(y - 1), str(y), str(y + 1), "none"]
-        out |= {f"a|{f}|{w}" for f in forms for w in when}
-    heads = sorted({w[:3] for w in title_words(title or "") if not any(w.startswith(n[:4]) for n in NOTES)})
-    if len(heads) >= 3:
-        if len(heads) <= 60:
-            out |= {"t|" + " ".join(heads[:i] + heads[i + 1 :]) for i in range(len(heads))}
-        out.add("t|" + " ".join(heads))
-    return out
+_BASE, _MOD = 0x1F3B5A79, (1 << 61) - 1
+
+
+def less_one(s: str) -> list[int]:
+    """Hashes of ``s`` and of all strings that lack one of its letters."""
+    n = len(s)
+    power, ahead = [1] * (n + 1), [0] * (n + 1)
+    for i, c in enumerate(s):
+        power[i + 1] = power[i] * _BASE % _MOD
+        ahead[i + 1] = (ahead[i] * _BASE + ord(c)) % _MOD
+    out, behind = {ahead[n] * 1009 + n}, 0
+    for i in range(n - 1, -1, -1):
+        out.add((ahead[i] * power[n - 1 - i] + behind) % _MOD * 1009 + n - 1)
+        behind = (behind + ord(s[i]) * power[n - 1 - i]) % _MOD
+    return sorted(x % (1 << 63) for x in out)
+
+
+def heads_of(title: str | None) -> list[int]:
+    """Hashes of the first letters of a title's words, notes aside."""
+    heads = {w[:3] for w in title_words(title or "") if not any(w.startswith(n[:4]) for n in NOTES)}
+    return [xxhash.xxh64_intdigest(h) >> 1 for h in sorted(heads)]
 
 
-def heads_of(title: str | None) -> list[str]:
-    """The first letters of a title's words, each once."""
-    return sorted({w[:3] for w in title_words(title or "")})
+def title_keys(heads: list[int]) -> list[int]:
+    """Hashes of a title's heads together and less one of them."""
+    total = sum(heads)
+    return sorted({x % (1 << 63) for x in (total, *(total - h for h in heads))}) if len(heads) >= 3 else []
 
 
-def _prepare(work: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = list(pdf[["title", "author", "year"]].itertuples(index=False))
-            yield pdf.assign(heads=[heads_of(r.title) for r in rows], keys=[sorted(keys_of(*r, work)) for r in rows])
+def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        heads = [heads_of(t) for t in pdf["title"]]
+        yield pdf.assign(who=[author_key(a) for a in pdf["author"]], y=pd.array([year_of(y) for y in pdf["year"]], dtype="Int32"), heads=heads, keys=[title_keys(h) for h in heads])
+
 
-    return run
+def _spellings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame([(w, f) for w in pdf["who"] for f in less_one(w)], columns=["who", "form"])
 
 
 def abbreviates(a: str, b: str) -> bool:
@@ -118,12 +136,13 @@ def word_cost(a: str, b: str) -> float | None:
     return None
 
 
-def title_cost(work: str, seen: str) -> float | None:
-    """Cost of ``seen`` as a way to write the title ``work``; None: another work."""
+def title_cost(work: str, seen: str) -> tuple[float, int]:
+    """(cost, apart): the cost of ``seen`` as a way to write the title ``work``
+    and the number of words that tell another work."""
     cut = bool(re.search(r"(?:…|\.\.\.)", seen))
     right, left = title_words(work), title_words(seen)
     if not right or not left:
-        return None
+        return 0.0, 1
     # A last word that only begins one of the work's: the title was cut there.
     cut = cut or (left[-1] not in right and any(w.startswith(left[-1]) for w in right) and len(left) >= 3 and not seen.rstrip().endswith("."))
     tail = re.sub(r"^[^:]*:", "", work) if ":" in work else ""
@@ -157,17 +176,18 @@ def title_cost(work: str, seen: str) -> float | None:
     free = [v for v in free if v.isdigit() or not any(typos(v, n, 2) <= (1 if len(n) < 6 else 2) for n in SMALL if len(n) >= 2)]
     if cut and free and len(free) == 1 and len(free[0]) <= 3:
         free = []
-    if free:
-        return None
+    apart = len(free)
     if not missing:
-        return cost
+        return cost, apart
     if cut:
-        return cost + 0.5 + 0.3 * len(missing) if len(missing) <= len(right) * 0.6 else None
-    if any(w in ("part", "two", "ii", "iii", "revisited", "edition") for w in missing):
-        return None
-    if set(missing) <= sub and len(right) - len(missing) >= 2:
-        return cost + 0.8
-    return cost + 1.3 * len(missing) if len(missing) <= 2 and len(right) >= 2 * len(missing) + 1 else None
+        return cost + 0.5 + 0.3 * len(missing), apart + (len(missing) > len(right) * 0.6)
+    told = sum(w in ("part", "two", "ii", "iii", "revisited", "edition") for w in missing)
+    if not told and set(missing) <= sub and len(right) - len(missing) >= 2:
+        return cost + 0.8, apart
+    rest = len(missing) - told
+    if rest and not (rest <= 2 and len(right) >= 2 * rest + 1):
+        apart += rest - (2 if len(right) >= 5 else 0)
+    return cost + 1.3 * rest, apart + told
 
 
 def venue_cost(a: str | None, b: str | None) -> float:
@@ -190,13 +210,12 @@ def venue_cost(a: str | None, b: str | None) -> float:
 
 
 def log_odds(work: tuple, seen: tuple) -> float | None:
-    """(title, author, year, venue) of a work and a sighting -> log-odds."""
+    """(title, author, year, venue) of a work and a sighting -> log-odds; None
+    if the authors contradict each other."""
     total = 1.0
     x, y = year_of(work[2]), year_of(seen[2])
     if x is not None and y is not None:
-        if abs(x - y) > 1:
-            return None
-        total += 1.5 if x == y else 0.2
+        total += 1.5 if x == y else 0.2 if abs(x - y) == 1 else -YEARS
     a, b = author_key(work[1]), author_key(seen[1])
     if a and b:
         d = 0.0 if a == b else typos(a, b, 3)
@@ -208,89 +227,144 @@ def log_odds(work: tuple, seen: tuple) -> float | None:
             total += 1.5
         else:
             return None
-    title = title_cost(work[0] or "", seen[0] or "")
-    if title is None:
-        return None
-    return total - 1.2 * title + venue_cost(work[3], seen[3])
+    cost, apart = title_cost(work[0] or "", seen[0] or "")
+    return total - 1.2 * cost - (APART + FURTHER * (apart - 1) if apart else 0.0) + venue_cost(work[3], seen[3])
 
 
 def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for s, source, w, *f in pdf.itertuples(index=False):
+        for r, source, w, *f in pdf.itertuples(index=False):
             odds = log_odds(tuple(f[:4]), tuple(f[4:]))
             if odds is not None and odds >= LEAST:
-                out.append((s, source, w, odds))
-        yield pd.DataFrame(out, columns=["s", "source", "w", "odds"])
-
-
-def candidate_edges(works: DataFrame, sightings: DataFrame) -> DataFrame:
-    """(s, source, w, odds): the candidate graph."""
-    own = works.select(F.col("entity_id").cast("long").alias("id"), "title", F.col("first_author_last").alias("author"), "year", "venue").dropDuplicates(["id"])
-    seen = sightings.select(
-        F.col("sighting_id").cast("long").alias("id"), F.coalesce("source_name", F.lit("")).alias("source"), "title", F.col("first_author_last").alias("author"), "year", "venue"
-    ).dropDuplicates(["id"])
-    text = "id long, {}title string, author string, year string, venue string, heads array<string>, keys array<string>"
-    hashed = lambda df: materialize(df.withColumn("keys", F.transform("keys", lambda k: F.xxhash64(k))))
-    own = hashed(own.mapInPandas(_prepare(True), text.format("")))
-    seen = hashed(seen.mapInPandas(_prepare(False), text.format("source string, ")))
-    left = seen.select(F.col("id").alias("s"), "heads", F.explode("keys").alias("key"))
-    right = own.select(F.col("id").alias("w"), "heads", F.explode("keys").alias("key"))
-    # A key of many works is split by word heads: every pair that can count
-    # shares one, so nothing is lost and no key grows with the data.
-    many = right.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY).select("key", F.lit(True).alias("hot"))
-    split = lambda df: df.join(many, "key", "left").withColumn(
-        "head", F.explode(F.when(F.col("hot"), F.col("heads")).otherwise(F.array(F.lit(""))))
-    )
-    pairs = split(left).join(split(right), ["key", "head"]).select("s", "w").distinct()
+                out.append((r, source, w, odds))
+        yield pd.DataFrame(out, columns=["r", "source", "w", "odds"])
+
+
+def records(sightings: DataFrame) -> DataFrame:
+    """(sighting_id, r, source, title, author, year, venue): ``r`` is the least
+    id of the source's sightings that read alike."""
+    rows = sightings.select(
+        F.col("sighting_id").cast("long").alias("sighting_id"), F.coalesce("source_name", F.lit("")).alias("source"), "title", F.col("first_author_last").alias("author"), "year", "venue"
+    ).groupBy("sighting_id").agg(F.min(F.struct("source", "title", "author", "year", "venue")).alias("f")).select("sighting_id", "f.*")
+    alike = [F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\W+", " ")) for c in ("title", "author", "year", "venue")]
+    first = rows.groupBy("source", F.xxhash64(*alike).alias("_h")).agg(F.min("sighting_id").alias("r"))
+    return rows.withColumn("_h", F.xxhash64(*alike)).join(first, ["source", "_h"]).drop("_h")
+
+
+def _may_agree(left: str, right: str) -> Column:
+    """Whether two author keys contradict each other, just as ``log_odds`` says."""
+    a, b = F.col(left), F.col(right)
+    part = (F.least(F.length(a), F.length(b)) >= 5) & (a.startswith(b) | b.startswith(a) | a.endswith(b) | b.endswith(a))
+    return (a == "") | (b == "") | (F.levenshtein(a, b, 3) >= 0) | part
+
+
+def candidate_pairs(seen: DataFrame, own: DataFrame) -> DataFrame:
+    """(r, w): the pairs that are compared; ``seen`` and ``own`` have who, y,
+    heads and keys."""
+    spelt = lambda df: df.select("who").where("who != ''").distinct().mapInPandas(_spellings, "who string, form long")
+    people = spelt(seen).join(spelt(own).withColumnRenamed("who", "known"), "form").select("who", "known").distinct()
+    near = F.col("y").isNull() | F.col("w_y").isNull() | (F.abs(F.col("y") - F.col("w_y")) <= 1)
+    works = own.select(F.col("id").alias("w"), F.col("who").alias("known"), F.col("y").alias("w_y"), "heads", "keys")
+    # Authors are matched once for each spelling, not for each record.
+    asked = seen.select(F.col("id").alias("r"), "who", "y", F.explode("heads").alias("head")).join(people, "who")
+    by_author = asked.join(works.select("w", "known", "w_y", F.explode("heads").alias("head")), ["known", "head"]).where(near).select("r", "w")
+    asked = seen.select(F.col("id").alias("r"), "who", "y", F.explode("keys").alias("key"))
+    by_title = asked.join(works.select("w", "known", F.explode("keys").alias("key")), "key").where(_may_agree("who", "known")).select("r", "w")
+    return by_author.unionByName(by_title).distinct()
+
+
+def candidate_edges(works: DataFrame, seen: DataFrame) -> DataFrame:
+    """(r, source, w, odds): the candidate graph over ``records``."""
     fields = ["title", "author", "year", "venue"]
-    # A pair that shares too few word heads cannot agree in its title.
-    shared, fewer = F.size(F.array_intersect("s_heads", "w_heads")), F.least(F.size("s_heads"), F.size("w_heads"))
+    own = works.select(F.col("entity_id").cast("long").alias("id"), "title", F.col("first_author_last").alias("author"), "year", "venue")
+    own = own.groupBy("id").agg(F.min(F.struct(*fields)).alias("f")).select("id", F.lit("").alias("source"), "f.*")
+    seen = seen.where("sighting_id = r").select(F.col("r").alias("id"), "source", *fields)
+    schema = "id long, source string, title string, author string, year string, venue string, who string, y int, heads array<long>, keys array<long>"
+    own, seen = (materialize(df.mapInPandas(_prepare, schema)) for df in (own, seen))
     rows = (
-        pairs.join(seen.select(F.col("id").alias("s"), F.col("heads").alias("s_heads")), "s")
-        .join(own.select(F.col("id").alias("w"), F.col("heads").alias("w_heads")), "w")
-        .where(shared >= F.greatest(F.lit(1), F.ceil(0.4 * fewer)))
-        .select("s", "w")
-        .join(seen.select(F.col("id").alias("s"), "source", *[F.col(c).alias(f"s_{c}") for c in fields]), "s")
+        candidate_pairs(seen, own)
+        .join(seen.select(F.col("id").alias("r"), "source", *[F.col(c).alias(f"s_{c}") for c in fields]), "r")
         .join(own.select(F.col("id").alias("w"), *[F.col(c).alias(f"w_{c}") for c in fields]), "w")
-        .select("s", "source", "w", *[f"w_{c}" for c in fields], *[f"s_{c}" for c in fields])
+        .select("r", "source", "w", *[f"w_{c}" for c in fields], *[f"s_{c}" for c in fields])
     )
-    return materialize(rows.mapInPandas(_score, "s long, source string, w long, odds double"))
-
-
-def propagate(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(s, w, belief): marginal probabilities by loopy belief propagation."""
-    state = edges.select("s", "source", "w", F.exp("odds").alias("phi"), F.lit(1.0).alias("nu"), F.lit(0.0).alias("belief"))
-    for k in range(rounds):
-        total = state.groupBy("s").agg(F.sum(F.col("phi") * F.col("nu")).alias("all"))
-        told = state.join(total, "s").withColumn("now", F.col("phi") * F.col("nu") / (1 + F.col("all")))
-        # What a sighting tells a work leaves out what that work told it.
-        told = told.withColumn("mu", F.col("phi") / (1 + F.greatest(F.lit(0.0), F.col("all") - F.col("phi") * F.col("nu"))))
-        told = told.withColumn("mu", F.col("mu") / (1 + F.col("mu")))
-        claims = told.groupBy("w", "source").agg(F.sum("mu").alias("claims"))
-        state = materialize(
-            told.join(claims, ["w", "source"]).select(
-                "s", "source", "w", "phi",
-                (1 / (1 + COMPETE * F.greatest(F.lit(0.0), F.col("claims") - F.col("mu")))).alias("nu"),
-                F.col("now").alias("belief"), F.abs(F.col("now") - F.col("belief")).alias("moved"),
-            )
-        )
+    return materialize(rows.mapInPandas(_score, "r long, source string, w long, odds double"))
+
+
+def second_price(edges: DataFrame, works: int) -> float:
+    """What a second record of one source for one work costs: by how much the
+    log-odds of a second report are below those of a first, counted over
+    records with one good edge and ``works`` times the number of sources."""
+    single = edges.where("odds > 0").groupBy("r").agg(F.count("*").alias("n"), F.first("source").alias("source"), F.first("w").alias("w")).where("n = 1")
+    pairs = single.groupBy("source", "w").agg(F.count("*").alias("n"))
+    many, once, sources = pairs.agg(F.sum((F.col("n") > 1).cast("long")), F.count("*"), F.countDistinct("source")).first()
+    logit = lambda a, b: math.log((a + 0.5) / (max(b - a, 0) + 0.5))
+    return min(DEAREST, max(0.0, logit(once, max(works, 1) * max(sources, 1)) - logit(many or 0, once)))
+
+
+def propagate(edges: DataFrame, price: float = DEAREST) -> DataFrame:
+    """(r, w, belief): marginal probabilities by loopy belief propagation.
+
+    An edge's belief is its odds and the factor's message ``nu`` against the
+    record's other edges and none.  The one-to-one factor of a (work, source)
+    multiplies exp(-price) once two of its records claim the work; its messages
+    follow from the chances that none and that one of the others does."""
+    discount = math.exp(-price)
+    shared = edges.groupBy("source", "w").agg(F.count("*").alias("n")).where("n > 1").select("source", "w", F.lit(True).alias("shared"))
+    state = materialize(edges.join(shared, ["source", "w"], "left").select("r", "source", "w", "odds", F.coalesce("shared", F.lit(False)).alias("shared"), F.lit(0.0).alias("nu")))
+    # A record without a shared work gets no message that could change.
+    moving = state.where("shared").select("r").distinct()
+    rest, state = state.join(moving, "r", "left_anti"), materialize(state.join(moving, "r", "left_semi"))
+    for k in range(ROUNDS):
+        total = state.groupBy("r").agg(F.sum(F.exp(F.col("odds") + F.col("nu"))).alias("all"))
+        others = F.greatest(F.lit(0.0), F.col("all") - F.exp(F.col("odds") + F.col("nu")))
+        told = state.join(total, "r").withColumn("mu", F.least(F.lit(1 - 1e-9), F.exp("odds") / (1 + others + F.exp("odds"))))
+        none, ratio = F.log1p(-F.col("mu")), F.col("mu") / (1 - F.col("mu"))
+        sums = told.where("shared").groupBy("source", "w").agg(F.sum(none).alias("none"), F.sum(ratio).alias("ratio"))
+        told = told.join(sums, ["source", "w"], "left")
+        q0 = F.exp(F.least(F.lit(0.0), F.col("none") - none))
+        q1 = F.least(1 - q0, q0 * F.greatest(F.lit(0.0), F.col("ratio") - ratio))
+        fresh = F.log(q0 + (1 - q0) * discount) - F.log(q0 + q1 + (1 - q0 - q1) * discount)
+        fresh = F.when(F.col("shared"), DAMPING * F.col("nu") + (1 - DAMPING) * fresh).otherwise(0.0)
+        state = materialize(told.select("r", "source", "w", "odds", "shared", fresh.alias("nu"), F.abs(fresh - F.col("nu")).alias("moved")))
         moved = state.agg(F.max("moved")).first()[0]
-        if moved is None or (k > 0 and moved < SETTLED):
-            break
         state = state.drop("moved")
-    return state.select("s", "w", "belief")
+        if moved is None or moved < SETTLED:
+            break
+    else:
+        warnings.warn(f"messages still move by {moved:.3g} after {ROUNDS} rounds", stacklevel=2)
+    state = state.unionByName(rest)
+    total = state.groupBy("r").agg(F.sum(F.exp(F.col("odds") + F.col("nu"))).alias("all"))
+    return state.join(total, "r").select("r", "w", (F.exp(F.col("odds") + F.col("nu")) / (1 + F.col("all"))).alias("belief"))
+
+
+def decided(beliefs: DataFrame) -> DataFrame:
+    """(r, entity_id, confidence): the likeliest work of each record, or none."""
+    best = beliefs.groupBy("r").agg(F.max(F.struct("belief", (-F.col("w")).alias("w"))).alias("b"), F.sum("belief").alias("any"))
+    found = F.col("b.belief") >= F.greatest(F.lit(0.5), 1 - F.col("any"))
+    return best.select("r", F.when(found, -F.col("b.w")).alias("entity_id"), F.when(found, F.col("b.belief")).otherwise(1 - F.col("any")).alias("confidence"))
 
 
 def match(works: DataFrame, sightings: DataFrame) -> DataFrame:
     """(sighting_id, entity_id, confidence): every sighting with the work it
     reports (null if none) and the marginal probability of that."""
-    beliefs = propagate(candidate_edges(works, sightings))
-    best = beliefs.groupBy("s").agg(F.max(F.struct("belief", (-F.col("w")).alias("w"))).alias("b"), F.sum("belief").alias("any"))
-    found = best.select(
-        F.col("s").alias("sighting_id"),
-        F.when(F.col("b.belief") >= 0.5, -F.col("b.w")).alias("entity_id"),
-        F.when(F.col("b.belief") >= 0.5, F.col("b.belief")).otherwise(1 - F.col("any")).alias("confidence"),
-    )
-    every = sightings.select(F.col("sighting_id").cast("long").alias("sighting_id")).distinct()
-    return every.join(found, "sighting_id", "left").select("sighting_id", "entity_id", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    seen = materialize(records(sightings))
+    edges = candidate_edges(works, seen)
+    found = decided(propagate(edges, second_price(edges, works.count())))
+    rows = seen.select("sighting_id", "r").join(found, "r", "left")
+    return rows.select("sighting_id", "entity_id", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+
+
+def rivalry(works: DataFrame, sightings: DataFrame) -> DataFrame:
+    """One row: records with edges, edges, records with several edges, the
+    price, and decisions that propagation changed."""
+    edges = candidate_edges(works, materialize(records(sightings)))
+    alone = decided(propagate(edges, 0.0)).select("r", F.col("entity_id").alias("before"))
+    price = second_price(edges, works.count())
+    both = alone.join(decided(propagate(edges, price)), "r")
+    sizes = edges.groupBy("r").agg(F.count("*").alias("n"), F.sum((F.col("odds") > 0).cast("long")).alias("good"))
+    rows = both.join(sizes, "r").agg(
+        F.count("*").alias("records"), F.sum("n").alias("edges"), F.sum((F.col("n") > 1).cast("long")).alias("contested"), F.sum((F.col("good") > 1).cast("long")).alias("close"),
+        F.sum((~F.col("before").eqNullSafe(F.col("entity_id"))).cast("long")).alias("changed"),
+    )
+    return rows.withColumn("price", F.lit(round(price, 4)))
