@@ -2,12 +2,13 @@
 
 Names become forms: a person's family name, the rarest word of an
 organization's name, an acronym.  Within a scope the entities' forms are
-assigned to their nearest pivot (a bounded sample of the forms) and, there, to
-the ring of their distance.  By the triangle inequality a form within radius r
+assigned to their nearest pivot (of about 2 sqrt(n) for n forms, so that pivots
+and cells grow alike) and, there, to the ring of their distance.  By the triangle inequality a form within radius r
 of a typed form q lies in rings k with |d(q, pivot) - k| <= r only, to which q
 is replicated; inside each cell an exact radius join runs with the Levenshtein
 distance, a true metric.  What remains (given name, initials, nicknames, other
-words, birth date) is checked pair by pair, and the cheapest entity is taken
+words, birth date) is checked pair by pair, once for all variants that are
+typed alike, and the cheapest entity is taken
 if no other costs about the same.
 
 Defined results: blank names and rows without a scope link to nothing; a
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from loomstone.session import materialize
 
-#: Forms of one scope per pivot, and about how many pivots a scope has at most.
-PER_PIVOT, MOST_PIVOTS = 64, 512
+#: Edits that any form may have at most.
+MOST_EDITS = 4
 
 # Forms of address, words without weight, legal forms.
 TITLES = set("mr mrs ms miss mx dr prof professor sir dame herr frau sr sra señor señora mme mlle jr snr rev hon".split())
@@ -113,36 +114,50 @@ def org_words(s: str) -> list[str]:
     return [w for w in words(s) if w not in SMALL and w not in LEGAL]
 
 
-def variant_forms(variant: str) -> list[tuple[str, str, str]]:
-    """(kind, form, rest) readings of a typed name."""
+def variant_forms(variant: str, letters_most: int = 1 << 30, words_most: int = 1 << 30) -> list[tuple[str, str, str]]:
+    """(kind, form, rest) readings of a typed name; those longer than any entity
+    (of ``letters_most`` letters in a name, ``words_most`` words) are left out,
+    as they can match none."""
+    longest = letters_most + MOST_EDITS
     out: set[tuple[str, str, str]] = set()
     short = acronym(variant)
     if short:
         out.add(("acr", short, ""))
     own = org_words(variant)
-    if len(own) >= 3:
+    if 3 <= len(own) <= words_most + 1:
         out |= {("org", w, " ".join(own)) for w in own if len(w) >= 4}
     text = re.sub(r"\s+", " ", variant).strip()
     tidy = lambda x: " ".join(w for w in x.replace(".", " ").split() if letters(w) and letters(w) not in TITLES)
     if "," in text:
         family, given = text.split(",", 1)
         if letters(tidy(family)):
-            out.add(("fam", letters(tidy(family)), " ".join(words(tidy(given)))))
-            return sorted(out)
+            out.add(("fam", letters(tidy(family)), " ".join(words(tidy(given))[:1])))
+            return sorted(x for x in out if len(x[1]) <= longest)
     parts = [w for w in re.split(r"[\s.,_;/]+", text) if letters(w) and letters(w) not in TITLES]
     if len(parts) == 1:
         out.add(("fam", letters(parts[0]), ""))
         glued = letters(parts[0])  # both names run together, in either order
-        for k in range(2, len(glued) - 3):
+        for k in range(max(2, len(glued) - longest), min(len(glued) - 3, longest + 1)):
             out.add(("fam", glued[k:], glued[:k]))
             out.add(("fam", glued[:-k], glued[-k:]))
-    for k in range(1, min(4, len(parts))):
-        out.add(("fam", letters("".join(parts[k:])), " ".join(words(" ".join(parts[:k])))))
-        out.add(("fam", letters("".join(parts[:k])), " ".join(words(" ".join(parts[k:])))))
+    one = [letters(p) for p in parts]
+    sizes = [len(p) for p in one]
+    ahead = first_word(parts[0]) if parts else ""
+    behind, before = sum(sizes), 0
+    for k in range(1, len(parts)):
+        behind, before = behind - sizes[k - 1], before + sizes[k - 1]
+        if behind <= longest:
+            out.add(("fam", "".join(one[k:]), ahead))
+        if before <= longest:
+            out.add(("fam", "".join(one[:k]), first_word(parts[k])))
     if len(parts) == 3:  # a middle name or initial
-        out.add(("fam", letters(parts[2]), " ".join(words(parts[0]))))
-        out.add(("fam", letters(parts[0]), " ".join(words(parts[1]))))
-    return sorted(x for x in out if x[1])
+        out.add(("fam", one[2], ahead))
+        out.add(("fam", one[0], first_word(parts[1])))
+    return sorted(x for x in out if x[1] and len(x[1]) <= longest)
+
+
+def first_word(s: str) -> str:
+    return next(iter(words(s)), "")
 
 
 def radius(c: Column) -> Column:
@@ -221,14 +236,17 @@ def dob_cost(hint: str | None, dob: str | None) -> float | None:
     return None
 
 
-def _variant_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [
-            (i, s, h, k, f, r)
-            for i, s, v, h in zip(pdf["variant_id"], pdf["scope"], pdf["variant"], pdf["hint"])
-            for k, f, r in variant_forms(v)
-        ]
-        yield pd.DataFrame(rows, columns=["variant_id", "scope", "hint", "kind", "form", "rest"])
+def _variant_rows(letters_most: int, words_most: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [
+                (i, s, h, k, f, r)
+                for i, s, v, h in zip(pdf["variant_id"], pdf["scope"], pdf["variant"], pdf["hint"])
+                for k, f, r in variant_forms(v, letters_most, words_most)
+            ]
+            yield pd.DataFrame(rows, columns=["variant_id", "scope", "hint", "kind", "form", "rest"])
+
+    return run
 
 
 def _entity_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,7 +290,7 @@ def radius_join(left: DataFrame, right: DataFrame) -> DataFrame:
     group = ["scope", "kind"]
     right = right.select(*group, "form").distinct()
     sizes = right.groupBy(*group).agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("form"), "form")).alias("m"))
-    every = F.greatest(F.lit(PER_PIVOT), F.ceil(F.col("n") / MOST_PIVOTS)).cast("long")
+    every = F.ceil(F.sqrt("n") / 2).cast("long")
     pivots = (
         right.join(sizes, group)
         .where((F.pmod(F.xxhash64("form"), every) == 0) | (F.col("form") == F.col("m.form")))
@@ -337,12 +355,15 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def link_names(variants: DataFrame, entities: DataFrame) -> DataFrame:
     """(variant_id, entity_id, cost): the entity each variant means."""
-    typed = variants.select(
-        F.col("variant_id").cast("long").alias("variant_id"), F.col("source_scope").alias("scope"), "variant", F.col("dob_hint").alias("hint")
+    rows = variants.select(
+        F.col("variant_id").cast("long").alias("id"), F.col("source_scope").alias("scope"), "variant", F.col("dob_hint").alias("hint")
     ).where("variant is not null and scope is not null")
-    schema = "variant_id long, scope string, hint string, kind string, form string, rest string"
-    asked = materialize(typed.mapInPandas(_variant_rows, schema))
+    # Variants typed alike are judged once, under the least of their ids.
+    typed = materialize(rows.groupBy("scope", "variant", "hint").agg(F.min("id").alias("variant_id")))
     known = entity_forms(entities)
+    sizes = known.agg(F.max(F.greatest(F.length("form"), F.length("first"), F.length("last"))), F.max(F.size(F.split("last", " ")))).first()
+    schema = "variant_id long, scope string, hint string, kind string, form string, rest string"
+    asked = materialize(typed.mapInPandas(_variant_rows(sizes[0] or 0, sizes[1] or 0), schema))
     near = materialize(radius_join(asked, known))
     pairs = (
         near.join(asked.withColumnRenamed("form", "q"), ["scope", "kind", "q"])
@@ -353,4 +374,7 @@ def link_names(variants: DataFrame, entities: DataFrame) -> DataFrame:
     best = costs.groupBy("variant_id", "entity_id").agg(F.min("cost").alias("cost"))
     order = Window.partitionBy("variant_id").orderBy("cost", "entity_id")
     ranked = best.withColumn("k", F.row_number().over(order)).withColumn("next", F.lead("cost").over(order))
-    return ranked.where("k = 1 and (next is null or next > cost + 0.15)").select("variant_id", "entity_id", "cost")
+    found = ranked.where("k = 1 and (next is null or next > cost + 0.15)").select("variant_id", "entity_id", "cost")
+    found = typed.join(found, "variant_id").select("scope", "variant", F.coalesce("hint", F.lit("")).alias("h"), F.col("hint").isNull().alias("no"), "entity_id", "cost")
+    every = rows.select(F.col("id").alias("variant_id"), "scope", "variant", F.coalesce("hint", F.lit("")).alias("h"), F.col("hint").isNull().alias("no")).distinct()
+    return every.join(found, ["scope", "variant", "h", "no"]).select("variant_id", "entity_id", "cost")

@@ -43,8 +43,7 @@ def test_links(spark):
     assert got == {i: e for i, (_, _, e) in enumerate(cases) if e}
 
 
-def test_radius_join_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(names, "PER_PIVOT", 5)
+def test_radius_join_is_exact(spark):
     r = random.Random(1)
     make = lambda: "".join(r.choice("abc") for _ in range(r.randrange(3, 9)))
     left = [("s", "fam", make()) for _ in range(80)]
@@ -56,6 +55,13 @@ def test_radius_join_is_exact(spark, monkeypatch):
     assert {(x.q, x.e, x.dist) for x in rows} == want and len(rows) == len(want)
 
 
+def test_family_names_of_many_parts_and_long_names():
+    forms = names.variant_forms("Ana Maria de la Cruz y Vega", 40, 5)
+    assert ("fam", "delacruzyvega", "ana") in forms and ("fam", "mariadelacruzyvega", "ana") in forms
+    assert ("fam", "cruzyvega", "ana") in forms and ("fam", "vega", "ana") in forms
+    assert len(names.variant_forms("word " * 20_000, 40, 5)) < 50
+
+
 def test_empty(spark):
     none = entities(spark).where("false")
     v = spark.createDataFrame([(1, "s", "A B", None, "", "")], VAR)
