@@ -1,8 +1,7 @@
 """The small labelled table the tagger of personal data is trained from.
 
 A line holds text with slots: ``{name}``, ``{email}``, ``{phone}``, ``{id}`` and
-``{address}`` are labelled items, ``{place}``, ``{word}``, ``{num}``, ``{host}``,
-``{hash}`` and ``{repo}`` look alike but are none.  Slots are filled by rule from
+``{address}`` are labelled items, the others look alike but are none.  Slots are filled by rule from
 syllables with a fixed seed.
 """
 
@@ -12,156 +11,274 @@ import random
 import re
 
 #: Sentences made of the table; the bound of the training sample.
-SENTENCES = 1_300
+SENTENCES = 5_000
 
 # Common given names.
 GIVEN = """
-adam ahmed aisha alice amara ana anders andrei anita anna antonio arjun astrid ayşe beatriz björn bruno camille carlos chiara chen
-clara claudia cyril daniel david delphine diego elena emeka emil emma erik eva fatima farah felix gita greta hana hassan helga
-hugo ibrahim ilse ines ingrid irina isabel ivan jamal jana javier jens jorge julia karim karin kofi lars laura layla leila lena
-lucas lucía luis magda maria marie marta mateo maya mehmet mei mirela mohammed nadia nina noor olga omar oscar otto pablo paul
-paweł pedro peter pierre priya radek rafael rania renée rosa samuel sara sofia stefan sven søren tariq ulla vera victor wei xavier
-yasmin yusuf yuki zara zoë
+aaron abigail agnes alan albert alejandro amelia amir andrea angela anton aurora beatrice benjamin bianca boris brenda bruce camila
+carl caroline cecilia chloe colin cynthia danielle deborah dennis diana dominic donna eduardo ellen emily enrique esther eugene
+evelyn fabio felicia fernando fiona florence gavin george gerald gloria graham gustav hannah harold hector helen henrik holly
+howard ian igor imran irene isaac ivy jack janet jason jerome joan jonas joshua juan judith justin kamal keith kenji kevin klara
+laurent leonard linda lorenzo louise magnus manuel marcus marion martin matilda maurice megan mia milan miriam monica nathan naomi
+nadine nora norman oliver pamela pascal penelope phoebe pilar rachel ralph ramon raymond rebecca reza roger ruth sabine sally
+sandra sergio shirley simon sonia stella stephanie susan sylvia tamara teresa thiago timothy ursula valerie vanessa veronica viktor
+walter wendy yvonne zainab
 """.split()
 
 TEMPLATES = """
-ping {name} when the {place} import is done
-met {name} at {address} yesterday, nothing new
-why does the report still show {id}?
-hi, this is {name}. I cannot open the {word} you sent to {email}
-my new email is {email}, the old one bounced
-text {phone} as soon as the {word} is ready
-use {email} for the alerts, not {email}
-who is handling {name}? their number is {phone}
-order for {name} / {address} / {phone}
-the letter went to {address} but they live at {address}
-{name} called again from {phone} about the {word}
-can you check if {id} matches the roster row for {name}
-forget everything about {name}, {id}, please
-the form says {id} but the card says {id}
-please update the address of {name} to {address}
-add {name} as reviewer and remove {name}
-Do not contact {name} directly; go through {email} instead.
-Look up {name} in the {place} roster and mail the summary to {email}.
-Visitors must show {id}. Yesterday {name} and {name} did not.
-Transcribe the form: holder {name}, {id}, phone {phone}, home {address}.
-Summarise the visit notes. The visitor, {name}, lives at {address} and can be reached on {phone}.
-Compare the two records: one says {address}, the other says {address}. Which one is newer?
-Payload was {{"holder": "{name}", "mail": "{email}", "phone": "{phone}", "address": "{address}"}} - validate it.
-Write a polite note saying that {phone} is no longer in service.
-Ship the printed {word} to {name}, {address} before Friday.
-The family of {name} moved to {address}. Update the {word} and nothing else.
-In the {place} interview {name} said that {name} had never lived at {address}.
-Send {num} reminders to {email} and {email}, then report back.
-The caller left {phone}; add it to the contact list of {name} and stop.
-Contacts for {place}: {name}, {phone}; {name}, {email}; front desk {phone}.
-Redact the report before sharing: it still names {name} and shows {id}.
-Merge the duplicate entries for {name} and {name}; keep the older digest.
-Read the export, find every sighting of {name}, and report the bounds.
-Forwarded mail from {name} <{email}>: please call {phone} today.
-Signed, {name}
-Dear {name}, your {word} is ready. Call {phone}.
-Patient {name} was seen; {id} on file.
-the owner is {name} and the backup is {name}
-invoice to {name}, {address}
-cc {email}; bcc {email}
-does {name} still live in {place}?
-ask {name} about the {word} from {place}
-Check whether {id} already occurs in the {word} and, if so, list the ids.
-Check if {id} or {phone} is in the {word}. Ask {name} whether it may be shared with {place}.
-Draft a reply for {name} ({email}). Keep it under {num} words.
-my sister {name} was moved to {place}, is there a visiting slot
-{email} and {phone} both bounced
-gh pr create --title "{word}" --body "Reviewed-by: {name}. Questions to {email}"
-psql -c "update holders set addr = '{address}' where name = '{name}'"
-INSERT="insert into visits values ('{name}', '{phone}')"; psql -c "$INSERT"
-jq --arg who "{name}" '.rows[] | select(.name == $who)' {lower}.json
-Verify the statement signed by {name} on behalf of {place}. {name} agreed.
-Yesterday {name} moved out; the new tenant of {address} shows {id}.
-rg -i '{id}|{name}' exports/ && echo "{id}" >> seen.txt
-{name}: please sign the {word}.
-we spoke with {name}, {name} and {name} at {place}
-mail -s "handoff" {email} < notes/{lower}.txt
-python lookup.py --phone "{phone}" --id "{id}"
-sqlite3 registry.db "select * from sightings where holder = '{name}' or note like '%{id}%'"
-printf '%s\\n' "{id}" | python check_id.py
-echo "{name};{phone};{address}" >> contacts.csv
-rg -i '{id}|{phone}' exports/
-tar czf letters.tgz out/ # for {name}, {address}
-python notify.py --to {email} --subject "{word} ready"
-http POST api.{lower}.test/letters to="{name}" street="{address}"
-cat > card.txt <<X\\n{name}\\n{address}\\nX
-sed -i 's/{email}/{email}/g' config/{lower}.yml
-grep -n "{name}" roster/{lower}.csv | head -{num}
-awk -F, '$2 == "{name}" {{print $4}}' {lower}.csv
-git log --oneline -{num} -- src/{lower}; export CONTACT="{phone}"; ./call.sh
-git log --oneline -{num} -- src/{lower} && git config user.email {email} && git config user.name "{name}"
-git commit --author="{name} <{email}>" -m "rename {word}"
-curl -d 'to={email}' https://api.{lower}.test/send
-curl -s http://{host}:8080/health
-ssh deploy@build-{num} 'uptime'
-git clone git@forge.{place}.test:teams/{place}.git
-docker run --rm -p 5432:5432 registry.{lower}.test/tool@sha256:{hash}
-npx toolkit@1.{num}.0 lint
-pip install {lower}==2.{num}.0
-python bench.py --run 20250314 --shards {num}
-pytest -q tests/test_{lower}.py -k "{word}"
-sha256sum exports/{lower}.json
-ls -la /home/user/work/{lower}
-find . -name "*.jsonl" -mtime -{num}
-Clone git@forge.{place}.test:teams/{place}.git and report the head commit {hash}.
-Use package toolkit@3.{num}.1 and the @cached decorator; do not upgrade.
-Batch 2024-555-0{num} failed at step 12 of 40; retry with lease 3600.
-Order 4471-20-{num} has v7.24 {word} lines; sum them.
-Ticket OPS-{num} says the {word} is stale; confirm with digest {hash}.
-compare run 20250314-0{num} with the one before
-Compare build 2025.03.1 with 2025.04.0 on host {host} and port 5432.
-Run the tests twice and report the time of each run, like 10:42:07 or 2025-03-14.
-Room {num}, wing C, shelf {num}: write down what the {word} label says.
-show me rows 555 to {num} of the {word}
-bump the lease from 900 to 3600 seconds
-revert commit {hash}
-Ask Harbor Ledger and the {place} Desk for a fresh {word}.
-Release Notes for {place}: mention trust, skip recall.
-Open the {place} log at line {num}, then explain the trust warning.
-This is a dry run. Read the {word} for {place}, count the {word} rows and stop.
-The {word} for {place} was twice renewed on the first pass.
-Before noon the {place} team found a stale {word} and split it.
-{place} and {place} share a recent {word}, because the alias was ambiguous.
-Between {place} and {place}, recall dropped by {num}% overnight.
-To find {place}, open the local {word} and look in wing C.
-Had the planner waited, the {place} {word} would have stayed partial.
-{place} holds the late {word} at the county desk.
-From {place} we learned that trust can hide a {word}.
-At first, the {word} named {place}-{num} has been split v7.20 times.
-Later, two copies of the {word} disagreed about {place}, so the night porter forwarded both.
-Meanwhile, a second {word} arrived from {place}, empty and narrow.
-{place} sent {num} files; 0x{hash} of them were late.
-{place} is partial.
-As soon as {place} answers, the drift monitor will compare cost with trust.
-Nobody copied the {word} of {place} twice. The Release Captain disagreed.
-Version {num}% of the {word} is late; version v3.1 is empty.
-Every {word} from {place} carries a shared {word}, unless the holder objects.
-Please keep the {word} in wing C until {place} has merged it.
-When {place} closes inside the sandbox, its {word} stays stale for {num} hours.
-Which {word} did the source scout leave in {place}? thanks, that fixed it
-List every {word} older than {num} days and say which scope {place} belongs to.
-Explain how precision and drift interact in the {place} pipeline.
-The Audit Runner and the {place} Office reopened {word} {num}.
-Summarise the last {num} runs of {place}. rename cost to recall in the docs
-The Policy Engine asked {place} for {num} more units of cost.
-The clerk keeps cost apart from recall in wing C. Transcribe the {word} of {place}.
-The {word} was found in wing C. Read it twice. Identity, trust and custody were checked in part.
-Integrity, lineage and cost were checked before noon. Recall, identity and trust were not.
-The {place} {word} pointed at {place}, yet the cache warden had revoked it.
+could someone phone {name} back, the line dropped
+{name} has a parcel waiting at reception
+hello {name}, thanks for your patience
+we owe {name} a refund for the {word}
+my colleague {name} will take over from monday
+according to {name} nothing was signed
+tell {name} that the {word} arrived
+is {name} on holiday or just out today
+i met {name} and {name} near {place}
+{name} and {name} share a flat at {address}
+is {name} still registered at {address}?
+{name} asked twice. then {name} gave up
+who let {name} into {place} without a badge
+the nurse spoke to {name}; the chart lists {id}
+{name}, {name} and {name} were late for the {word}
+Minutes taken by {name}. Apologies from {name}.
+Present: {name}, {name}, {name}. Absent: {name}.
+Approved by {name} for the whole board.
+Author {name}; reviewer {name}; editor {name}.
+Tenant {name} reports a leak at {address}.
+Witness {name} identified the caller as {name}.
+Applicant: {name}. Document: {id}. Residence: {address}.
+Guest {name} checked out; forward letters to {address}.
+The lawyer of {name} wrote from {email}.
+Please introduce {name} to {name} before lunch.
+Remind {name} ({phone}) about the appointment.
+Emergency contact: {name}, reachable under {phone}.
+Best wishes, {name}
+From: {name} <{email}>
+To: {email}, {email}
+Reply-To: {email}
+Attn. {name}, {address}
+c/o {name}, {address}
+Kind regards from {place}, {name}
+Two witnesses, {name} and {name}, describe {place} differently.
+Passenger {name} carries {id}.
+Payment received from {name}, reference {num}.
+Escalate the complaint by {name} to {name}.
+Interview with {name}: the {word} was never shown.
+Nominate {name} for the {word}. {name} declined.
+Yesterday {name} resigned. Her successor is {name}.
+did {name} reply? otherwise ask {name}
+call {phone} and ask for {name}
+our hotline {phone} is down, use {phone}
+my number changed to {phone}
+fax {phone}, mobile {phone}
+ring me on {phone} after six
+leave a voicemail at {phone}
+the flyer prints {phone} instead of {phone}
+SMS to {phone} failed with code {num}
+Dial {phone} for {place}.
+Reachable day and night: {phone}.
+write to {email} and copy {email}
+{email} is unsubscribed now
+drop {email} from the mailing list
+bounce message from {email}
+i use {email} at work and {email} at home
+Contact {email} or {phone}.
+Subscribe {email} to the {word}.
+The account {email} was locked after {num} attempts.
+Login {email} belongs to {name}.
+parking permit for {address}
+we moved from {address} to {address}
+deliver it to {address} please
+pick up at {address}, return to {address}
+The meter at {address} shows {num}.
+Inspect {address} and note the {word}.
+Our branch in {place} is at {address}.
+Courier stops: {address}; {address}; {address}.
+Is {address} in the same district as {address}?
+my papers: {id}
+no longer valid: {id}, please renew
+{id} was typed wrongly, correct is {id}
+Both {id} and {id} belong to one person.
+Copy {id} into field {num}.
+The clinic needs {id} and {phone}.
+Border control recorded {id} for {name}.
+does {id} look valid to you
+Enter {id} before you continue.
+Missing in row {num}: {id}.
+Record {num}: {name} / {id} / {phone} / {email} / {address}
+{{"customer": "{name}", "tel": "{phone}", "contact": "{email}"}}
+{{"id_doc": "{id}", "addr": "{address}", "lang": "en"}}
+<person><full>{name}</full><tel>{phone}</tel></person>
+name,phone,mail\n{name},{phone},{email}
+customer: {name}\naddress: {address}\ntel: {phone}
+mysql -e "select id from members where member = '{name}'"
+mysql crm -e "delete from leads where email = '{email}' or tel = '{phone}'"
+echo '{name}' >> guests.txt
+echo "{email}" | xargs -n1 ./unsubscribe
+sendmail {email} < letter-{num}.txt
+ldapsearch -x "(mail={email})" cn
+ldapsearch -x "(cn={name})" telephoneNumber
+grep -rn "{id}" archive/{lower}/
+grep -c '{name}' visitors/*.tsv
+sed -e 's/{name}/redacted/' log/{lower}.txt
+perl -ne 'print if /{phone}/' calls-{num}.log
+python -c "print('{name}'.title())"
+./print_label.sh "{name}" "{address}"
+./geocode --addr "{address}" --country {num}
+node send.js --recipient {email} --cc {email}
+curl -F who="{name}" -F tel="{phone}" http://{host}/forms
+mongosh --eval 'db.people.find({{doc: "{id}"}})'
+git commit -m "credit {name} for the {word}"
+git shortlog --author="{name}" --since={num}
+svn blame {lower}.c # ask {name}
+export OWNER="{name}" ADMIN={email}
+printf "%s;%s" "{name}" "{phone}" > card
+cat > note <<Z\nDear {name},\nwe visit {address}.\nZ
+if grep -q "{id}" seen; then echo "{name}"; fi
+awk '/{name}/ {{n++}} END {{print n}}' desk.log
+UPDATE people SET phone='{phone}' WHERE name='{name}';
+INSERT INTO homes VALUES ({num}, '{address}');
+terraform apply -var region={lower} -auto-approve
+kubectl -n {lower} rollout restart deploy/api-{num}
+kubectl get pods | grep {hash}
+make -j{num} release VERSION=4.{num}.2
+cargo build --release --features {lower}
+go test ./{lower}/... -run Test{num}
+rsync -a build/ web@{host}:/srv/{lower}
+scp root@{host}:/var/log/{lower}.log .
+ffmpeg -i {lower}.mov -ss 00:12:{num} out.mp4
+docker pull ghcr.{lower}.test/base@sha256:{hash}
+docker exec -it db_{num} psql
+npm install @{lower}/core@{num}.4.1
+yarn add left@2.0.{num}
+ssh -p 2222 ops@host-{num} 'df -h'
+git fetch git@code.{lower}.test:infra/{lower}.git
+git cherry-pick {hash}
+ping -c 3 {host}
+dig +short {lower}.example.net
+tail -f /var/log/{lower}/{num}.log
+chmod 644 conf/{lower}.ini
+du -sh cache/* | sort -h | tail -{num}
+wget https://mirror.{lower}.test/v3.{num}/pkg.tar.gz
+jq length {lower}.json
+date -d @17{num}
+The {place} team shipped version 12.{num}.3 on 2023-11-05.
+{place} and {place} signed the {word} in {num} copies.
+Between 09:15 and 10:45 the {word} of {place} was empty.
+Night Shift found the {word} in Bay {num}.
+Blue Harbor beat Green Valley by {num} points.
+The Data Steward asked {place} for the {word}.
+Quarterly Review starts in Hall B with {num} seats.
+Project Lantern replaces Project {place} next spring.
+Build Farm reports {num} failures since commit {hash}.
+Every Monday {place} closes early.
+In {place}, the Water Board and the School Council share one {word}.
+Nothing from {place} today. Check the {word} tomorrow.
+A {word} without an owner is worthless, says the Style Guide.
+When the Review Board meets, {place} sends {num} pages.
+Case 2031-{num}-77 moved from {place} to {place}.
+Invoice 88-{num}-0042 is paid. Invoice 88-{num}-0043 is not.
+Tracking code 1Z{hash} left {place}.
+Serial 4402 {num} 118 and serial 4402 {num} 119 differ.
+Coordinates 51.{num}, 7.{num} lie outside {place}.
+Error 0x{hash} at line {num}, see ticket NET-{num}.
+The ratio fell from 0.{num} to 0.{num} in {place}.
+Rows 100 to {num} of the {word} are blank.
+Chapter {num} explains why the {word} matters.
+is {place} the same as {place}? the map says no
+can we skip the {word} for {place} this week
+the {word} keeps failing, restarted it {num} times
+nobody opened the {word} since the Spring Fair
+why is port {num} closed on {host}
+what does flag {num} of the {word} do
+thanks, the {word} works again
+please shorten the {word} to {num} words
+compare {place} with {place} by cost
+Sort the {word} by date and drop column {num}.
+Translate the {word} into French, keep the numbers.
+Open Question {num}: who owns the {word} of {place}?
+First Draft and Final Draft of the {word} differ in {num} places.
+Before Easter {place} had {num} members, now {num}.
+Aisle B, row {num}: count the {noun} boxes.
+see section D, page {num}, on {noun}
+Block F, because of {noun}, stays shut.
+Level A, {noun} and level B, {noun} were mixed up.
+Gate E, {word}, {noun}.
+keep {noun}, drop {noun}
+Agenda for {place}: discuss {noun}, postpone {noun}.
+Topics: {noun}, {noun} and {noun}.
+Without {noun} there is no {noun}, and without {noun} no {word}.
+{team} met {team} to talk about {noun}.
+Ask {team} for more {noun}.
+{team} and {team} rewrote the {word}. Afterwards, {team} left.
+Please repeat Phase Two for {team} and {team}
+The {place} Committee and the {team} disagree on {noun}.
+Later {team} opened the {word} of {place}.
+After {place}, the {word} went to {team}, yet {noun} was low.
+Between {place} and {place} there is no {noun}.
+Near {place}, {noun} grew by {num}%; in {place}, it fell.
+To {place}, the {word} means {noun}. To {place}, nothing.
+At {place}, yet again, the {adj} {word} broke.
+From {place} to {place}, then back to {place}.
+For {place}, count the {adj} {word} entries and stop.
+Visit {place}, {place} and {place}, in that order.
+{place}, our {adj} neighbour, has no {word}.
+{place} opened {num} {adj} files, but {place} closed none.
+Why did {place} lose its {word}? Because {noun} was {adj}.
+{adj} {noun} beats {adj} {noun}
+a {adj} {word} is better than a {adj} one
+They lost the {word} only once, and {noun} was never {adj}.
+The {adj} clerk compared {noun} with {noun}, as always.
+our {adj} cook, the {adj} driver and the {adj} guard left early
+The {word}, {adj} and {adj}, hides {num} of {num} pages.
+Nobody in {place} trusts {noun}. Everybody in {place} wants {noun}.
+grep -n {lower} {lower}.md | sort | uniq -c
+git checkout -b {lower}-{noun} && git push
+pytest -k {noun} --maxfail={num}
+ctest -R "{noun} {word}" --repeat {num}
+mocha -g "{word}" test/{lower}.js
+./run.sh --mode {adj} --{noun} {num}
+echo {noun} > {lower}.txt; cat {lower}.txt
+python {lower}.py --check {noun} --date 20240102
+note from {name}: {noun} is {adj}
+ask {name} if {noun} is {adj}
+{name} says {noun} comes first, {place} second
+we pay {name} for {noun} and {name} for {noun}
+give {name} the {word}, take it from {name}
+phone {name} once {place} opens
+show {name} around {place}
+Search {name} in our {place} files and tell {email}.
+Find {name} among the {place} guests.
+Look for {name} inside the {place} {word} and post it to {email}.
+pick {name} from the {place} list
+Go through {place} with {name} and {name}.
+put {name} on the list and strike {name} off
+the record names {name}, holder of {id}
+the file still lists {name} and has {id}
+does {phone} still reach {name}?
+new entry {name}, {phone}, {place}
+{name} rang from {phone} about {noun}
+{name} wrote again from {email} about the {word}
+for {name} / {phone} / {address}
+bill {name} / {address} / {email}
+tool --user "{name}" --note "{noun}"
+user.full = "{name}"  # {noun}
+set owner "{name}"; set mail {email}
+cat > tag.txt <<Q\n{name}\n{address}\n{phone}\nQ
 """.strip().split("\n")
 
 _START = "an be cor dal fer gor hel jor kar lin mor nor pel ros sal tor val wen zel bra cla dre fra gri kre ols sten tri vol".split()
 _MID = "a e i o u ar en il or an ol us im ed av is un el".split()
-_SURNAME = "berg man mann sson sen son ova enko ić ski oux ley ley wick sted by mar rez nez eira ardo etti ini ström lund gaard quist witz ins oglu idze low ard ulsen wala vitz".split()
-_PLACE = "haven wick bury ford dale low mere lock dric gate sund nex tan vek lis ridge mouth ston field vane more riwick dor rilow kador".split()
-_TOWN = "ville mouth stead ham heim vik burg by minster thorpe".split()
-_WORDS = "ledger|trace chain|audit report|knowledge graph|caveat list|memory shard|tool call|session log|roster snapshot|redaction map|document atom|hash link|topic index|merge proposal|scope index|witness file".split("|")
+_SURNAME = "berg man mann sson sen son ova enko ski ley by rez eira etti ini ström lund gaard ton ford stein idis poulos yan escu well more wood shaw kins beck hart auer elli ard ault dahl rud vik nen ovic wicz ic as is eau ier o a i ana enas ung ang uda".split()
+_PLACE = "haven wick bury ford dale low mere gate sund ridge mouth ston field port brook cliff wood stead combe thwaite rock bay mill".split()
+_TOWN = "ville mouth stead ham heim vik burg by minster thorpe ton port bridge furt hausen".split()
+_STAGE, _COUNT = "Step Phase Stage Part Round Level Track Unit".split(), "One Two Three Four Five Six Seven Eight Nine Ten".split()
+_NOUNS = "patience courage honesty speed comfort safety silence growth balance beauty freedom luck warmth traffic music health taste order chance profit demand supply progress doubt energy weather pressure quality volume distance".split()
+_ADJECTIVES = "early wooden careful noisy empty narrow golden honest rusty simple modern sleepy bitter clever gentle hollow idle jolly tidy vague young round loose plain steep".split()
+_TEAM = "Golden Silver North South West Upper Lower Grand Central Public Royal Spring Winter Summer Autumn Iron Stone River Ocean Forest Mountain Market Harvest Morning Evening Crystal".split()
+_BODY = "Office Desk Group Council Gallery Library Museum Station Garden Bridge Theatre Hall Archive Studio Clinic Agency League Union Society Bank Press Tower Wing Club Fund Court Festival Notes Plan Report Review".split()
+_WORDS = "contract|monthly newsletter|price list|floor plan|survey|backup job|training deck|meeting room|coffee machine|release checklist|draft|spreadsheet|visitor badge|shipping label|test run|cookbook|weather chart|bus timetable|garden hose|archive box|style sheet|login page|login form|menu|budget line|choir song".split("|")
 
 
 class Filler:
@@ -169,25 +286,26 @@ class Filler:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
-        from loomstone.llm.names import NICKNAMES
-
-        self.given = [*GIVEN, *(x.split(":")[0].strip() for x in NICKNAMES.split(";") if ":" in x), *(w for x in NICKNAMES.split(";") if ":" in x for w in x.split(":")[1].split())]
 
     def stem(self) -> str:
         r = self.r
         return r.choice(_START) + "".join(r.choice(_MID) + r.choice(["", r.choice("lnrsmdv")]) for _ in range(r.choice([0, 1, 1])))
 
+    def first(self) -> str:
+        """A common given name, or one nobody has heard of."""
+        return self.r.choice(GIVEN) if self.r.random() < 0.45 else self.stem() + self.r.choice(["", "a", "o", "e", "in", "us"])
+
     def surname(self) -> str:
         one = (self.stem() + self.r.choice(_SURNAME)).capitalize()
         if self.r.random() < 0.12:
             one += "-" + (self.stem() + self.r.choice(_SURNAME)).capitalize()
-        if self.r.random() < 0.06:
-            one = self.r.choice(["von ", "de ", "van ", "van der ", "bin ", "da ", "al-", "O'"]) + one
+        if self.r.random() < 0.14:
+            one = self.r.choice(["von ", "de ", "van ", "van der ", "bin ", "da ", "di ", "el ", "al-", "O'"]) + one
         return one
 
     def name(self) -> str:
         r = self.r
-        given, family = r.choice(self.given).capitalize(), self.surname()
+        given, family = self.first().capitalize(), self.surname()
         k = r.random()
         out = (
             f"{given} {family}" if k < 0.43 else f"{family}, {given}" if k < 0.58 else f"{given[0]}. {family}" if k < 0.7
@@ -199,7 +317,7 @@ class Filler:
 
     def email(self) -> str:
         r = self.r
-        given, family = r.choice(self.given), self.surname().lower().replace(" ", "").replace("'", "")
+        given, family = self.first(), self.surname().lower().replace(" ", "").replace("'", "")
         ascii_ = lambda s: s.encode("ascii", "ignore").decode() or "x"
         given, family = ascii_(given), ascii_(family)
         local = r.choice([f"{given}.{family}", f"{given[0]}{family}", f"{family}_{given}", f"{given}{r.randrange(10, 99)}", f"{family}-{given[0]}"])
@@ -233,7 +351,7 @@ class Filler:
             f"{r.choice(['ssn:', 'SSN', 'social', 'soc. sec. no.', 'social security number'])} {ssn}", f"{r.choice(['ssn:', 'social', 'soc. sec. no.', 'social security number'])} {ssn}",
             f"{r.choice(['passport', 'passport no.', 'Passport', 'travel document', 'travel document no.', 'visa no.', 'residence permit'])} {up}{r.choice(['', ' '])}{d(7)}", f"{r.choice(['DNI', 'id card', 'national id', 'ID card no.', 'NIE'])} {d(8)}{r.choice(['', '', '-'])}{up}",
             f"{r.choice(['NINO', 'national insurance no.', 'national insurance number', 'NI number'])} QQ {d(6)} {r.choice('ABCD')}", f"NINO QQ{d(6)}{r.choice('ABCD')}", f"NINO QQ {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}",
-            f"{r.choice(['driver’s licence', chr(100) + 'river' + chr(39) + 's licence', 'licence no.', 'driving licence', 'driver license'])} {up}{d(3)}{dash}{d(3)}{dash}{d(2)}", f"{d(3)}-{d(2)}-{d(4)}",
+            f"{r.choice(["driver’s licence", "driver's licence", 'licence no.', 'driving licence', 'driver license'])} {up}{d(3)}{dash}{d(3)}{dash}{d(2)}", f"{d(3)}-{d(2)}-{d(4)}",
         ])
 
     def place(self) -> str:
@@ -256,7 +374,8 @@ class Filler:
         if kind in ("name", "email", "phone", "id", "address", "place"):
             return getattr(self, kind)()
         return {
-            "word": lambda: r.choice(_WORDS), "num": lambda: str(r.randrange(1, 10_000)), "host": lambda: f"192.0.2.{r.randrange(1, 99)}",
+            "word": lambda: r.choice(_WORDS), "noun": lambda: r.choice(_NOUNS), "adj": lambda: r.choice(_ADJECTIVES),
+            "team": lambda: f"{r.choice(_TEAM)} {r.choice(_BODY)}" if r.random() < 0.8 else f"{r.choice(_STAGE)} {r.choice(_COUNT)}", "num": lambda: str(r.randrange(1, 10_000)), "host": lambda: f"192.0.2.{r.randrange(1, 99)}",
             "hash": lambda: "%012x" % r.randrange(16**12), "lower": lambda: self.place().lower(), "repo": lambda: self.place(),
         }[kind]()
 

@@ -4,13 +4,14 @@ A linear-chain conditional random field over word-shape features tags tokens
 as names, e-mail addresses, phone numbers, identity numbers and street
 addresses.  It is trained on the driver from the small labelled table of
 ``labelled`` (a fixed number of sentences, a few seconds) and decoded by
-Viterbi in numpy batches.  Found items become typed placeholders.
+Viterbi in numpy batches.  Features are hashed: a word's own traits are looked
+up once, what joins neighbours is mixed over whole batches in numpy.  Found
+items become typed placeholders.
 
 Defined results: null and blank texts hold nothing; equal texts are tagged
 alike; a payload delivered twice counts once; an item never spans two kinds;
-an empty table gives an empty result; very long texts are tagged whole, in
-stretches cut at line ends or, failing these, between tokens; extra columns
-are ignored.
+an empty table gives an empty result; texts of any length are tagged whole;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ from loomstone.llm.names import NICK, NICKNAMES, TITLES, plain
 
 KINDS = ("name", "email", "phone", "id", "address")
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
-#: Tokens of one stretch at most.
-STRETCH = 400
+#: Cells of the table of hashed weights, and tokens decoded at once.
+WEIGHTS, AT_ONCE = 1 << 18, 100_000
 
 _TOKEN = re.compile(r"\d+|[^\W\d_]+|\s*\n\s*|[^\w\s]|_")
 _DOT = r"(?:\.|\[dot\]|\(dot\)|\sdot\s)"
@@ -56,25 +58,56 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text)]
 
 
-def features(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
-    """Feature names of every token."""
+def _hash(s: str) -> int:
+    return xxhash.xxh64_intdigest(s)
+
+
+_EDGE = _hash("beyond the text")
+#: Columns of features every token has (hashes), before the marks.
+COLUMNS = 21
+
+
+@lru_cache(maxsize=500_000)
+def word_traits(w: str) -> tuple[int, ...]:
+    """Hashes of a token's lower form, shape, flags, ends and length."""
+    if "\n" in w:
+        low = form = "\n"
+    else:
+        low, form = w.lower(), shape(w)
+    p = plain(low) if low.isalpha() else low
+    flags = (
+        ("g" if p in KNOWN else "") + ("t" if p in TITLES else "") + ("p" if p in PAPERS else "")
+        + ("s" if p in STREET or (len(p) > 6 and p.endswith(("gasse", "weg", "str", "strasse", "platz"))) else "")
+        + ("i" if len(low) == 1 and w.isupper() else "")
+    )
+    ends = (low[-3:] if len(low) > 4 else "", low[-2:] if len(low) > 3 else "")
+    return (_hash("w" + low), _hash("s" + form), _hash("f" + flags), _hash("3" + ends[0]), _hash("2" + ends[1]), _hash(f"z{min(len(low), 8)}"))
+
+
+def marks(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, str]]:
+    """(token, name) of the patterns that tokens take part in."""
     n = len(spans)
-    begin = {s: i for i, (s, _) in enumerate(spans)}
-    marks: list[list[str]] = [[] for _ in range(n)]
+    out: list[tuple[int, str]] = []
+    begin: dict[int, int] | None = None
 
     def mark(m: re.Match, name: str) -> None:
+        nonlocal begin
+        if begin is None:
+            begin = {s: i for i, (s, _) in enumerate(spans)}
         i = begin.get(m.start())
         if i is None:
             return
-        marks[i].append(f"{name}<")
+        out.append((i, name + "<"))
         while i < n and spans[i][0] < m.end():
-            marks[i].append(name)
+            out.append((i, name))
             i += 1
 
     for m in _EMAIL.finditer(text):
         after = text[m.end() : m.end() + 2]
         odd = "v" if re.search(r"@\s?v?\d", m[0]) else "repo" if re.match(r":\w", after) else "host" if m[0].lower().startswith(("git@", "deploy@", "root@", "admin@")) else ""
         mark(m, "EMAIL" + odd)
+    if not _DIGIT.search(text):
+        return out
     for m in _RUN.finditer(text):
         digits = re.sub(r"\D", "", m[0])
         if len(digits) >= 5:
@@ -87,66 +120,106 @@ def features(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
             mark(m, "ID" + name)
     for m in _POST.finditer(text):
         mark(m, "POST")
-    words = [text[a:b] for a, b in spans]
-    low = [("\n" if "\n" in w else w.lower()) for w in words]
-    shapes = [shape(w) if "\n" not in w else "\n" for w in words]
-    flags = []
-    for i, w in enumerate(low):
-        p = plain(w) if w.isalpha() else w
-        f = ""
-        f += "g" if p in KNOWN else ""
-        f += "t" if p in TITLES else ""
-        f += "s" if p in STREET or (len(p) > 6 and p.endswith(("gasse", "weg", "str", "strasse", "platz"))) else ""
-        f += "p" if p in PAPERS else ""
-        f += "i" if len(w) == 1 and words[i].isupper() else ""
-        f += "j" if i + 1 < n and spans[i][1] == spans[i + 1][0] else ""
-        flags.append(f)
-    out = []
-    at = lambda seq, i: seq[i] if 0 <= i < n else "_"
-    for i in range(n):
-        w = low[i]
-        own = [
-            "b", f"w={w}", f"s={shapes[i]}", f"f={flags[i]}", f"x3={w[-3:]}" if len(w) > 4 else "x3", f"x2={w[-2:]}" if len(w) > 3 else "x2", f"z={min(len(w), 8)}",
-            f"w-1={at(low, i - 1)}", f"w+1={at(low, i + 1)}", f"w-2={at(low, i - 2)}", f"w+2={at(low, i + 2)}",
-            f"s-1={at(shapes, i - 1)}|{shapes[i]}", f"s+1={shapes[i]}|{at(shapes, i + 1)}", f"f-1={at(flags, i - 1)}|{flags[i]}", f"f+1={flags[i]}|{at(flags, i + 1)}",
-            f"f-2={at(flags, i - 2)}|{at(flags, i - 1)}|{flags[i]}", f"f+2={flags[i]}|{at(flags, i + 1)}|{at(flags, i + 2)}", f"ws={at(low, i - 1)}|{shapes[i]}", f"sw={shapes[i]}|{at(low, i + 1)}",
-            f"c={at(low, i - 1)}|{flags[i]}|{at(low, i + 1)}", f"d={at(low, i - 2)}|{at(low, i - 1)}",
-        ]
-        own += [f"m={m}" for m in marks[i]]
-        own += [f"m+={m}" for m in (marks[i + 1] if i + 1 < n else [])[:3]] + [f"m-={m}" for m in (marks[i - 1] if i else [])[:3]]
-        out.append(own)
     return out
 
 
+_DIGIT = re.compile(r"\d")
+_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+
+
+def _mix(kind: int, *parts: np.ndarray) -> np.ndarray:
+    """One hash for each row of several hashes, by kind of feature."""
+    h = np.full(len(parts[0]), kind, np.uint64)
+    for k, p in enumerate(parts):
+        h = (h ^ (p + _K[k])) * _K[0]
+        h ^= h >> np.uint64(32)
+    return (h & np.uint64(WEIGHTS - 1)).astype(np.int64)
+
+
+def features(texts: list[str], all_spans: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table, token, mark): the hashed features of all tokens of the texts, a
+    row of ``COLUMNS`` each, and the tokens' further features."""
+    traits, joined, at, ids = [], [], [], []
+    base = 0
+    for text, spans in zip(texts, all_spans):
+        traits += [word_traits(text[a:b]) for a, b in spans]
+        joined += [x[1] == y[0] for x, y in zip(spans, spans[1:])] + [False] * bool(spans)
+        n = len(spans)
+        for i, name in marks(text, spans):
+            h = _hash(name)
+            at += [base + i]
+            ids += [h]
+            if i + 1 < n:
+                at += [base + i + 1]
+                ids += [h ^ 0x5555]
+            if i:
+                at += [base + i - 1]
+                ids += [h ^ 0xAAAA]
+        base += n
+    if not base:
+        return np.zeros((0, COLUMNS), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        w, s, f, x3, x2, z = np.array(traits, np.uint64).T
+        f = f + np.array(joined).astype(np.uint64) * _K[3]
+        text_no = np.repeat(np.arange(len(texts)), [len(x) for x in all_spans])
+
+        def near(col: np.ndarray, k: int) -> np.ndarray:
+            out = np.full(base, _EDGE, np.uint64)
+            if k > 0 and base > k:
+                out[:-k] = np.where(text_no[k:] == text_no[:-k], col[k:], np.uint64(_EDGE))
+            elif k < 0 and base > -k:
+                out[-k:] = np.where(text_no[:k] == text_no[-k:], col[:k], np.uint64(_EDGE))
+            return out
+
+        w1, w2, v1, v2 = near(w, 1), near(w, 2), near(w, -1), near(w, -2)
+        s1, t1, f1, f2, g1, g2 = near(s, 1), near(s, -1), near(f, 1), near(f, 2), near(f, -1), near(f, -2)
+        table = np.stack([
+            np.zeros(base, np.int64), _mix(1, w), _mix(2, s), _mix(3, f), _mix(4, x3), _mix(5, x2), _mix(6, z), _mix(7, v1), _mix(8, w1), _mix(9, v2), _mix(10, w2),
+            _mix(11, t1, s), _mix(12, s, s1), _mix(13, g1, f), _mix(14, f, f1), _mix(15, g2, g1, f), _mix(16, f, f1, f2), _mix(17, v1, s), _mix(18, s, w1), _mix(19, v1, f, w1), _mix(20, v2, v1),
+        ], axis=1)
+        extra = _mix(21, np.array(ids, np.uint64)) if ids else np.zeros(0, np.int64)
+    return table, np.array(at, np.int64), extra
+
+
 class Tagger:
     """Weights of a linear-chain CRF; ``fit`` and ``decode`` run in numpy."""
 
     def __init__(self) -> None:
-        self.index: dict[str, int] = {}
-        self.weights = np.zeros((1, len(LABELS)))
+        self.weights = np.zeros((WEIGHTS, len(LABELS)), np.float32)
         self.moves = np.zeros((len(LABELS), len(LABELS)))
 
-    def ids(self, feats: list[list[str]]) -> list[list[int]]:
-        get = self.index.get
-        return [[k for k in map(get, own) if k is not None] for own in feats]
-
-    def emissions(self, ids: list[list[int]]) -> np.ndarray:
-        flat = np.fromiter((k for own in ids for k in own), np.int64)
-        starts = np.concatenate(([0], np.cumsum([len(own) for own in ids])[:-1])) if ids else np.zeros(0, np.int64)
-        return np.add.reduceat(self.weights[flat], starts, axis=0)  # each token has the feature "b"
-
-    def fit(self, data: list[tuple[list[list[str]], list[int]]], epochs: int = 9, rate: float = 0.12, decay: float = 2e-4, batch: int = 96) -> Tagger:
-        """Adam on the negative log-likelihood, in batches of like length."""
-        counts: dict[str, int] = {}
-        for feats, _ in data:
-            for own in feats:
-                for f in own:
-                    counts[f] = counts.get(f, 0) + 1
-        self.index = {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= 3 or f == "b"))}
-        self.weights = np.zeros((len(self.index), len(LABELS)))
-        ready = sorted(((self.ids(feats), y) for feats, y in data), key=lambda x: len(x[1]))
+    def emissions(self, table: np.ndarray, token: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Each token's score for each label."""
+        out = np.zeros((len(table), len(LABELS)), np.float32)
+        for k in range(table.shape[1]):
+            out += self.weights[table[:, k]]
+        np.add.at(out, token, self.weights[mark])
+        return out
+
+    def fit(self, data: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 9, rate: float = 0.12, decay: float = 2e-4, batch: int = 96) -> Tagger:
+        """Adam on the negative log-likelihood, in batches of like length; a
+        feature must occur three times to have a weight."""
+        rows = []
+        for text, items in data:
+            spans = tokens(text)
+            if spans:
+                table, token, mark = features([text], [spans])
+                flat = np.concatenate((table.ravel(), mark))
+                place = np.concatenate((np.repeat(np.arange(len(spans)), table.shape[1]), token))
+                rows.append((flat, place, labels_of(spans, items)))
+        known, counts = np.unique(np.concatenate([r[0] for r in rows]), return_counts=True)
+        known = known[(counts >= 3) | (known == 0)]
+        ready = []
+        for flat, place, y in rows:
+            slot = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            good = known[slot] == flat
+            slot, place = slot[good], place[good]
+            order = np.argsort(place, kind="stable")
+            ready.append((slot[order], np.bincount(place, minlength=len(y)), y))
+        ready.sort(key=lambda x: len(x[2]))
         parts = [self._batch(ready[k : k + batch]) for k in range(0, len(ready), batch)]
-        params = [self.weights, self.moves]
+        compact = np.zeros((len(known), len(LABELS)))
+        params = [compact, self.moves]
         first = [np.zeros_like(p) for p in params]
         second = [np.zeros_like(p) for p in params]
         order, step = np.random.default_rng(11), 0
@@ -154,13 +227,14 @@ class Tagger:
             for k in order.permutation(len(parts)):
                 step += 1
                 now = rate * (1 - 0.8 * epoch / epochs)
-                for p, g, f, s in zip(params, self._gradient(parts[k]), first, second):
+                for p, g, f, s in zip(params, self._gradient(parts[k], compact), first, second):
                     g = g + decay * p
                     f *= 0.9
                     f += 0.1 * g
                     s *= 0.99
                     s += 0.01 * g * g
                     p -= now * (f / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        self.weights[known] = compact
         for i, x in enumerate(LABELS):  # an item never begins inside
             for j, y in enumerate(LABELS):
                 if y[0] == "I" and x[1:] != y[1:]:
@@ -168,31 +242,30 @@ class Tagger:
         return self
 
     @staticmethod
-    def _batch(data: list[tuple[list[list[int]], list[int]]]) -> dict:
+    def _batch(data: list[tuple[np.ndarray, np.ndarray, list[int]]]) -> dict:
         """Flat arrays of one batch, sorted once for the gradient's sums."""
-        ids = [own for feats, _ in data for own in feats]
-        flat = np.fromiter((k for own in ids for k in own), np.int64)
-        sizes = np.array([len(own) for own in ids])
-        lengths = np.array([len(y) for _, y in data])
+        flat = np.concatenate([x[0] for x in data])
+        sizes = np.concatenate([x[1] for x in data])
+        lengths = np.array([len(y) for *_, y in data])
         longest = int(lengths.max())
-        gold = np.concatenate([y for _, y in data])
+        gold = np.concatenate([y for *_, y in data])
         moves = np.zeros((len(LABELS), len(LABELS)))
-        for _, y in data:
+        for *_, y in data:
             np.add.at(moves, (y[:-1], y[1:]), 1)
         by = np.argsort(flat, kind="stable")
         heads = np.flatnonzero(np.concatenate(([True], flat[by][1:] != flat[by][:-1])))
         return {
             "n": len(data), "longest": longest, "flat": flat, "starts": np.concatenate(([0], np.cumsum(sizes)[:-1])), "hot": np.eye(len(LABELS))[gold], "moves": moves,
             "place": np.concatenate([k * longest + np.arange(n) for k, n in enumerate(lengths)]), "mask": (np.arange(longest)[None, :] < lengths[:, None]).astype(float),
-            "heads": heads, "present": flat[by][heads], "tokens": np.repeat(np.arange(len(ids)), sizes)[by],
+            "heads": heads, "present": flat[by][heads], "tokens": np.repeat(np.arange(len(sizes)), sizes)[by], "size": len(gold),
         }
 
-    def _gradient(self, b: dict) -> tuple[np.ndarray, np.ndarray]:
+    def _gradient(self, b: dict, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the mean negative log-likelihood: expected less observed counts,
         by forward and backward passes over scaled probabilities."""
         n, longest, n_labels, mask = b["n"], b["longest"], len(LABELS), b["mask"]
         emit = np.zeros((n * longest, n_labels))
-        emit[b["place"]] = np.add.reduceat(self.weights[b["flat"]], b["starts"], axis=0)
+        emit[b["place"]] = np.add.reduceat(weights[b["flat"]], b["starts"], axis=0)
         emit = emit.reshape(n, longest, n_labels)
         e, t = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(self.moves)
         alpha, beta, scale = np.zeros_like(e), np.zeros_like(e), np.ones((n, longest))
@@ -214,19 +287,20 @@ class Tagger:
         post = alpha * beta
         post /= post.sum(2, keepdims=True)
         miss = post.reshape(-1, n_labels)[b["place"]] - b["hot"]
-        grad = np.zeros_like(self.weights)
+        grad = np.zeros_like(weights)
         grad[b["present"]] = np.add.reduceat(miss[b["tokens"]], b["heads"], axis=0)
         return grad / n, (pair - b["moves"]) / n
 
-    def decode(self, batch: list[list[list[int]]]) -> list[np.ndarray]:
-        """Viterbi paths of a batch of sentences of similar length."""
+    def decode(self, batch: list[np.ndarray]) -> list[np.ndarray]:
+        """Viterbi paths of a batch of texts of similar length, given each
+        text's emissions."""
         if not batch:
             return []
         lengths = np.array([len(x) for x in batch])
         longest = int(lengths.max())
         emit = np.zeros((len(batch), longest, len(LABELS)))
-        for k, ids in enumerate(batch):
-            emit[k, : len(ids)] = self.emissions(ids)
+        for k, own in enumerate(batch):
+            emit[k, : len(own)] = own
         best = emit[:, 0].copy()
         best[:, [i for i, x in enumerate(LABELS) if x[0] == "I"]] = -1e4
         back = np.zeros((len(batch), longest, len(LABELS)), np.int8)
@@ -244,32 +318,18 @@ class Tagger:
         return [p[:n] for p, n in zip(path, lengths)]
 
 
-def encode(text: str, items: list[tuple[int, int, str]]) -> tuple[list[list[str]], list[int]]:
-    spans = tokens(text)
+def labels_of(spans: list[tuple[int, int]], items: list[tuple[int, int, str]]) -> list[int]:
     y = []
     for a, b in spans:
         own = next(((s, k) for s, e, k in items if s <= a and b <= e), None)
         y.append(0 if own is None else LABELS.index(("B-" if own[0] == a else "I-") + own[1]))
-    return features(text, spans), y
+    return y
 
 
 @lru_cache(maxsize=2)
 def trained(n: int = SENTENCES, seed: int = 7) -> Tagger:
     """The tagger fitted to n sentences of the labelled table."""
-    return Tagger().fit([x for x in (encode(*s) for s in sentences(n, seed)) if x[0]])
-
-
-def _stretches(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Token ranges of at most STRETCH tokens, cut at line ends if possible."""
-    out, lo = [], 0
-    while lo < len(spans):
-        hi = min(lo + STRETCH, len(spans))
-        if hi < len(spans):
-            cut = [i for i in range(lo + STRETCH // 2, hi) if "\n" in text[spans[i][0] : spans[i][1]]]
-            hi = cut[-1] + 1 if cut else hi
-        out.append((lo, hi))
-        lo = hi
-    return out
+    return Tagger().fit(sentences(n, seed))
 
 
 def _sound(kind: str, text: str, a: int, b: int) -> bool:
@@ -289,19 +349,19 @@ def _sound(kind: str, text: str, a: int, b: int) -> bool:
 
 def tag(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """Items (from, to, kind) of each text, in order."""
-    jobs = []
     all_spans = [tokens(t) for t in texts]
-    for k, (text, spans) in enumerate(zip(texts, all_spans)):
-        if not spans:
-            continue
-        ids = tagger.ids(features(text, spans))
-        jobs += [(hi - lo, k, lo, ids[lo:hi]) for lo, hi in _stretches(text, spans)]
-    jobs.sort(key=lambda j: j[:3])
+    order = sorted((k for k, x in enumerate(all_spans) if x), key=lambda k: len(all_spans[k]))
     labels = [np.zeros(len(s), np.int64) for s in all_spans]
-    for at in range(0, len(jobs), 256):
-        part = jobs[at : at + 256]
-        for (_, k, lo, ids), path in zip(part, tagger.decode([j[3] for j in part])):
-            labels[k][lo : lo + len(ids)] = path
+    while order:
+        # As many texts, the longest of them last, as fit the bound; one at least.
+        n = 1
+        while n < len(order) and len(all_spans[order[n]]) * (n + 1) <= AT_ONCE:
+            n += 1
+        part, order = order[:n], order[n:]
+        scores = tagger.emissions(*features([texts[k] for k in part], [all_spans[k] for k in part]))
+        cuts = np.cumsum([len(all_spans[k]) for k in part])[:-1]
+        for k, path in zip(part, tagger.decode(np.split(scores, cuts))):
+            labels[k] = path
     out = []
     for text, spans, own in zip(texts, all_spans, labels):
         items: list[tuple[int, int, str]] = []

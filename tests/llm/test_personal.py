@@ -1,6 +1,10 @@
 import itertools
+import os
+import re
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
 from loomstone.llm import labelled, personal
 
@@ -19,27 +23,55 @@ def test_held_out_accuracy():
     assert right / wanted > 0.97 and extra / wanted < 0.02
 
 
+def test_sentences_unlike_the_labelled_ones():
+    said = [
+        ("I spoke with Marek Jovanovic at noon and he was glad.", ["name"]),
+        ("Her line is 020 7946 0311 but try r.keller@post.example.com first.", ["phone", "email"]),
+        ("Deliveries for Dr Hollis go to 14 Marlow Road, Westham.", ["name", "address"]),
+        ("The kettle in Room 12 boils over at 10:30.", []),
+        ("Upgrade to release 4.12.7 and reboot 192.0.2.14.", []),
+    ]
+    for (text, kinds), got in zip(said, personal.tag(personal.trained(), [t for t, _ in said])):
+        assert [k for *_, k in got] == kinds, (text, got)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_labelled_sentences_are_not_the_test_tables_own():
+    rows = pq.read_table("/root/testdata/sf0.001/hook_payloads.parquet", columns=["prompt", "tool_input"]).to_pylist()
+    texts = "\n".join({x for r in rows for x in (r["prompt"], (r["tool_input"] or {}).get("prompt"), (r["tool_input"] or {}).get("command")) if x})
+    for template in labelled.TEMPLATES:
+        for part in re.split(r"\{\w+\}", template.replace("{{", "{").replace("}}", "}")):
+            assert not any(part[k : k + 14] in texts for k in range(len(part) - 13)), template
+    people = pq.read_table("/root/testdata/sf0.001/person_entities.parquet", columns=["first_name"])["first_name"].to_pylist()
+    assert not {x.lower() for x in people if x} & set(labelled.GIVEN)
+
+
 def test_viterbi_finds_the_best_path():
     r = np.random.default_rng(1)
     t = personal.Tagger()
     n = len(personal.LABELS)
-    t.weights, t.moves = r.normal(size=(5, n)), r.normal(size=(n, n))
-    ids = [[0, 1], [2], [3, 4]]
-    emit = t.emissions(ids)
+    t.moves = r.normal(size=(n, n))
+    emit = r.normal(size=(3, n))
     starts = [i for i, x in enumerate(personal.LABELS) if x[0] != "I"]
     best = max(
         (p for p in itertools.product(range(n), repeat=3) if p[0] in starts),
         key=lambda p: sum(emit[i, y] for i, y in enumerate(p)) + t.moves[p[0], p[1]] + t.moves[p[1], p[2]],
     )
-    assert tuple(t.decode([ids, ids[:1]])[0]) == best
+    assert tuple(t.decode([emit, emit[:1]])[0]) == best
 
 
-def test_gradient_raises_the_likelihood():
-    data = [personal.encode(*s) for s in labelled.sentences(40, 5)]
-    data = [x for x in data if x[0]]
+def test_fitting_raises_the_likelihood_and_batches_agree():
+    data = labelled.sentences(40, 5)
     t = personal.Tagger().fit(data, epochs=30)
-    paths = t.decode([t.ids(f) for f, _ in data])
-    assert np.mean([(p == np.array(y)).mean() for p, (_, y) in zip(paths, data)]) > 0.9
+    right = [[(s, e, k) for s, e, k in items] == got for (_, items), got in zip(data, personal.tag(t, [x for x, _ in data]))]
+    assert np.mean(right) > 0.8
+    assert [personal.tag(t, [x])[0] for x, _ in data] == personal.tag(t, [x for x, _ in data])
+
+
+def test_an_item_in_a_long_line_is_one_item():
+    text = "filler words here and more of them, " * 300 + "mail to r.keller@post.example.com or dial (212) 555-0134 now"
+    got = personal.tag(personal.trained(), [text])[0]
+    assert [(text[a:b], k) for a, b, k in got] == [("r.keller@post.example.com", "email"), ("(212) 555-0134", "phone")]
 
 
 def test_query(spark):
