@@ -57,11 +57,27 @@ def tidy(s: str) -> str:
     return plain(s.replace("&", " and ").replace("w/out", "without").replace("w/", "with ").replace("’", "'"))
 
 
-def title_words(s: str) -> list[str]:
+@lru_cache(maxsize=100_000)
+def title_words(s: str) -> tuple[str, ...]:
     """Content words of a title in order."""
-    return [w for w in re.findall(r"[a-z0-9]+", tidy(s)) if w not in SMALL]
+    return tuple(w for w in re.findall(r"[a-z0-9]+", tidy(s)) if w not in SMALL)
+
+
+@lru_cache(maxsize=100_000)
+def says_nothing(v: str) -> bool:
+    """Whether a word of a seen title is a note, a typo in a word without weight
+    or a letter left over."""
+    if any(typos(v, n, 3) <= (2 if len(n) > 5 else 1) for n in NOTES):
+        return True
+    if v.isdigit():
+        return False
+    return len(v) <= 1 or any(typos(v, n, 2) <= (1 if len(n) < 6 else 2) for n in SMALL if len(n) >= 2)
+
 
+close = lru_cache(maxsize=1_000_000)(typos)
 
+
+@lru_cache(maxsize=100_000)
 def author_key(s: str | None) -> str:
     """The letters of the family names, without initials and particles."""
     if not s:
@@ -122,6 +138,7 @@ def abbreviates(a: str, b: str) -> bool:
     return all(c in rest for c in a)
 
 
+@lru_cache(maxsize=1_000_000)
 def word_cost(a: str, b: str) -> float | None:
     if a == b:
         return 0.0
@@ -170,10 +187,7 @@ def title_cost(work: str, seen: str) -> tuple[float, int]:
         else:
             cost += best[0]
             free.remove(best[1])
-    free = [v for v in free if not any(typos(v, n, 3) <= (2 if len(n) > 5 else 1) for n in NOTES)]
-    # A typo in a word without weight.
-    free = [v for v in free if v.isdigit() or len(v) > 1]
-    free = [v for v in free if v.isdigit() or not any(typos(v, n, 2) <= (1 if len(n) < 6 else 2) for n in SMALL if len(n) >= 2)]
+    free = [v for v in free if not says_nothing(v)]
     if cut and free and len(free) == 1 and len(free[0]) <= 3:
         free = []
     apart = len(free)
@@ -190,6 +204,7 @@ def title_cost(work: str, seen: str) -> tuple[float, int]:
     return cost + 1.3 * rest, apart + told
 
 
+@lru_cache(maxsize=500_000)
 def venue_cost(a: str | None, b: str | None) -> float:
     """Evidence of two venues: for, against or (little said) neither."""
     x, y = (" ".join(re.findall(r"[a-z0-9]+", tidy(v or ""))) for v in (a, b))
@@ -218,7 +233,7 @@ def log_odds(work: tuple, seen: tuple) -> float | None:
         total += 1.5 if x == y else 0.2 if abs(x - y) == 1 else -YEARS
     a, b = author_key(work[1]), author_key(seen[1])
     if a and b:
-        d = 0.0 if a == b else typos(a, b, 3)
+        d = 0.0 if a == b else close(a, b, 3)
         if d <= 2 and min(len(a), len(b)) > 3 or d == 0:
             total += 3.0 - 0.8 * d
         elif d <= 3 and min(len(a), len(b)) >= 10:
