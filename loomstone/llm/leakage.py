@@ -140,29 +140,43 @@ def edit_places(parts: list[tuple[np.ndarray, np.ndarray, int]], half: int = 2 *
     return [e[:m] for e, m in zip(edits, size)]
 
 
-def regions(at: np.ndarray, diag: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(from, to, diagonal) of the stretches of one item in one document: all
-    stretches of ``REGION`` characters that hold ``LEAST`` q-grams of one band,
-    overlapping ones together."""
-    out: list[tuple[int, int, int]] = []
+def regions(pair: np.ndarray, at: np.ndarray, diag: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, from, to, diagonal) of the stretches of the pairs' items, given the
+    q-grams of all pairs and the length of each one's item: all stretches of
+    ``REGION`` characters that hold ``LEAST`` q-grams of one band, overlapping
+    ones together."""
+    out = []
     for offset in (0, HALF):
         band = (diag + offset) // (2 * HALF)
-        order = np.lexsort((at, band))
-        a, g, d = at[order], band[order], diag[order]
-        if len(a) < LEAST:
+        order = np.lexsort((at, band, pair))
+        p, g, a, d = pair[order], band[order], at[order], diag[order]
+        n = len(a) - LEAST + 1
+        if n <= 0:
             continue
-        end = a[LEAST - 1 :]
-        first = np.flatnonzero((g[LEAST - 1 :] == g[: len(end)]) & (end - a[: len(end)] <= REGION - Q))
+        end = slice(LEAST - 1, None)
+        first = np.flatnonzero((p[end] == p[:n]) & (g[end] == g[:n]) & (a[end] - a[:n] <= REGION - Q))
         if not len(first):
             continue
-        lo, hi = np.maximum(0, end[first] + Q - REGION), np.minimum(length, a[first] + REGION)
-        reach = np.maximum.accumulate(hi + g[first] * (1 << 32))
-        cut = np.flatnonzero(lo[1:] + g[first][1:] * (1 << 32) > reach[:-1]) + 1
-        for x, y in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(first)]))):
-            out.append((int(lo[x:y].min()), int(hi[x:y].max()), int(d[(first[x] + first[y - 1] + LEAST) // 2])))
-    out = sorted(set(out), key=lambda r: r[0] - r[1])
+        last = first + LEAST - 1
+        lo, hi = np.maximum(0, a[last] + Q - REGION), np.minimum(length[order][first], a[first] + REGION)
+        # Starts and ends grow within a band, so a gap begins a new stretch.
+        fresh = np.ones(len(first), bool)
+        fresh[1:] = (p[first][1:] != p[first][:-1]) | (g[first][1:] != g[first][:-1]) | (lo[1:] > hi[:-1])
+        begin = np.flatnonzero(fresh)
+        stop = np.append(begin[1:], len(first)) - 1
+        out.append((p[first[begin]], lo[begin], hi[stop], d[(first[begin] + last[stop]) // 2]))
+    if not out:
+        return (np.zeros(0, np.int64),) * 4
+    p, lo, hi, d = (np.concatenate(x) for x in zip(*out))
+    long = hi - lo >= REGION
+    order = np.argsort(p[long], kind="stable")
+    return p[long][order], lo[long][order], hi[long][order], d[long][order]
+
+
+def once(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The stretches of one pair less those seen from the other band too."""
     kept: list[tuple[int, int, int]] = []
-    for r in out:  # the same stretch seen from the other band
+    for r in sorted(set(found), key=lambda r: r[0] - r[1]):
         if not any(k[0] <= r[0] and r[1] <= k[1] and abs(k[2] - r[2]) <= HALF // 2 for k in kept):
             kept.append(r)
     return kept
@@ -215,17 +229,23 @@ def leaks_of(index: Index, column: pa.Array) -> list[tuple[int, int, float]]:
     pair, item_at, diag = pair[good], item_at[good], diag[good]
     count = np.bincount(pair, minlength=len(total))
     enough = np.flatnonzero(count[pair] >= need[pair % len(index.ids)])
-    order = enough[np.argsort(pair[enough], kind="stable")]
-    pair, item_at, diag = pair[order], item_at[order], diag[order]
+    pair, item_at, diag = pair[enough], item_at[enough], diag[enough]
     if not len(pair):
         return []
-    edges = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True])))
+    size = index.lengths[pair % len(index.ids)]
+    p, lo, hi, d = regions(pair, item_at, diag, size)
+    if not len(p):
+        return []
+    own, at_pair = np.unique(p, return_inverse=True)
+    most = np.bincount(at_pair, weights=hi - lo) >= SHARE * index.lengths[own % len(index.ids)]
+    keep = most[at_pair]
+    p, lo, hi, d = p[keep], lo[keep], hi[keep], d[keep]
+    edges = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1], [True]))) if len(p) else np.zeros(1, np.int64)
     jobs = []
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        row, k = divmod(int(pair[lo]), len(index.ids))
-        length = int(index.lengths[k])
-        found = [r for r in regions(item_at[lo:hi], diag[lo:hi], length) if r[1] - r[0] >= REGION]
-        if covered(length, found) >= SHARE:  # if every region stood the test
+    for x, y in zip(edges[:-1], edges[1:]):
+        row, k = divmod(int(p[x]), len(index.ids))
+        found = once(list(zip(lo[x:y].tolist(), hi[x:y].tolist(), d[x:y].tolist())))
+        if covered(int(index.lengths[k]), found) >= SHARE:  # if every region stood the test
             jobs.append((row, k, found))
     parts = []
     for row, k, found in jobs:
