@@ -90,17 +90,19 @@ def _blocked(candidates: DataFrame, registry: DataFrame, schema: Schema) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
-def _wildcards(candidates: DataFrame, registry: DataFrame, schema: Schema) -> DataFrame:
+def _wildcards(candidates: DataFrame, registry: DataFrame, schema: Schema, once: bool = True) -> DataFrame:
     """Pairs that share no exact identity field, as each is empty on a side.
 
     A score of PROBABLE needs an overlap of 2 * PROBABLE - 1 at least, so some
     field must agree: an equi-join on the agreeing field finds every pair that
     can count.  What an exact field holds doesn't matter here, only whether it
-    holds anything; rows that are equal then are read once, the registry's
-    with the first ``seq``."""
+    holds anything; with ``once``, of rows of the registry that are equal then
+    only the one with the first ``seq`` is read."""
     flat = [F.when(is_empty(F.col(f)), F.col(f)).otherwise("*").alias(f) if f in schema.exact else F.col(f) for f in schema.identity]
     left = candidates.select("cid", *flat).select("cid", *[F.col(f).alias(f"c_{f}") for f in schema.identity])
-    right = registry.select("seq", *flat).groupBy(*schema.identity).agg(F.min("seq").alias("seq"))
+    right = registry.select("seq", *flat)
+    if once:
+        right = right.groupBy(*schema.identity).agg(F.min("seq").alias("seq"))
     right = right.select("seq", *[F.col(f).alias(f"r_{f}") for f in schema.identity])
     order = [*schema.fuzzy, *schema.exact]
     usable = lambda side, f: F.col(f"{side}_{f}").isNotNull() & (is_empty(F.col(f"{side}_{f}")) if f in schema.exact else F.lit(True))
@@ -117,9 +119,9 @@ def _wildcards(candidates: DataFrame, registry: DataFrame, schema: Schema) -> Da
     return pairs.drop("_k", "_p").where((1 + shared) / 2 >= PROBABLE - 1e-9)
 
 
-def _best(pairs: DataFrame, schema: Schema) -> DataFrame:
-    """(cid, b): of each candidate's pairs the best by mean similarity and
-    overlap, the first registered of equal ones."""
+def _scored(pairs: DataFrame, schema: Schema) -> DataFrame:
+    """(cid, seq, score, every): each pair's mean similarity and overlap, and
+    whether every similarity reaches its field's least score."""
     # Scoring branches on cheap and costly pairs; a written table keeps each
     # branch from joining again.
     for f in schema.fuzzy:
@@ -130,7 +132,13 @@ def _best(pairs: DataFrame, schema: Schema) -> DataFrame:
     shared = overlap([(F.col(f"c_{f}"), F.col(f"r_{f}")) for f in schema.identity])
     every = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"s_{f}") >= least, F.lit(True)) for f, least in schema.fuzzy.items()])
     rows = pairs.withColumn("score", (mean + shared) / 2).withColumn("every", every).where("score is not null")
-    return rows.groupBy("cid").agg(F.max(F.struct("score", (-F.col("seq")).alias("s"), "every")).alias("b"))
+    return rows.select("cid", "seq", "score", "every")
+
+
+def _best(pairs: DataFrame, schema: Schema) -> DataFrame:
+    """(cid, b): of each candidate's pairs the best one, the first registered of
+    equal ones."""
+    return _scored(pairs, schema).groupBy("cid").agg(F.max(F.struct("score", (-F.col("seq")).alias("s"), "every")).alias("b"))
 
 
 def _tiered(best: DataFrame) -> DataFrame:

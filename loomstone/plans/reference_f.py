@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.operators import ingest, knowledge, redaction
+from loomstone.operators import ingest, knowledge, redaction, registry, resolution
 from loomstone.session import table
 
 
@@ -122,7 +122,33 @@ def seed_actions(spark: SparkSession, d: str) -> DataFrame:
     return redaction.seed(old, new, "term", ["s_name", "s_nationkey"], ["sup:"])
 
 
-QUERIES = {f.__name__: f for f in (memory_lines, memory_atoms, answer_atoms, block_types, block_kinds, neighbour_links, doc_zones, block_zones, project_names, flagged_values, swept_notes, redacted_bundles, command_summaries, part_listing, seed_actions)}
+PERSON = resolution.Schema("person_exact", ("last_name", "first_name", "dob"), {}, ("facility",), ("gender",))
+
+
+def _people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Everyone twice, every second one under another family name; and the registry."""
+    p = table(spark, d, "person_entities").where("entity_type = 'person'")
+    last = F.when(F.col("entity_id") % 2 == 1, F.concat(F.lit("Zz"), F.reverse("last_name"))).otherwise(F.concat(F.lit(" "), F.upper("last_name")))
+    cand = p.withColumn("last_name", last).withColumn("cid", F.explode(F.array(F.col("entity_id") * 2, F.col("entity_id") * 2 + 1)))
+    return cand.withColumn("gender", F.coalesce("gender", F.lit("x"))), p.withColumn("seq", F.col("entity_id"))
+
+
+def registry_batch(spark: SparkSession, d: str) -> DataFrame:
+    return registry.register(*_people(spark, d), PERSON)
+
+
+def registry_plan(spark: SparkSession, d: str) -> DataFrame:
+    cand, known = _people(spark, d)
+    return registry.plan(cand, registry.register(cand, known, PERSON), known, PERSON).select("cid", "field", "action", "kept")
+
+
+def registry_next(spark: SparkSession, d: str) -> DataFrame:
+    cand, known = _people(spark, d)
+    after, _ = registry.upsert(cand, registry.register(cand, known, PERSON), known, PERSON)
+    return after.select("seq", "last_name", "facility", "gender", "sightings")
+
+
+QUERIES = {f.__name__: f for f in (memory_lines, memory_atoms, answer_atoms, block_types, block_kinds, neighbour_links, doc_zones, block_zones, project_names, flagged_values, swept_notes, redacted_bundles, command_summaries, part_listing, seed_actions, registry_batch, registry_plan, registry_next)}
 
 _BLK = """d AS (SELECT doc_id, any_value(text) AS text, any_value(doc_type) AS doc_type FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
 l AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: length(trim(x, ' ')) > 0) AS ls FROM d),
@@ -139,7 +165,19 @@ z AS (SELECT doc_id, k, 0 AS o, 'front_matter' AS role, 0 AS first, front AS las
  UNION ALL SELECT doc_id, k, 1000000000, 'body', CASE k WHEN 'scientific_paper' THEN front + 1 ELSE least(3, n - 1) END AS s, coalesce(r - 1, n - 1) AS e FROM f WHERE CASE k WHEN 'scientific_paper' THEN front + 1 ELSE least(3, n - 1) END <= coalesce(r - 1, n - 1)
  UNION ALL SELECT doc_id, k, 1000000001, 'back_matter', r, n - 1 FROM f WHERE r IS NOT NULL)"""
 _SECRET = "v AS (SELECT CAST(n_nationkey AS VARCHAR) AS report_id, 'pass-' || lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS value FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'k' || n_nationkey FROM nation WHERE n_regionkey = 2)"
+_SAME = "array_to_string(list_filter(['l' || lower(trim({p}last_name)), 'f' || lower(trim({p}first_name)), 'd' || lower(trim({p}dob))], lambda x: x IS NOT NULL), '|')"
+_REG = f"""WITH p AS (SELECT * FROM person_entities WHERE entity_type = 'person'), base AS (SELECT max(entity_id) + 1 AS b FROM p),
+c AS (SELECT * REPLACE (CASE WHEN entity_id % 2 = 1 THEN 'Zz' || reverse(last_name) ELSE ' ' || upper(last_name) END AS last_name, coalesce(gender, 'x') AS gender), entity_id * 2 + unnest([0, 1]) AS cid FROM p),
+k AS (SELECT {_SAME.format(p='')} AS g, min(entity_id) AS seq FROM p GROUP BY 1), s AS (SELECT *, {_SAME.format(p='')} AS g FROM c),
+n AS (SELECT s.*, k.seq, min(cid) OVER (PARTITION BY s.g) AS head FROM s LEFT JOIN k ON k.g = s.g),
+r AS (SELECT *, CASE WHEN seq IS NOT NULL OR cid > head THEN 'exact' WHEN trim(coalesce(facility, '')) <> '' AND (trim(coalesce(first_name, '')) <> '' OR trim(coalesce(dob, '')) <> '') THEN 'context' ELSE 'none' END AS tier,
+  coalesce(seq, head + (SELECT b FROM base)) AS entity FROM n)"""
 SQL = {
+    "registry_batch": f"{_REG} SELECT cid, tier, CASE tier WHEN 'exact' THEN 0.95 WHEN 'context' THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence, entity, seq IS NULL AND cid = head AS created, CAST(NULL AS BIGINT) AS review FROM r",
+    "registry_plan": f"""{_REG} SELECT cid, 'gender' AS field, CASE WHEN trim(coalesce(p.gender, '')) = '' THEN 'fill' ELSE 'keep' END AS action, CASE WHEN trim(coalesce(p.gender, '')) = '' THEN r.gender ELSE p.gender END AS kept FROM r JOIN p ON p.entity_id = r.entity WHERE r.gender <> coalesce(p.gender, '')
+UNION ALL SELECT cid, 'facility', CASE WHEN trim(coalesce(p.facility, '')) = '' THEN 'fill' ELSE 'keep' END, CASE WHEN trim(coalesce(p.facility, '')) = '' THEN r.facility ELSE p.facility END FROM r JOIN p ON p.entity_id = r.entity WHERE trim(coalesce(r.facility, '')) <> '' AND r.facility <> coalesce(p.facility, '')""",
+    "registry_next": f"""{_REG}, u AS (SELECT entity_id AS seq, -1 AS o, last_name, facility, gender FROM p UNION ALL SELECT entity, cid, last_name, facility, gender FROM r)
+SELECT seq, arg_min_null(last_name, o) AS last_name, arg_min(facility, o) FILTER (WHERE trim(coalesce(facility, '')) <> '') AS facility, arg_min(gender, o) FILTER (WHERE trim(coalesce(gender, '')) <> '') AS gender, CAST(count(*) FILTER (WHERE o >= 0) AS BIGINT) AS sightings FROM u GROUP BY 1""",
     "memory_lines": """WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS ls FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc_id, unnest(range(0, len(ls))) AS line, trim(unnest(ls), ' ') AS t FROM l), c AS (SELECT doc_id, line, trim(regexp_replace(regexp_replace(regexp_replace(t, '\\*\\*(.+?)\\*\\*', '\\1', 'g'), '`(.+?)`', '\\1', 'g'), '^\\s*[-*]\\s*', ''), ' ') AS t FROM x WHERE t <> '' AND NOT starts_with(t, '#'))
 SELECT doc_id, CAST(line AS INTEGER) AS line, md5(t) AS text_md5 FROM c WHERE length(t) BETWEEN 15 AND 300""",
