@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Secrets that are replaced by a fingerprint, specific ones first.
 REDACT = [
@@ -32,25 +39,26 @@ def token(cls: str, value: Column) -> Column:
     return F.concat(F.lit(f"<REDACTED:{cls} fp:"), F.substring(F.sha2(value, 256), 1, 12), F.lit(">"))
 
 
-def _step(cls: str, pattern: str):
-    """One class of secrets replaced in a text that is bound once."""
+@lru_cache(maxsize=1)
+def _compiled() -> list[tuple[str, re.Pattern]]:
+    return [(cls, re.compile(pattern)) for cls, pattern in REDACT]
 
-    def replace(text: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1))
-        return F.aggregate(found, text, lambda t, m: F.replace(t, m, token(cls, m)))
 
-    return replace
+@F.pandas_udf(T.StringType())
+def _scrub(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        if text is not None:
+            for cls, pattern in _compiled():
+                text = pattern.sub(lambda m, c=cls: f"<REDACTED:{c} fp:{hashlib.sha256(m[0].encode()).hexdigest()[:12]}>", text)
+        return text
 
+    return texts.map(one)
 
-def scrub(text: Column) -> Column:
-    """The text with every secret replaced by a token that equal secrets share.
 
-    Each step runs as transform() over one element, which binds the text so
-    far instead of repeating its expression."""
-    bound = F.array(text)
-    for cls, pattern in REDACT:
-        bound = F.transform(bound, _step(cls, pattern))
-    return bound[0]
+def scrub(text: Column) -> Column:
+    """The text with every secret replaced by a token that equal secrets share,
+    in Arrow batches: one pass a class, which the JVM would interpret."""
+    return _scrub(text)
 
 
 def entropy(c: Column) -> Column:
@@ -74,18 +82,53 @@ def residual_scan(texts: DataFrame, key: str, text: str, strict: bool = False) -
     return rows.select(key, "f.*")
 
 
+#: Characters of evidence that are looked for in one pass over the corpus.
+BLOCK_CHARS = 2_000_000
+
+
+def _holding(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for text, own in shared.value.items():
+            machine.add_word(text, own)
+        machine.make_automaton()
+        seen: set = set()
+        for pdf in batches:
+            for text in pdf["text"]:
+                for _, own in machine.iter(text):
+                    seen.update(own)
+        yield pd.DataFrame({"key": sorted(seen)})
+
+    return run
+
+
 def verify_evidence(evidence: DataFrame, corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, found): whether an evidence string stands in the corpus, equal to a
-    line first (an equi-join), inside one for what is left.
-
-    Evidence is a stated set of strings: the rest is matched in one pass over
-    the corpus, its size checked before it is broadcast."""
-    equal = evidence.join(corpus.select(F.col(text).alias("_l")).distinct(), F.col("evidence") == F.col("_l"), "left_semi").select(key)
-    rest = evidence.join(equal, key, "left_anti").select(key, "evidence")
-    small = rest.count() <= 100_000
-    inner = corpus.select(F.col(text).alias("_l")).join(F.broadcast(rest) if small else rest, F.col("_l").contains(F.col("evidence")))
-    found = equal.unionByName(inner.select(key)).distinct().withColumn("found", F.lit(True))
-    return evidence.select(key).join(found, key, "left").select(key, F.coalesce("found", F.lit(False)).alias("found"))
+    """(key, found): whether an evidence string stands in some text of the corpus.
+
+    Evidence is a stated set of strings: it is read in blocks of bounded size,
+    each looked for in one pass over the corpus by an automaton of all of its
+    strings.  Null and empty evidence isn't found."""
+    spark = evidence.sparkSession
+    texts = corpus.select(F.col(text).cast("string").alias("text")).where("text is not null")
+    found = spark.createDataFrame([], "key string")
+    block: dict[str, list] = {}
+    size = 0
+
+    def scan() -> DataFrame:
+        return texts.mapInPandas(_holding(spark.sparkContext.broadcast(dict(block))), "key string")
+
+    for row in evidence.where("evidence is not null and evidence != ''").select(F.col(key).cast("string").alias("k"), "evidence").toLocalIterator():
+        if block and size + len(row.evidence) > BLOCK_CHARS:
+            found = found.unionByName(scan())
+            block, size = {}, 0
+        block.setdefault(row.evidence, []).append(row.k)
+        size += len(row.evidence)
+    if block:
+        found = found.unionByName(scan())
+    hits = found.distinct().withColumn("found", F.lit(True))
+    return evidence.select(key).join(hits, F.col(key).cast("string") == F.col("key"), "left").select(key, F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def reconcile(stated: DataFrame, actual: DataFrame, key: str, digest: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,18 +70,27 @@ def attenuation_issues(tokens: DataFrame, parent: str = "parent_cap_id") -> Data
     return rows.select("token_id", F.explode(issues).alias("issue"))
 
 
+def _spent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    here, spent = None, 0.0
+    for pdf in batches:
+        ok, total = [], []
+        for key, amount, budget in zip(pdf["k"].tolist(), pdf["a"].tolist(), pdf["b"].tolist()):
+            if key != here:
+                here, spent = key, 0.0
+            good = spent + amount <= budget
+            spent += amount if good else 0.0
+            ok.append(good)
+            total.append(spent)
+        yield pdf[["k", "o", "a"]].assign(ok=ok, spent=total)
+
+
 def budget_ledger(spends: DataFrame, budgets: DataFrame, key: str, order: str, amount: str) -> DataFrame:
     """(key, order, amount, accepted, spent): spends in order; one that would
     exceed the budget is rejected and doesn't count, so this is an ordered fold
-    and no running sum.  The fold runs inside the JVM over one key's spends."""
-    lists = spends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(amount).cast("double").alias("a")))).alias("l")).join(budgets, key)
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<struct<o:bigint,a:double,ok:boolean,spent:double>>").alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = acc["spent"] + x["a"] <= F.col("budget")
-        now = F.when(ok, acc["spent"] + x["a"]).otherwise(acc["spent"])
-        row = F.struct(x["o"].cast("bigint").alias("o"), x["a"].alias("a"), ok.alias("ok"), now.alias("spent"))
-        return F.struct(now.alias("spent"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    folded = lists.select(key, F.explode(F.aggregate("l", start, step)["rows"]).alias("r"))
-    return folded.select(key, F.col("r.o").alias(order), F.col("r.a").alias(amount), F.col("r.ok").alias("accepted"), F.col("r.spent").alias("spent"))
+    and no running sum.  A key's spends stream through a task in order; nothing
+    but the sum is held."""
+    rows = spends.select(F.col(key).cast("long").alias("k"), F.col(order).cast("long").alias("o"), F.col(amount).cast("double").alias("a"))
+    rows = rows.join(budgets.select(F.col(key).cast("long").alias("k"), F.col("budget").cast("double").alias("b")), "k")
+    ordered = rows.where("a is not null").repartition("k").sortWithinPartitions("k", "o", "a")
+    folded = ordered.mapInPandas(_spent, "k long, o long, a double, ok boolean, spent double")
+    return folded.select(F.col("k").alias(key), F.col("o").alias(order), F.col("a").alias(amount), F.col("ok").alias("accepted"), "spent")

@@ -126,12 +126,13 @@ def entity_quality(index: DataFrame) -> DataFrame:
 
 
 def captions(images: DataFrame, blk: DataFrame, below: float = 100, above: float = 100, penalty: float = 200) -> DataFrame:
-    """(image_id, text): the nearest caption block on the image's page; one
-    above the image counts as ``penalty`` further away.
+    """(image_id, text): an image's caption on its page: the nearest one within
+    ``below`` under it or ``above`` over it, one above counting as ``penalty``
+    further away; else the nearest on the page, wherever it stands.
 
     ``images`` has image_id, page, y0, y1; ``blk`` page, y0, y1, text."""
     rows = images.join(blk.where(F.col("text").rlike(r"(?i)^(fig(ure)?|table)\.?\s*\d")).select("page", F.col("y0").alias("b0"), F.col("y1").alias("b1"), "text"), "page")
-    gap = F.when((F.col("b0") >= F.col("y1")) & (F.col("b0") - F.col("y1") < below), F.col("b0") - F.col("y1")).when(
-        (F.col("y0") >= F.col("b1")) & (F.col("y0") - F.col("b1") < above), F.col("y0") - F.col("b1") + penalty
-    )
-    return rows.withColumn("gap", gap).where("gap is not null").groupBy("image_id").agg(F.min_by("text", "gap").alias("text"))
+    under, over = F.col("b0") - F.col("y1"), F.col("y0") - F.col("b1")
+    gap = F.when((under >= 0) & (under < below), under).when((over >= 0) & (over < above), over + penalty)
+    away = F.abs((F.col("b0") + F.col("b1")) / 2 - (F.col("y0") + F.col("y1")) / 2)
+    return rows.groupBy("image_id").agg(F.min_by("text", F.struct(gap.isNull().alias("far"), F.coalesce(gap, away).alias("gap"), "b0")).alias("text"))

@@ -7,10 +7,13 @@ quoted form, as their digests do.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Greatest order of a closed group.
 MOST_PERMUTATIONS = 100_000
@@ -31,15 +34,48 @@ def rotate(seq: Column, start: Column) -> Column:
     return F.concat(F.slice(seq, start + 1, F.size(seq) - start), F.slice(seq, F.lit(1), start))
 
 
-def _rotations(seq: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(seq) - 1, F.lit(0))), lambda i: rotate(seq, i))
+def least_start(seq: Sequence[str]) -> int:
+    """Where the least rotation of a ring begins, in time linear in its size:
+    two candidates race, the one that loses a comparison skips all it shared."""
+    n = len(seq)
+    a, b, same = 0, 1, 0
+    while a < n and b < n and same < n:
+        x, y = seq[(a + same) % n], seq[(b + same) % n]
+        if x == y:
+            same += 1
+            continue
+        if x > y:
+            a += same + 1
+        else:
+            b += same + 1
+        if a == b:
+            b += 1
+        same = 0
+    return min(a, b)
+
+
+def _least(reflect: bool):
+    def turn(ring: Sequence) -> tuple[list[str], list]:
+        keys = [json.dumps(x, ensure_ascii=False) for x in ring]
+        at = least_start(keys)
+        return keys[at:] + keys[:at], list(ring[at:]) + list(ring[:at])
+
+    def one(ring):
+        if ring is None or len(ring) < 2:
+            return ring
+        ring = list(ring)
+        return min(turn(ring), turn(ring[::-1]), key=lambda t: t[0])[1] if reflect else turn(ring)[1]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(rings: pd.Series) -> pd.Series:
+        return rings.map(one)
+
+    return run
 
 
 def canonical_cycle(seq: Column, reflect: bool = True) -> Column:
     """The least rotation; with ``reflect`` of the ring or its mirror image."""
-    turns = lambda s: F.array_min(F.transform(_rotations(s), lambda r: F.struct(quoted(r).alias("k"), r.alias("v"))))
-    best = F.array_min(F.array(turns(seq), turns(F.reverse(seq)))) if reflect else turns(seq)
-    return F.when(F.size(seq) > 0, best["v"]).otherwise(seq)
+    return _least(reflect)(seq)
 
 
 def anchor_cycle(seq: Column, anchor: Column) -> Column:

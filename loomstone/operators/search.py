@@ -2,20 +2,78 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.instants import blank_to_null, parse_instant
 
 
+#: Words of queries that are looked for in one pass over the texts.
+BLOCK_WORDS = 200_000
+_BLANK = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def _best_texts(shared, top: int):
+    """Of each partition the ``top`` texts of each query, by share of its words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes, holders = shared.value
+        best: dict[int, list] = {}
+        for pdf in batches:
+            for key, text in zip(pdf["key"].tolist(), pdf["text"]):
+                hits: dict[int, int] = {}
+                for word in set(_BLANK.split(text.lower())):
+                    for q in holders.get(word, ()):
+                        hits[q] = hits.get(q, 0) + 1
+                for q, n in hits.items():
+                    # The least of the kept ones is first: low score, high key.
+                    item = (n / sizes[q], -key)
+                    kept = best.setdefault(q, [])
+                    if len(kept) < top:
+                        heapq.heappush(kept, item)
+                    elif item > kept[0]:
+                        heapq.heapreplace(kept, item)
+        rows = [(q, -k, score) for q, kept in best.items() for score, k in kept]
+        yield pd.DataFrame(rows, columns=["query_id", "key", "score"]).astype({"query_id": "int64", "key": "int64", "score": float})
+
+    return run
+
+
 def keyword_search(corpus: DataFrame, key: str, text: str, queries: DataFrame, top: int = 5) -> DataFrame:
     """(query_id, key, score, rank): share of a query's words that a text holds.
 
-    Texts meet queries through shared words; only the counts are shuffled."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    asked = queries.select("query_id", F.size(words(F.col("query"))).alias("n"), F.explode(words(F.col("query"))).alias("w"))
-    held = corpus.where(F.col(text).isNotNull()).select(key, F.explode(words(F.col(text))).alias("w"))
-    hits = held.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, "w").groupBy("query_id", key).agg((F.count("*") / F.max("n")).alias("score"))
+    Queries are the stated set: their words are read in blocks of bounded size
+    and looked up while each text streams by; only the best texts of each
+    partition are shuffled.  Texts come once for each ``key``."""
+    spark = corpus.sparkSession
+    texts = corpus.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    out = spark.createDataFrame([], "query_id long, key long, score double")
+    sizes: dict[int, int] = {}
+    holders: dict[str, list[int]] = {}
+    count = 0
+
+    def scan() -> DataFrame:
+        shared = spark.sparkContext.broadcast((dict(sizes), dict(holders)))
+        return texts.mapInPandas(_best_texts(shared, top), "query_id long, key long, score double")
+
+    for row in queries.where("query is not null").select(F.col("query_id").cast("long").alias("q"), "query").toLocalIterator():
+        words = {w for w in _BLANK.split(row.query.lower()) if w}
+        if sizes and count + len(words) > BLOCK_WORDS:
+            out = out.unionByName(scan())
+            sizes, holders, count = {}, {}, 0
+        if words:
+            sizes[row.q] = len(words)
+            count += len(words)
+            for w in words:
+                holders.setdefault(w, []).append(row.q)
+    if sizes:
+        out = out.unionByName(scan())
+    hits = out.groupBy("query_id", F.col("key").alias(key)).agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
@@ -26,7 +84,6 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, top: int = 5) -> DataFra
     Queries are the stated set: taken in blocks of bounded size, each block
     against all vectors in one pass with a partial top-k per partition."""
     import numpy as np
-    import pandas as pd
 
     spark = vectors.sparkSession
     out = None

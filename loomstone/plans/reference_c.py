@@ -108,11 +108,22 @@ def key_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verify_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Which held-out passages' first sentences stand in the documents."""
-    e = table(spark, d, "eval_items").select(F.col("item_id").alias("id"), F.regexp_extract("text", r"^[^.!?]*[.!?]", 0).alias("evidence")).where("evidence != ''")
+    """Which sentences of the held-out passages stand in the documents."""
+    said = F.posexplode(F.transform(F.regexp_extract_all("text", F.lit(r"([^.!?]+[.!?])"), 1), lambda x: F.trim(x)))
+    e = table(spark, d, "eval_items").where("text is not null").select("item_id", said.alias("sentence", "evidence")).where("evidence != ''")
+    e = e.select(F.concat_ws(":", "item_id", "sentence").alias("id"), "evidence")
     return audit.verify_evidence(e, table(spark, d, "documents").select("text"), "id", "text")
 
 
+def figure_captions(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as images and captions on pages by brand, placed by their sizes."""
+    p = table(spark, d, "part")
+    place = (F.col("p_size") * 20).cast("double")
+    images = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("image_id"), F.col("p_brand").alias("page"), place.alias("y0"), (place + 50).alias("y1"))
+    blk = p.where("p_partkey % 5 = 1").select(F.col("p_brand").alias("page"), (place + 7).alias("y0"), (place + 17).alias("y1"), F.concat(F.lit("Figure "), "p_partkey", F.lit(" at "), "p_size").alias("text"))
+    return knowledge.captions(images, blk).select("image_id", F.regexp_extract("text", " at (.*)", 1).cast("int").alias("size"))
+
+
 def vocab_drift(spark: SparkSession, d: str) -> DataFrame:
     terms = spark.createDataFrame([("shard", "known", "snapshot"), ("shard", "invented", "record"), ("token", "deferred", "key"), ("trace", "known", "log")], "term string, category string, alias string")
     return audit.vocabulary_drift(table(spark, d, "documents").where("text is not null"), "doc_id", "text", terms)
@@ -203,7 +214,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.unix_seconds("w.start").alias("hour"), "event_type", "events")
 
 
-QUERIES = {f.__name__: f for f in (conv_extract, decay_classes, chunk_overlap, consensus_vote, doc_signals, doc_classify, doc_sections, topic_index, entity_index, cross_links, key_themes, topic_quality, entity_quality, atom_kinds, redact_tokens, residual_scan, key_entropy, verify_evidence, vocab_drift, keyword_search, vector_topk, check_duplicate, triples_as_of, entity_stats, jaccard_accuracy, tier_calibration, threshold_sweep, recall_ndcg, pricing_summary, region_revenue, sessions, event_windows)}
+QUERIES = {f.__name__: f for f in (conv_extract, decay_classes, chunk_overlap, consensus_vote, doc_signals, doc_classify, doc_sections, topic_index, entity_index, cross_links, key_themes, topic_quality, entity_quality, atom_kinds, redact_tokens, residual_scan, key_entropy, verify_evidence, figure_captions, vocab_drift, keyword_search, vector_topk, check_duplicate, triples_as_of, entity_stats, jaccard_accuracy, tier_calibration, threshold_sweep, recall_ndcg, pricing_summary, region_revenue, sessions, event_windows)}
 
 _MSG = "m AS (SELECT c_nationkey AS conv, c_custkey AS turn, lower(c_mktsegment) AS seg, c_custkey % 6 AS k FROM customer)"
 _DOC = "b AS (SELECT doc_id, len(l) AS n, unnest(range(len(l))) AS block, trim(unnest(l), ' ') AS text FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: length(trim(x, ' ')) > 0) AS l FROM documents WHERE text IS NOT NULL))"
@@ -241,7 +252,17 @@ SQL = {
     "redact_tokens": f"WITH {_NOTE} SELECT o_orderkey, 'order uses ' || {_TOKEN} || ' twice: ' || {_TOKEN} || ' end' AS note FROM x",
     "residual_scan": f"WITH {_NOTE} SELECT o_orderkey, 'unhandled:github_token' AS class, {_SECRET} AS sample FROM x, range(2) WHERE k = 2",
     "key_entropy": "SELECT p_partkey, round(coalesce(-list_sum(list_transform(list_distinct(string_split(p_name, '')), lambda c: (len(list_filter(string_split(p_name, ''), lambda y: y = c)) / length(p_name)) * log2(len(list_filter(string_split(p_name, ''), lambda y: y = c)) / length(p_name)))), 0), 6) AS bits FROM part",
-    "verify_evidence": "SELECT item_id AS id, EXISTS (SELECT 1 FROM documents WHERE contains(documents.text, e.s)) AS found FROM (SELECT item_id, regexp_extract(text, '^[^.!?]*[.!?]', 0) AS s FROM eval_items) e WHERE s <> ''",
+    "verify_evidence": "WITH s AS (SELECT item_id, regexp_extract_all(text, '[^.!?]+[.!?]') AS l FROM eval_items WHERE text IS NOT NULL), e AS (SELECT item_id || ':' || unnest(range(0, len(l))) AS id, trim(unnest(l), ' ') AS s FROM s) SELECT id, EXISTS (SELECT 1 FROM documents WHERE contains(documents.text, e.s)) AS found FROM e WHERE s <> ''",
+    "figure_captions": "WITH i AS (SELECT p_partkey AS k, p_brand AS page, p_size * 20.0 AS y FROM part WHERE p_partkey % 3 = 0), b AS (SELECT p_brand AS page, p_size * 20.0 + 7 AS b0, p_size FROM part WHERE p_partkey % 5 = 1), g AS (SELECT k, p_size, b0, CASE WHEN b0 >= y + 50 AND b0 - y - 50 < 100 THEN b0 - y - 50 WHEN y >= b0 + 10 AND y - b0 - 10 < 100 THEN y - b0 + 190 END AS near, abs(b0 + 5 - y - 25) AS away FROM i JOIN b USING (page)) SELECT k AS image_id, CAST(arg_min(p_size, (near IS NULL, coalesce(near, away), b0)) AS INTEGER) AS size FROM g GROUP BY 1",
+    "doc_sections": """WITH d AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY doc_id), l AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: length(trim(x, ' ')) > 0) AS ls FROM d),
+b AS (SELECT doc_id, trim(unnest(ls), ' ') AS t, unnest(range(0, len(ls))) AS block FROM l), k AS (SELECT *, CASE WHEN regexp_matches(t, '^#{1,6}\\s|^==+\\s') THEN 'heading' WHEN regexp_matches(t, '^\\s*([-*•]|\\d+[.)])\\s') THEN 'item' WHEN starts_with(t, '```') THEN 'code'
+  WHEN starts_with(t, '>') THEN 'quote' WHEN regexp_matches(lower(t), '^tags?:') THEN 'tags' ELSE 'paragraph' END AS kind FROM b),
+s AS (SELECT kind, arg_max(regexp_replace(t, '^[#=]+\\s*', ''), block) FILTER (WHERE kind = 'heading') OVER (PARTITION BY doc_id ORDER BY block ROWS UNBOUNDED PRECEDING) AS section FROM k)
+SELECT kind, count(*) AS blocks, count(DISTINCT section) AS sections FROM s GROUP BY 1""",
+    "consensus_vote": """WITH w AS (SELECT atom_id, pos, kind, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(entity, '')), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: length(x) > 2)) AS e, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(key, '')), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: length(x) > 2)) AS k FROM shard_atoms),
+m AS (SELECT a.atom_id FROM w a JOIN w b ON a.kind = b.kind WHERE a.pos < 5 AND b.pos >= 5 AND (len(a.e) = 0 OR len(b.e) = 0 OR list_has_any(a.e, b.e)) AND
+  CASE WHEN len(a.k) + len(b.k) = 0 THEN true ELSE len(list_intersect(a.k, b.k)) / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))) >= 0.4 END)
+SELECT atom_id, count(*) AS votes FROM m GROUP BY 1""",
     "vocab_drift": "WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(lower(regexp_replace(text, '[^\\p{L}\\p{N}\\p{M}_-]+', ' ', 'g')), ' ')) AS alias FROM documents WHERE text IS NOT NULL) SELECT doc_id, w.alias AS alias, term, category FROM w JOIN (VALUES ('shard', 'known', 'snapshot'), ('shard', 'invented', 'record'), ('token', 'deferred', 'key'), ('trace', 'known', 'log')) v(term, category, alias) ON w.alias = v.alias",
     "keyword_search": "WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda w: w <> '')) AS ws FROM eval_items), a AS (SELECT query_id, len(ws) AS n, unnest(ws) AS w FROM q), h AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT query_id, doc_id, count(*) / max(n) AS score FROM a JOIN h ON a.w = h.w WHERE h.w <> '' GROUP BY 1, 2) SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5",
     "vector_topk": f"WITH {_COS} SELECT * FROM k",
