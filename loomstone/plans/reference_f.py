@@ -172,7 +172,16 @@ k AS (SELECT {_SAME.format(p='')} AS g, min(entity_id) AS seq FROM p GROUP BY 1)
 n AS (SELECT s.*, k.seq, min(cid) OVER (PARTITION BY s.g) AS head FROM s LEFT JOIN k ON k.g = s.g),
 r AS (SELECT *, CASE WHEN seq IS NOT NULL OR cid > head THEN 'exact' WHEN trim(coalesce(facility, '')) <> '' AND (trim(coalesce(first_name, '')) <> '' OR trim(coalesce(dob, '')) <> '') THEN 'context' ELSE 'none' END AS tier,
   coalesce(seq, head + (SELECT b FROM base)) AS entity FROM n)"""
+_FIELD = lambda k: f"'\"{k}\":' || CAST(to_json({k}) AS VARCHAR)"
+_JOIN = lambda parts: f"'{{{{' || array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL AND NOT x LIKE '%\":null'), ',') || '}}}}'".replace("{{", "{").replace("}}", "}")
 SQL = {
+    "shard_address": f"""WITH s AS (SELECT shard_id, arg_min(scope, ingested_at) AS scope, arg_min(origin, ingested_at) AS origin FROM (SELECT shard_id, coalesce(scope, '\x01') AS scope, coalesce(origin, '\x01') AS origin, ingested_at FROM shards) GROUP BY 1),
+a AS (SELECT shard_id, string_agg(j, ',' ORDER BY pos, atom_id) AS atoms FROM (SELECT shard_id, pos, atom_id, {_JOIN(["CASE WHEN confidence <> 1.0 THEN '" + '"confidence":' + "' || CAST(to_json(confidence) AS VARCHAR) END", _FIELD("entity"), _FIELD("key"), _FIELD("kind"), _FIELD("source_ref"), _FIELD("text"), _FIELD("value")])} AS j FROM shard_atoms) GROUP BY 1)
+SELECT shard_id, sha256('{{"atoms":[' || atoms || ']' || CASE WHEN origin <> '\x01' THEN ',"origin":' || CAST(to_json(origin) AS VARCHAR) ELSE '' END || CASE WHEN scope <> '\x01' THEN ',"scope":' || CAST(to_json(scope) AS VARCHAR) ELSE '' END || '}}') AS address FROM s JOIN a USING (shard_id)""",
+    "trace_heads": """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, event_type, value, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+b AS (SELECT run_id, k, '{"event_id":"' || event_id || '","prev_event_hash":' AS l, CASE WHEN props IS NULL THEN '' ELSE ',"props":' || CAST(to_json(props) AS VARCHAR) END || ',"run_id":"' || run_id || '"' || CASE WHEN event_type IS NULL THEN '' ELSE ',"type":' || CAST(to_json(event_type) AS VARCHAR) END || CASE WHEN value IS NULL THEN '' ELSE ',"value":' || CAST(to_json(value) AS VARCHAR) END || '}' AS r FROM e),
+f AS (SELECT run_id, k, sha256(l || 'null' || r) AS h FROM b WHERE k = 1 UNION ALL SELECT b.run_id, b.k, sha256(b.l || '"' || f.h || '"' || b.r) FROM f JOIN b ON b.run_id = f.run_id AND b.k = f.k + 1)
+SELECT run_id, arg_max(h, k) AS head FROM f GROUP BY 1""",
     "registry_batch": f"{_REG} SELECT cid, tier, CASE tier WHEN 'exact' THEN 0.95 WHEN 'context' THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence, entity, seq IS NULL AND cid = head AS created, CAST(NULL AS BIGINT) AS review FROM r",
     "registry_plan": f"""{_REG} SELECT cid, 'gender' AS field, CASE WHEN trim(coalesce(p.gender, '')) = '' THEN 'fill' ELSE 'keep' END AS action, CASE WHEN trim(coalesce(p.gender, '')) = '' THEN r.gender ELSE p.gender END AS kept FROM r JOIN p ON p.entity_id = r.entity WHERE r.gender <> coalesce(p.gender, '')
 UNION ALL SELECT cid, 'facility', CASE WHEN trim(coalesce(p.facility, '')) = '' THEN 'fill' ELSE 'keep' END, CASE WHEN trim(coalesce(p.facility, '')) = '' THEN r.facility ELSE p.facility END FROM r JOIN p ON p.entity_id = r.entity WHERE trim(coalesce(r.facility, '')) <> '' AND r.facility <> coalesce(p.facility, '')""",
