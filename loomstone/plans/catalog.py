@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomstone.plans import core_problems, reference_a, reference_b, reference_c, reference_d, reference_e, reference_f
+from loomstone.plans import core_problems, reference_a, reference_b, reference_c, reference_d, reference_e, reference_f, reference_g
 
-_MODULES = [core_problems, reference_a, reference_b, reference_c, reference_d, reference_e, reference_f]
+_MODULES = [core_problems, reference_a, reference_b, reference_c, reference_d, reference_e, reference_f, reference_g]
 
 
 def queries() -> dict:
