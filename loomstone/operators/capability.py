@@ -89,8 +89,9 @@ def budget_ledger(spends: DataFrame, budgets: DataFrame, key: str, order: str, a
     exceed the budget is rejected and doesn't count, so this is an ordered fold
     and no running sum.  A key's spends stream through a task in order; nothing
     but the sum is held."""
-    rows = spends.select(F.col(key).cast("long").alias("k"), F.col(order).cast("long").alias("o"), F.col(amount).cast("double").alias("a"))
-    rows = rows.join(budgets.select(F.col(key).cast("long").alias("k"), F.col("budget").cast("double").alias("b")), "k")
+    rows = spends.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(amount).cast("double").alias("a"))
+    rows = rows.join(budgets.select(F.col(key).alias("k"), F.col("budget").cast("double").alias("b")), "k")
     ordered = rows.where("a is not null").repartition("k").sortWithinPartitions("k", "o", "a")
-    folded = ordered.mapInPandas(_spent, "k long, o long, a double, ok boolean, spent double")
+    kinds = dict(spends.dtypes)
+    folded = ordered.mapInPandas(_spent, f"k {kinds[key]}, o {kinds[order]}, a double, ok boolean, spent double")
     return folded.select(F.col("k").alias(key), F.col("o").alias(order), F.col("a").alias(amount), F.col("ok").alias("accepted"), "spent")

@@ -301,10 +301,7 @@ def without_secrets(document: object, prompts: bool = True) -> object:
     return holder[0]
 
 
-def redact_json(raw: pd.Series, prompts: bool = True) -> pd.Series:
-    """JSON documents ``without_secrets``; null where one can't be read.  Use
-    with ``F.pandas_udf``."""
-
+def _redacted(raw: pd.Series, prompts: bool) -> pd.Series:
     def one(text: str | None) -> str | None:
         try:
             return None if text is None else json.dumps(without_secrets(json.loads(text), prompts), sort_keys=True, ensure_ascii=False)
@@ -312,3 +309,14 @@ def redact_json(raw: pd.Series, prompts: bool = True) -> pd.Series:
             return None
 
     return raw.map(one)
+
+
+def redact_json(raw: pd.Series) -> pd.Series:
+    """JSON documents ``without_secrets``; null where one can't be read.  Use
+    with ``F.pandas_udf``."""
+    return _redacted(raw, True)
+
+
+def redact_json_and_prompts(raw: pd.Series) -> pd.Series:
+    """The same, and without what users asked."""
+    return _redacted(raw, False)

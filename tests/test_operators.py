@@ -206,7 +206,7 @@ def test_json_is_closed_and_kept_without_secrets():
     assert json.loads(jobs.closed_json('{"a": [1, {"b": "long ' + "x" * 5000)) == {"a": [1, {"b": "long " + "x" * 5000}]}
     assert jobs.closed_json('noise {"k": tru') == "{}" and jobs.closed_json("none") is None
     key = "sk-ant-" + "a" * 20
-    kept = json.loads(jobs.redact_json(pd.Series([json.dumps({"note": f"use {key} now", "api_key": "k", "token": {"a": "b"}, "prompt": "hi", "l": list(range(300))})]), prompts=False)[0])
+    kept = json.loads(jobs.redact_json_and_prompts(pd.Series([json.dumps({"note": f"use {key} now", "api_key": "k", "token": {"a": "b"}, "prompt": "hi", "l": list(range(300))})]))[0])
     assert key not in kept["note"] and "<REDACTED:anthropic_key fp:" in kept["note"]
     assert kept["api_key"] == "<REDACTED:key>" and kept["token"] == {"a": "b"} and kept["prompt"] == "<OMITTED:prompt 2 chars>" and len(kept["l"]) == 200
 
