@@ -12,9 +12,12 @@ _ISO = (
 )
 
 
+_USUAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})$"
+
+
 def blank_to_null(c: Column) -> Column:
     """Null for values that hold nothing but white space."""
-    return F.when(F.length(F.regexp_replace(c, r"(?U)\s+", "")) > 0, c)
+    return F.when(c.rlike(r"(?U)\S"), c)
 
 
 def parse_instant(c: Column) -> Column:
@@ -36,7 +39,8 @@ def parse_instant(c: Column) -> Column:
 
     # transform() over one element binds the split text once.
     text = F.transform(F.array(fields), build)[0]
-    return F.when(c.rlike(_ISO), F.try_to_timestamp(text))
+    # The usual form needs none of that.
+    return F.when(c.rlike(_USUAL), F.try_to_timestamp(c)).when(c.rlike(_ISO), F.try_to_timestamp(text))
 
 
 def iso_utc(ts: Column) -> Column:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.functions.instants import blank_to_null, iso_utc, parse_instant
+from loomstone.functions.instants import iso_utc, parse_instant
 from loomstone.session import materialize, parallelism
 
 _SWEPT = "_chunk int, _key string, _start long, _at long, _end long, _prev boolean, _next boolean"
@@ -43,8 +43,8 @@ def _reports(
     df: DataFrame, keys: Sequence[str], value: str, valid_from: str, valid_to: str, recorded_at: str, tie: str
 ) -> DataFrame:
     recorded = F.col(recorded_at).cast("timestamp")
-    start = F.coalesce(parse_instant(blank_to_null(F.col(valid_from))), recorded)
-    end = parse_instant(blank_to_null(F.col(valid_to)))
+    start = F.coalesce(parse_instant(F.col(valid_from)), recorded)
+    end = parse_instant(F.col(valid_to))
     rows = df.select(
         *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
         F.col(value).alias("value"),
