@@ -233,7 +233,7 @@ _JUDGE = "p AS (SELECT * FROM person_entities WHERE entity_type = 'person'), m A
     f"SELECT entity_id, '{n}' AS family, {s} AS same, last_name AS a, first_name AS b, {e.format('last_name')} AS l, {e.format('first_name')} AS f FROM p"
     for n, s, e in [
         ("case", "true", "upper({0})"), ("whitespace", "true", "'  ' || replace({0}, ' ', '   ') || ' '"), ("typo_substitution", "true", "substr({0}, 1, 2) || 'x' || substr({0}, 4)"),
-        ("typo_insertion", "true", "substr({0}, 1, 2) || 'q' || substr({0}, 3)"), ("negative_control", "false", "reverse({0})"), ("garbled_all_fields", "false", "substr(sha256({0}), 1, 8)"),
+        ("typo_insertion", "true", "substr({0}, 1, 2) || 'q' || substr({0}, 3)"), ("unicode_normalization", "true", "strip_accents({0})"), ("negative_control", "false", "reverse({0})"), ("garbled_all_fields", "false", "substr(sha256({0}), 1, 8)"),
     ]
 ) + f"), j AS (SELECT entity_id, family, same, {_TS('a', 'b')} AS x, {_TS('l', 'f')} AS y FROM m), d AS (SELECT *, CASE WHEN len(list_distinct(x || y)) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(x || y)) END AS score FROM j)"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import normalize
-from loomstone.operators import audit, delegation, orbit, resolution, shards
+from loomstone.operators import audit, delegation, evaluation, hooks, orbit, resolution, shards
 from loomstone.session import table
 
 
@@ -93,10 +93,57 @@ def price_cube(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
-QUERIES = {f.__name__: f for f in (plain_names, combined_notes, triple_orbits, first_atoms, store_put, resolved_refs, shards_of_entity, witness_files, vocab_candidates, events_of_cap, events_of_signer, revenue_rollup, price_cube)}
+_TRIGGERS = ["Prompt Submit", "agentSpawn", "user_prompt_submit", "PostFileSave", "odd one", " ", "STOP"]
+_TOOLS = ["fsWrite", "executeBash", "grepSearch", "remote_web_search", "mcp_git_log", "@srv/tool", "invoke_sub_agent", "Spec", "codegen"]
+
+
+def hook_dialect(spark: SparkSession, d: str) -> DataFrame:
+    """Triggers and tools as the second dialect spells them."""
+    pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("n_nationkey") % len(names) + 1).cast("int"))
+    n = table(spark, d, "nation")
+    server = hooks.server_name(F.concat(F.initcap("n_name"), F.lit("-Srv v1.0")))
+    line = hooks.lineage(F.col("n_name"), F.when(F.col("n_regionkey") > 2, F.lit("ROOT")))
+    return n.select("n_nationkey", hooks.trigger(pick(_TRIGGERS)).alias("trigger"), hooks.tool_kind(pick(_TOOLS)).alias("kind"), server.alias("server"), line["root"].alias("root"), line["child"].alias("child"))
+
+
+def surface_forms(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.surface_forms(table(spark, d, "documents"), ["Trust", "session log", "ledger"], "lang", "text")
+
+
+def structure_pairs(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: orbit.padded(x["l_partkey"], 8))
+    rings = table(spark, d, "lineitem").groupBy("l_orderkey").agg(lines.alias("ring"))
+    pairs = evaluation.structure_pairs(rings, "l_orderkey", "ring")
+    return pairs.groupBy("relation", "same").agg(F.count("*").alias("pairs"), F.sum(F.col("caught").cast("long")).alias("caught"))
+
+
+def resolver_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """The resolver on mutated people: per family, records, those found at the
+    first tier, at one that merges by itself, at any, and wrong merges."""
+    from loomstone.plans.reference_b import PERSON
+
+    people = table(spark, d, "person_entities").where("entity_type = 'person'").withColumn("seq", F.col("entity_id"))
+    changed = evaluation.mutations(people, "entity_id", ["last_name", "first_name"]).join(people.select("entity_id", "dob", "facility"), "entity_id")
+    cases = changed.withColumn("cid", F.xxhash64("entity_id", "family"))
+    found = resolution.resolve(cases.select("cid", "last_name", "first_name", "dob", "facility"), people, PERSON)
+    rows = cases.select("cid", "entity_id", "family", "same").join(found, "cid")
+    own, auto = F.col("same") & (F.col("seq") == F.col("entity_id")), F.col("tier").isin("exact", "strong")
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return rows.groupBy("family").agg(
+        F.count("*").alias("records"), n(own & (F.col("tier") == "exact")).alias("first_tier"), n(own & auto).alias("merged"), n(own).alias("found"),
+        n(auto & ((F.col("seq") != F.col("entity_id")) | ~F.col("same"))).alias("wrong"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (plain_names, combined_notes, triple_orbits, first_atoms, store_put, resolved_refs, shards_of_entity, witness_files, vocab_candidates, events_of_cap, events_of_signer, revenue_rollup, price_cube, hook_dialect, surface_forms, structure_pairs, resolver_accuracy)}
 
 _S = "s AS (SELECT * FROM shards QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY ingested_at) = 1)"
+_TURNS = lambda r: f"list_transform(range(0, len({r})), lambda i: {r}[i + 1:] || {r}[:i])"
+_CANON = lambda r: f"least(list_min({_TURNS(r)}), list_min({_TURNS('list_reverse(' + r + ')')}))"
 SQL = {
+    "hook_dialect": "SELECT n_nationkey, ['UserPromptSubmit', 'SessionStart', 'UserPromptSubmit', 'PostFileSave', 'odd one', 'unknown', 'Stop'][n_nationkey % 7 + 1] AS trigger, ['write', 'shell', 'read', 'web', 'mcp', 'mcp', 'spawn', 'spec', 'other'][n_nationkey % 9 + 1] AS kind, lower(regexp_replace(replace(replace(n_name || '_Srv v10', ' ', '_'), '-', '_'), '[^A-Za-z0-9_]', '', 'g')) AS server, CASE WHEN n_regionkey > 2 THEN 'ROOT' ELSE n_name END AS root, n_regionkey > 2 AS child FROM nation",
+    "surface_forms": " UNION ALL ".join(f"SELECT '{e}' AS entity, source, form, count(*) AS n FROM (SELECT coalesce(lang, 'unknown') AS source, unnest(regexp_extract_all(regexp_replace(text, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'), '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])({e.replace(' ', '  ')})(?:[^\\p{{L}}\\p{{N}}_]|$)', 1)) AS f, replace(f, '  ', ' ') AS form FROM documents WHERE text IS NOT NULL) GROUP BY 2, 3" for e in ("Trust", "session log", "ledger")).replace("\\\\", "\\"),
+    "structure_pairs": f"WITH r AS (SELECT l_orderkey, list(lpad(CAST(l_partkey AS VARCHAR), 8, '0') ORDER BY l_linenumber, l_partkey, l_suppkey) AS g FROM lineitem GROUP BY 1 HAVING count(*) >= 4), w AS (SELECT g, [g[2], g[1]] || g[3:] AS h FROM r) SELECT 'rotation' AS relation, true AS same, count(*) AS pairs, count(*) AS caught FROM r UNION ALL SELECT 'reflection', true, count(*), count(*) FROM r UNION ALL SELECT 'sibling', false, count(*), CAST(sum(CASE WHEN {_CANON('g')} = {_CANON('h')} THEN 1 ELSE 0 END) AS BIGINT) FROM w",
     "plain_names": "SELECT entity_id, strip_accents(last_name) AS plain FROM person_entities",
     "combined_notes": "SELECT p_partkey, p_name || ' is sold. It comes from ' || p_brand || '. Its size is ' || p_size || '.' AS note FROM part",
     "triple_orbits": "WITH r AS (SELECT l_orderkey, list(lpad(CAST(l_partkey AS VARCHAR), 8, '0') ORDER BY l_linenumber, l_partkey, l_suppkey) AS g FROM lineitem GROUP BY 1 HAVING count(*) = 3) SELECT l_orderkey, array_to_string(list_min([g, [g[2], g[3], g[1]], [g[3], g[1], g[2]]]), ',') AS least FROM r",
