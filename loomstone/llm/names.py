@@ -7,9 +7,10 @@ and cells grow alike) and, there, to the ring of their distance.  By the triangl
 of a typed form q lies in rings k with |d(q, pivot) - k| <= r only, to which q
 is replicated; inside each cell an exact radius join runs with the Levenshtein
 distance, a true metric.  What remains (given name, initials, nicknames, other
-words, birth date) is checked pair by pair, once for all variants that are
-typed alike, and the cheapest entity is taken
-if no other costs about the same.
+words) is checked name by name, once for all who bear it and all variants
+typed so; the birth date is looked up then, under its year, month and day, where
+of any number of namesakes the first and the last one tell what is ambiguous.
+The cheapest entity is taken if no other costs about the same.
 
 Defined results: blank names and rows without a scope link to nothing; a
 variant with two equally good entities links to none; a birth date that
@@ -219,32 +220,37 @@ def org_cost(typed: str, name: str) -> float | None:
     return cost + missing * 1.0 + len(free) * 0.5
 
 
-def dob_cost(hint: str | None, dob: str | None) -> float | None:
-    """0 for the same date, more for less said, None for a contradiction."""
-    if not hint or not dob:
-        return 0.6
-    h = re.findall(r"\d+", hint)
-    d = re.findall(r"\d+", dob)
-    if len(h) == 3 and len(h[2]) == 4:
-        h = h[::-1]
-    if len(d) == 3 and len(d[2]) == 4:
-        d = d[::-1]
-    if not h or not d:
-        return 0.6
-    if [int(x) for x in h] == [int(x) for x in d[: len(h)]]:
-        return 0.0 if len(h) == 3 else 0.3
-    return None
+def date_parts(s: str | None) -> list[int]:
+    """Year, month and day, as far as they are told."""
+    parts = re.findall(r"\d+", s or "")
+    if len(parts) == 3 and len(parts[2]) == 4:
+        parts = parts[::-1]
+    return [int(x) for x in parts]
+
+
+#: Dates that say nothing: of an entity, and of a variant (any date agrees).
+UNKNOWN, ANY = "?", "*"
+
+
+def date_keys(dob: str | None) -> list[str]:
+    """What a variant may say of this birth date."""
+    parts = date_parts(dob)
+    return [ANY, *("-".join(map(str, parts[:k])) for k in range(1, len(parts) + 1))] if parts else [UNKNOWN]
+
+
+def date_asked(hint: str | None) -> str:
+    return "-".join(map(str, date_parts(hint))) or ANY
 
 
 def _variant_rows(letters_most: int, words_most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [
-                (i, s, h, k, f, r)
+                (i, s, date_asked(h), k, f, r)
                 for i, s, v, h in zip(pdf["variant_id"], pdf["scope"], pdf["variant"], pdf["hint"])
                 for k, f, r in variant_forms(v, letters_most, words_most)
             ]
-            yield pd.DataFrame(rows, columns=["variant_id", "scope", "hint", "kind", "form", "rest"])
+            yield pd.DataFrame(rows, columns=["variant_id", "scope", "asked", "kind", "form", "rest"])
 
     return run
 
@@ -320,37 +326,41 @@ def radius_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return near.where("dist >= 0").select(*group, "q", "e", "dist")
 
 
+def _dates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame([(d, k) for d in pdf["dob"] for k in date_keys(d)], columns=["dob", "key"])
+
+
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Costs of typed names as entities' names: of the family and given name
+    and of a part for the whole; those no date could save are left out."""
     for pdf in batches:
         out = []
-        for v, e, kind, q, form, rest, hint, first, last, dob in pdf.itertuples(index=False):
-            date = dob_cost(hint, dob)
-            if date is None:
-                continue
+        for scope, kind, q, rest, e, first, last in pdf.itertuples(index=False):
             if kind == "fam":
                 given = given_cost(rest, first)
                 if given is None:
                     continue
-                family = typos(q, form, 4)
-                part = 0.0 if form == letters(last) else 0.7
-                # The less is known of a person, the fewer typos are borne.
-                most = 4.0 if date == 0 else 3.2
-                if len(form) <= 6:
-                    most -= 0.5
-                if len(form) >= 15:
-                    most += 1.0
-                if given >= 0.5 and date >= 0.6 and (family > 2 or given > 1 or part):
-                    continue
-                if family + given + part > most:
-                    continue
-                out.append((v, e, family + given + part + date))
+                family, part = typos(q, e, 4), 0.0 if e == letters(last) else 0.7
+                if family + given + part <= 5.0:
+                    out.append((scope, kind, q, rest, e, first, last, family, given, part))
             elif kind == "org":
                 cost = org_cost(rest, last)
                 if cost is not None:
-                    out.append((v, e, cost + date))
+                    out.append((scope, kind, q, rest, e, first, last, cost, 0.0, 0.0))
             else:
-                out.append((v, e, 1.0 + date))
-        yield pd.DataFrame(out, columns=["variant_id", "entity_id", "cost"])
+                out.append((scope, kind, q, rest, e, first, last, 1.0, 0.0, 0.0))
+        yield pd.DataFrame(out, columns=["scope", "kind", "q", "rest", "e", "first", "last", "family", "given", "part"])
+
+
+def _cost() -> Column:
+    """Cost of a pair given its name's costs and what the date says (``date``);
+    null where that is too much.  The less is known of a person, the fewer
+    typos are borne."""
+    n, known = F.length("e"), F.col("family") + F.col("given") + F.col("part")
+    most = F.when(F.col("date") == 0, 4.0).otherwise(3.2) - F.when(n <= 6, 0.5).otherwise(0.0) + F.when(n >= 15, 1.0).otherwise(0.0)
+    vague = (F.col("given") >= 0.5) & (F.col("date") >= 0.6) & ((F.col("family") > 2) | (F.col("given") > 1) | (F.col("part") > 0))
+    return F.when((F.col("kind") != "fam") | (~vague & (known <= most)), known + F.col("date"))
 
 
 def link_names(variants: DataFrame, entities: DataFrame) -> DataFrame:
@@ -362,15 +372,22 @@ def link_names(variants: DataFrame, entities: DataFrame) -> DataFrame:
     typed = materialize(rows.groupBy("scope", "variant", "hint").agg(F.min("id").alias("variant_id")))
     known = entity_forms(entities)
     sizes = known.agg(F.max(F.greatest(F.length("form"), F.length("first"), F.length("last"))), F.max(F.size(F.split("last", " ")))).first()
-    schema = "variant_id long, scope string, hint string, kind string, form string, rest string"
-    asked = materialize(typed.mapInPandas(_variant_rows(sizes[0] or 0, sizes[1] or 0), schema))
-    near = materialize(radius_join(asked, known))
-    pairs = (
-        near.join(asked.withColumnRenamed("form", "q"), ["scope", "kind", "q"])
-        .join(known.withColumnRenamed("form", "e"), ["scope", "kind", "e"])
-        .select("variant_id", "entity_id", "kind", "q", "e", "rest", "hint", "first", "last", "dob")
-    )
-    costs = pairs.mapInPandas(_judge, "variant_id long, entity_id long, cost double")
+    schema = "variant_id long, scope string, asked string, kind string, form string, rest string"
+    asked = materialize(typed.mapInPandas(_variant_rows(sizes[0] or 0, sizes[1] or 0), schema)).withColumnRenamed("form", "q")
+    known = known.withColumnRenamed("form", "e")
+    near = radius_join(asked.withColumnRenamed("q", "form"), known.withColumnRenamed("e", "form")).select("scope", "kind", "q", "e")
+    name, reading = ["scope", "kind", "e", "first", "last"], ["scope", "kind", "q", "rest"]
+    pairs = near.join(asked.select(*reading).distinct(), ["scope", "kind", "q"]).join(known.select(*name).distinct(), ["scope", "kind", "e"])
+    judged = pairs.select(*reading, "e", "first", "last").mapInPandas(_judge, "scope string, kind string, q string, rest string, e string, first string, last string, family double, given double, part double")
+    # Who bears a name and was born then: the first and the last of them.
+    known = known.withColumn("dob", F.coalesce("dob", F.lit("")))
+    born = known.select("dob").distinct().mapInPandas(_dates, "dob string, key string")
+    bearers = known.join(born, "dob")
+    bearers = bearers.groupBy(*name, "key").agg(F.min("entity_id").alias("lo"), F.max("entity_id").alias("hi"))
+    met = judged.join(asked, reading).withColumn("key", F.explode(F.array("asked", F.lit(UNKNOWN))))
+    date = F.when(F.col("key").isin(UNKNOWN, ANY), 0.6).when(F.col("key").rlike("-.*-"), 0.0).otherwise(0.3)
+    met = met.join(bearers, [*name, "key"]).withColumn("date", date).withColumn("cost", _cost()).where("cost is not null")
+    costs = met.select("variant_id", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("entity_id"), "cost")
     best = costs.groupBy("variant_id", "entity_id").agg(F.min("cost").alias("cost"))
     order = Window.partitionBy("variant_id").orderBy("cost", "entity_id")
     ranked = best.withColumn("k", F.row_number().over(order)).withColumn("next", F.lead("cost").over(order))

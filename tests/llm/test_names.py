@@ -55,6 +55,15 @@ def test_radius_join_is_exact(spark):
     assert {(x.q, x.e, x.dist) for x in rows} == want and len(rows) == len(want)
 
 
+def test_many_namesakes_are_told_by_their_dates(spark):
+    born = [f"{1950 + k // 28}-{1 + k % 12:02d}-{1 + k % 28:02d}" for k in range(300)]
+    people = [(k, "s", "person", "Leopold", "Haverquist", born[k] if k else None, "") for k in range(300)]
+    typed = [(k, "s", "Haverquist, Leopold", born[k], "", "") for k in range(1, 300)] + [(900, "s", "Leopold Haverquist", None, "", ""), (901, "s", "Leopold Haverquist", born[5][:4], "", "")]
+    got = {x.variant_id: x.entity_id for x in names.link_names(spark.createDataFrame(typed, VAR), spark.createDataFrame(people, ENT)).collect()}
+    once = {k for k in range(1, 300) if born.count(born[k]) == 1}
+    assert {k: k for k in once} == got
+
+
 def test_family_names_of_many_parts_and_long_names():
     forms = names.variant_forms("Ana Maria de la Cruz y Vega", 40, 5)
     assert ("fam", "delacruzyvega", "ana") in forms and ("fam", "mariadelacruzyvega", "ana") in forms
