@@ -2,7 +2,7 @@
 
 Names become forms: a person's family name, the rarest word of an
 organization's name, an acronym.  Within a scope the entities' forms are
-assigned to their nearest pivot (of about 2 sqrt(n) for n forms, so that pivots
+assigned to their nearest pivot (of about sqrt(n) for n forms, so that pivots
 and cells grow alike) and, there, to the ring of their distance.  By the triangle inequality a form within radius r
 of a typed form q lies in rings k with |d(q, pivot) - k| <= r only, to which q
 is replicated; inside each cell an exact radius join runs with the Levenshtein
@@ -296,7 +296,7 @@ def radius_join(left: DataFrame, right: DataFrame) -> DataFrame:
     group = ["scope", "kind"]
     right = right.select(*group, "form").distinct()
     sizes = right.groupBy(*group).agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("form"), "form")).alias("m"))
-    every = F.ceil(F.sqrt("n") / 2).cast("long")
+    every = F.ceil(F.sqrt("n")).cast("long")
     pivots = (
         right.join(sizes, group)
         .where((F.pmod(F.xxhash64("form"), every) == 0) | (F.col("form") == F.col("m.form")))
