@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import normalize
 from loomstone.operators import audit, delegation, evaluation, hooks, orbit, resolution, shards
 from loomstone.session import table
+from loomstone.streaming import chains
 
 
 def plain_names(spark: SparkSession, d: str) -> DataFrame:
@@ -135,12 +136,30 @@ def resolver_accuracy(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (plain_names, combined_notes, triple_orbits, first_atoms, store_put, resolved_refs, shards_of_entity, witness_files, vocab_candidates, events_of_cap, events_of_signer, revenue_rollup, price_cube, hook_dialect, surface_forms, structure_pairs, resolver_accuracy)}
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's two-hour windows, one each hour, over a table."""
+    rows = chains.windowed_counts(_timed(spark, d), width="2 hours", slide="1 hour")
+    return rows.select(F.unix_seconds("w.start").alias("start"), "event_type", "events", F.round("value", 4).alias("value"))
+
+
+def session_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's sessions of each user, ended by three quiet hours."""
+    rows = chains.session_counts(_timed(spark, d), gap="3 hours")
+    return rows.select("user_id", F.unix_micros("w.start").alias("start"), F.unix_micros("w.end").alias("end"), "events")
+
+
+QUERIES = {f.__name__: f for f in (plain_names, combined_notes, triple_orbits, first_atoms, store_put, resolved_refs, shards_of_entity, witness_files, vocab_candidates, events_of_cap, events_of_signer, revenue_rollup, price_cube, hook_dialect, surface_forms, structure_pairs, resolver_accuracy, sliding_windows, session_windows)}
 
 _S = "s AS (SELECT * FROM shards QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY ingested_at) = 1)"
 _TURNS = lambda r: f"list_transform(range(0, len({r})), lambda i: {r}[i + 1:] || {r}[:i])"
 _CANON = lambda r: f"least(list_min({_TURNS(r)}), list_min({_TURNS('list_reverse(' + r + ')')}))"
 SQL = {
+    "sliding_windows": "SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 - 3600 * unnest([0, 1]) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
+    "session_windows": "WITH e AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events WHERE ts IS NOT NULL), n AS (SELECT *, sum(CASE WHEN b IS NULL OR t > b + 10800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(t) AS start, max(t) + 10800000000 AS \"end\", count(*) AS events FROM n GROUP BY user_id, k",
     "hook_dialect": "SELECT n_nationkey, ['UserPromptSubmit', 'SessionStart', 'UserPromptSubmit', 'PostFileSave', 'odd one', 'unknown', 'Stop'][n_nationkey % 7 + 1] AS trigger, ['write', 'shell', 'read', 'web', 'mcp', 'mcp', 'spawn', 'spec', 'other'][n_nationkey % 9 + 1] AS kind, lower(regexp_replace(replace(replace(n_name || '_Srv v10', ' ', '_'), '-', '_'), '[^A-Za-z0-9_]', '', 'g')) AS server, CASE WHEN n_regionkey > 2 THEN 'ROOT' ELSE n_name END AS root, n_regionkey > 2 AS child FROM nation",
     "surface_forms": " UNION ALL ".join(f"SELECT '{e}' AS entity, source, form, count(*) AS n FROM (SELECT coalesce(lang, 'unknown') AS source, unnest(regexp_extract_all(regexp_replace(text, '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g'), '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])({e.replace(' ', '  ')})(?:[^\\p{{L}}\\p{{N}}_]|$)', 1)) AS f, replace(f, '  ', ' ') AS form FROM documents WHERE text IS NOT NULL) GROUP BY 2, 3" for e in ("Trust", "session log", "ledger")).replace("\\\\", "\\"),
     "structure_pairs": f"WITH r AS (SELECT l_orderkey, list(lpad(CAST(l_partkey AS VARCHAR), 8, '0') ORDER BY l_linenumber, l_partkey, l_suppkey) AS g FROM lineitem GROUP BY 1 HAVING count(*) >= 4), w AS (SELECT g, [g[2], g[1]] || g[3:] AS h FROM r) SELECT 'rotation' AS relation, true AS same, count(*) AS pairs, count(*) AS caught FROM r UNION ALL SELECT 'reflection', true, count(*), count(*) FROM r UNION ALL SELECT 'sibling', false, count(*), CAST(sum(CASE WHEN {_CANON('g')} = {_CANON('h')} THEN 1 ELSE 0 END) AS BIGINT) FROM w",

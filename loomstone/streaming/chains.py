@@ -21,7 +21,7 @@ def event_sound(event: dict) -> bool:
     return hashlib.sha256(text.encode("utf-8")).hexdigest() == event.get("hash")
 
 
-class ChainVerifier(StatefulProcessor):
+class SealedRuns(StatefulProcessor):
     """Per run: the last hash, the number of events, and whether the chain has
     held so far; once broken it stays broken."""
 
@@ -50,7 +50,7 @@ def verify_stream(trace: DataFrame) -> DataFrame:
     """(run_id, events, ok, head) after each batch; ``trace`` is a stream of
     (seq, raw).  Needs the RocksDB state store."""
     rows = trace.select(F.coalesce(F.get_json_object("raw", "$.run_id"), F.lit("")).alias("run_id"), "seq", "raw")
-    return rows.groupBy("run_id").transformWithStateInPandas(ChainVerifier(), _OUT, "Update", "None")
+    return rows.groupBy("run_id").transformWithStateInPandas(SealedRuns(), _OUT, "Update", "None")
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", late: str = "10 minutes", width: str = "1 hour", slide: str | None = None, by: str = "event_type") -> DataFrame:
