@@ -14,10 +14,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Every belief ever held, closed ones included."""
+    """Every belief ever held, closed ones included; instants as the digits of
+    their microseconds."""
     ledger = history.bitemporal_ledger(table(spark, d, "triples"))
     return ledger.select(
-        "subject", "predicate", F.col("value").alias("object"), "valid_from", "valid_to", "next_from", "recorded_from", "recorded_to"
+        "subject", "predicate", F.col("value").alias("object"), *[F.col(c).cast("string").alias(c) for c in ("valid_from", "valid_to", "next_from", "recorded_from", "recorded_to")]
     )
 
 
@@ -105,8 +106,8 @@ m AS (  -- moments at which the belief about a start changed: it was reported, o
          (SELECT min(o.s) FROM o WHERE o.subject IS NOT DISTINCT FROM m.subject AND o.predicate IS NOT DISTINCT FROM m.predicate AND o.s > m.s AND o.a <= m.a) AS nx
   FROM m
 )
-SELECT subject, predicate, said.v AS object, s AS valid_from, said.e AS valid_to, nx AS next_from, a AS recorded_from,
-       lead(a) OVER (PARTITION BY subject, predicate, s ORDER BY a) AS recorded_to
+SELECT subject, predicate, said.v AS object, CAST(s AS VARCHAR) AS valid_from, CAST(said.e AS VARCHAR) AS valid_to, CAST(nx AS VARCHAR) AS next_from, CAST(a AS VARCHAR) AS recorded_from,
+       CAST(lead(a) OVER (PARTITION BY subject, predicate, s ORDER BY a) AS VARCHAR) AS recorded_to
 FROM w""",
     "p6_found": """
 WITH RECURSIVE n AS (
