@@ -128,11 +128,38 @@ def entity_quality(index: DataFrame) -> DataFrame:
 def captions(images: DataFrame, blk: DataFrame, below: float = 100, above: float = 100, penalty: float = 200) -> DataFrame:
     """(image_id, text): an image's caption on its page: the nearest one within
     ``below`` under it or ``above`` over it, one above counting as ``penalty``
-    further away; else the nearest on the page, wherever it stands.
+    (``below`` at least) further away; else the nearest on the page, wherever it
+    stands.  Of equally near ones the upper, then the first by text.
+
+    ``images`` has image_id, page, y0, y1; ``blk`` page, y0, y1, text.  Images
+    and captions of a page are sorted once for each way in which one can be the
+    nearest, so they never meet pair by pair; each place is looked up once."""
+    marks = blk.where(F.col("page").isNotNull() & F.col("text").rlike(r"(?i)^(fig(ure)?|table)\.?\s*\d"))
+    marks = marks.groupBy("page", F.col("y0").alias("b0"), F.col("y1").alias("b1")).agg(F.min("text").alias("text"))
+    places = images.where("page is not null").select("page", "y0", "y1").distinct()
+
+    def sides(top: str, bottom: str, under: Column, over: Column, blank: Column, every: Column) -> Column:
+        """(way, at) of a box, in the order in which the nearest one comes last."""
+        middle = (F.col(top) + F.col(bottom)) / 2
+        at = [-under.cast("double"), over.cast("double"), middle.cast("double"), -middle.cast("double"), F.when(every, 0.0), F.when(blank, 0.0)]
+        ways = F.array(*[F.struct(F.lit(i).alias("way"), x.alias("at")) for i, x in enumerate(at)])
+        return F.explode(F.filter(ways, lambda w: w["at"].isNotNull()))
+
+    # The last two ways: boxes without a place are as far from all.
+    bare = lambda top, bottom: F.col(top).isNull() | F.col(bottom).isNull()
+    box = F.struct("b0", "b1", "text")
+    left = marks.select("page", sides("b0", "b1", F.col("b0"), F.col("b1"), bare("b0", "b1"), F.lit(True)).alias("w"), box.alias("mark"))
+    right = places.select("page", sides("y0", "y1", F.col("y1"), F.col("y0"), F.lit(True), bare("y0", "y1")).alias("w"), F.struct("y0", "y1").alias("place"))
+    rows = left.unionByName(right, allowMissingColumns=True).select("page", "w.*", "mark", "place")
+    nearest = Window.partitionBy("page", "way").orderBy(F.asc("at"), F.col("place").isNotNull(), F.desc_nulls_last("mark.b0"), F.desc("mark.text"))
+    met = rows.withColumn("mark", F.last("mark", ignorenulls=True).over(nearest.rowsBetween(Window.unboundedPreceding, 0)))
+    met = met.where("place is not null and mark is not null").select("page", "place.*", "mark.*")
 
-    ``images`` has image_id, page, y0, y1; ``blk`` page, y0, y1, text."""
-    rows = images.join(blk.where(F.col("text").rlike(r"(?i)^(fig(ure)?|table)\.?\s*\d")).select("page", F.col("y0").alias("b0"), F.col("y1").alias("b1"), "text"), "page")
     under, over = F.col("b0") - F.col("y1"), F.col("y0") - F.col("b1")
     gap = F.when((under >= 0) & (under < below), under).when((over >= 0) & (over < above), over + penalty)
     away = F.abs((F.col("b0") + F.col("b1")) / 2 - (F.col("y0") + F.col("y1")) / 2)
-    return rows.groupBy("image_id").agg(F.min_by("text", F.struct(gap.isNull().alias("far"), F.coalesce(gap, away).alias("gap"), "b0")).alias("text"))
+    key = F.struct(gap.isNull().alias("far"), F.coalesce(gap, away).alias("gap"), "b0", "text")
+    best = met.groupBy(F.col("page").alias("_p"), F.col("y0").alias("_0"), F.col("y1").alias("_1")).agg(F.min(key).alias("_k"))
+    same = (F.col("page") == F.col("_p")) & F.col("y0").eqNullSafe(F.col("_0")) & F.col("y1").eqNullSafe(F.col("_1"))
+    found = images.join(best, same).select("image_id", F.col("_k").alias("key"))
+    return found.groupBy("image_id").agg(F.min("key")["text"].alias("text"))
