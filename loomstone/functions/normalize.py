@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Mapping
 from functools import reduce
 
@@ -83,7 +84,66 @@ def apply_normalizers(df: DataFrame, normalizers: Mapping[str, Normalizer]) -> D
 
 @F.pandas_udf(T.DoubleType())
 def _matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+    """The ratio of longest matching blocks, once for each pair of a batch; null
+    where either is."""
+    known: dict = {}
+    match = difflib.SequenceMatcher(None)
+    for x, y in sorted({(x, y) for x, y in zip(a, b) if x is not None and y is not None}, key=lambda p: p[1]):
+        if match.b != y:
+            match.set_seq2(y)
+        match.set_seq1(x)
+        known[x, y] = match.ratio()
+    return pd.Series([known.get(p) for p in zip(a, b)], dtype=float)
+
+
+def _decided(a: Column, b: Column, prefix: Column) -> Column:
+    """What of two normalized names tells their similarity at once, else null."""
+    la, lb = F.length(a), F.length(b)
+    ratio = la / F.when(lb > 0, lb)
+    return F.when((la == 0) | (lb == 0), 0.0).when(a == b, 1.0).when(~prefix & ((ratio < 0.5) | (ratio > 2.0)), 0.0)
+
+
+def _prefix(a: Column, b: Column) -> Column:
+    return (F.least(F.length(a), F.length(b)) >= 3) & (F.startswith(a, b) | F.startswith(b, a))
+
+
+def normalized_similarity(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds the similarity of two columns of normalized names, null where either
+    is: 0 or 1 where blanks, equality or very unequal lengths tell, else the
+    ratio of longest matching blocks, 0.85 at least for a prefix."""
+    x, y = F.col(a), F.col(b)
+    prefix = _prefix(x, y)
+    open_ = _decided(x, y, prefix).isNull()
+    rows = df.withColumn("_r", _matching_ratio(F.when(open_, x), F.when(open_, y)))
+    ratio = F.when(prefix, F.greatest("_r", F.lit(0.85))).otherwise(F.col("_r"))
+    return rows.withColumn(out, F.when(x.isNotNull() & y.isNotNull(), F.coalesce(_decided(x, y, prefix), ratio))).drop("_r")
+
+
+@F.pandas_udf(T.StructType([T.StructField("bits", T.LongType()), T.StructField("rest", T.IntegerType()), T.StructField("size", T.IntegerType())]))
+def letters(s: pd.Series) -> pd.DataFrame:
+    """How often a normalized name has each letter: two bits for each of A to Z,
+    ten for all other characters; what they don't hold counts as rest; size is
+    its length."""
+    known: dict = {}
+    for name in set(s.dropna()):
+        bits, count = 0, Counter(c if "A" <= c <= "Z" else "" for c in name)
+        held = 0
+        for c, n in count.items():
+            at, most = (2 * (ord(c) - 65), 2) if c else (52, 10)
+            bits |= ((1 << min(n, most)) - 1) << at
+            held += min(n, most)
+        known[name] = bits, len(name) - held, len(name)
+    return pd.DataFrame([known.get(x, (0, 0, 0)) for x in s], columns=["bits", "rest", "size"])
+
+
+def similarity_bound(a: Column, b: Column) -> Column:
+    """What ``normalized_similarity`` doesn't exceed, from both names' ``letters``
+    alone: no more characters match than both have."""
+    common = F.bit_count(a["bits"].bitwiseAND(b["bits"])) + F.least(a["rest"], b["rest"])
+    least, most = F.least(a["size"], b["size"]), F.greatest(a["size"], b["size"])
+    ratio = 2.0 * common / (least + most)
+    # Only where the shorter name's letters are all in the longer one can it be a prefix.
+    return F.when(least == 0, 0.0).when((least >= 3) & (common >= least), F.greatest(ratio, F.lit(0.85))).when(least * 2 < most, 0.0).otherwise(ratio)
 
 
 def with_similarity(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -95,13 +155,7 @@ def with_similarity(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """
     na, nb = F.coalesce(normalize_name(F.col(a)), F.lit("")), F.coalesce(normalize_name(F.col(b)), F.lit(""))
     rows = df.withColumn("_a", na).withColumn("_b", nb)
-    la, lb = F.length("_a"), F.length("_b")
-    prefix = (F.least(la, lb) >= 3) & (F.startswith("_a", "_b") | F.startswith("_b", "_a"))
-    ratio = la / F.when(lb > 0, lb)
-    cheap = (
-        F.when((la == 0) | (lb == 0), 0.0).when(F.col("_a") == F.col("_b"), 1.0).when(~prefix & ((ratio < 0.5) | (ratio > 2.0)), 0.0)
-    )
-    rows = rows.withColumn(out, cheap).withColumn("_p", prefix)
+    rows = rows.withColumn("_p", _prefix(F.col("_a"), F.col("_b"))).withColumn(out, _decided(F.col("_a"), F.col("_b"), F.col("_p")))
     costly = rows.where(F.col(out).isNull()).withColumn("_r", _matching_ratio("_a", "_b"))
     costly = costly.withColumn(out, F.when(F.col("_p"), F.greatest("_r", F.lit(0.85))).otherwise(F.col("_r"))).drop("_r")
     return rows.where(F.col(out).isNotNull()).unionByName(costly).drop("_a", "_b", "_p")

@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.canonical import pairs_digest
-from loomstone.functions.normalize import is_empty, pytrim, scalars_equivalent, with_similarity
+from loomstone.functions.normalize import is_empty, letters, normalize_name, normalized_similarity, pytrim, scalars_equivalent, similarity_bound, with_similarity
 from loomstone.session import materialize
 
 # Confidence of each tier and the bounds of the fuzzy tiers.
 CONFIDENCE = {"exact": 0.95, "strong": 0.85, "probable": 0.70, "context": 0.50, "none": 0.0}
 STRONG, PROBABLE = 0.85, 0.65
+SLACK = 1e-9  # of bounds, for rounding
 
 
 @dataclass(frozen=True)
@@ -55,10 +56,11 @@ def fold(c: Column) -> Column:
     return F.lower(pytrim(c))
 
 
-def overlap(fields: list[tuple[Column, Column]]) -> Column:
+def overlap(fields: list[tuple[Column, Column]], folded: bool = False) -> Column:
     """Share of the fields present on both sides that agree."""
     both = [a.isNotNull() & b.isNotNull() for a, b in fields]
-    same = [F.when(p & (fold(a) == fold(b)), 1).otherwise(0) for p, (a, b) in zip(both, fields)]
+    alike = lambda a, b: a == b if folded else fold(a) == fold(b)
+    same = [F.when(p & alike(a, b), 1).otherwise(0) for p, (a, b) in zip(both, fields)]
     shared = reduce(lambda x, y: x + y, [F.when(p, 1).otherwise(0) for p in both])
     return F.when(shared > 0, reduce(lambda x, y: x + y, same) / shared).otherwise(0.0)
 
@@ -69,24 +71,47 @@ def resolve_exact(candidates: DataFrame, registry: DataFrame, schema: Schema) ->
     return candidates.withColumn("_d", signature(schema)).join(known, "_d").select("cid", "seq")
 
 
+def _side(rows: DataFrame, key: str, side: str, schema: Schema) -> DataFrame:
+    """The identity fields of one side as pairs compare them: folded, and the
+    fuzzy ones normalized with their letters.  A row's work is done here once,
+    not for each of its pairs."""
+    cols = [F.col(key), *[fold(F.col(f)).alias(f"{side}_{f}") for f in schema.identity]]
+    rows = rows.select(*cols, *[normalize_name(F.col(f)).alias(f"{side}n_{f}") for f in schema.fuzzy])
+    return materialize(rows.select("*", *[letters(F.col(f"{side}n_{f}")).alias(f"{side}l_{f}") for f in schema.fuzzy]))
+
+
+def _blank(side: str, f: str) -> Column:
+    return F.coalesce(F.col(f"{side}_{f}"), F.lit("")) == ""
+
+
+def _bounded(pairs: DataFrame, schema: Schema) -> DataFrame:
+    """Adds each pair's ``shared`` overlap and ``bound``, which its score
+    doesn't exceed, and keeps the pairs that can reach the least score."""
+    shared = overlap([(F.col(f"c_{f}"), F.col(f"r_{f}")) for f in schema.identity], folded=True)
+    most = [F.when(F.col(f"cn_{f}").isNotNull() & F.col(f"rn_{f}").isNotNull(), similarity_bound(F.col(f"cl_{f}"), F.col(f"rl_{f}"))) for f in schema.fuzzy]
+    count = reduce(lambda x, y: x + y, [F.when(b.isNull(), 0).otherwise(1) for b in most])
+    mean = reduce(lambda x, y: x + y, [F.coalesce(b, F.lit(0.0)) for b in most]) / F.when(count > 0, count)
+    rows = pairs.withColumn("shared", shared).withColumn("bound", (mean + F.col("shared")) / 2).where(F.col("bound") >= PROBABLE - SLACK)
+    names = [f"{side}n_{f}" for side in "cr" for f in schema.fuzzy]
+    return rows.select("cid", "seq", *names, "shared", "bound")
+
+
 def _blocked(candidates: DataFrame, registry: DataFrame, schema: Schema) -> DataFrame:
     """Pairs that contradict each other in no exact identity field.
 
     One equi-join for each set of exact fields that both sides have; pairs that
     share none are left to ``_wildcards``.
     """
-    left = candidates.select(F.col("cid"), *[F.col(f).alias(f"c_{f}") for f in schema.identity])
-    right = registry.select(F.col("seq"), *[F.col(f).alias(f"r_{f}") for f in schema.identity])
+    left, right = _side(candidates, "cid", "c", schema), _side(registry, "seq", "r", schema)
     parts = []
     for bits in range(1, 1 << len(schema.exact)):
         on = [f for i, f in enumerate(schema.exact) if bits >> i & 1]
         off = [f for f in schema.exact if f not in on]
-        key = lambda side: F.array(*[fold(F.col(f"{side}_{f}")) for f in on])
-        has = lambda side: reduce(lambda a, b: a & b, [~is_empty(F.col(f"{side}_{f}")) for f in on])
-        rows = left.where(has("c")).withColumn("_k", key("c")).join(right.where(has("r")).withColumn("_k", key("r")), "_k").drop("_k")
+        sides = [reduce(DataFrame.where, [~_blank(side, f) for f in on], rows) for side, rows in (("c", left), ("r", right))]
+        rows = sides[0].join(sides[1], reduce(lambda a, b: a & b, [F.col(f"c_{f}") == F.col(f"r_{f}") for f in on]))
         for f in off:  # wildcards only: both present would be another block
-            rows = rows.where(is_empty(F.col(f"c_{f}")) | is_empty(F.col(f"r_{f}")))
-        parts.append(rows)
+            rows = rows.where(_blank("c", f) | _blank("r", f))
+        parts.append(_bounded(rows, schema))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -99,39 +124,37 @@ def _wildcards(candidates: DataFrame, registry: DataFrame, schema: Schema, once:
     holds anything; with ``once``, of rows of the registry that are equal then
     only the one with the first ``seq`` is read."""
     flat = [F.when(is_empty(F.col(f)), F.col(f)).otherwise("*").alias(f) if f in schema.exact else F.col(f) for f in schema.identity]
-    left = candidates.select("cid", *flat).select("cid", *[F.col(f).alias(f"c_{f}") for f in schema.identity])
+    left = _side(candidates.select("cid", *flat), "cid", "c", schema)
     right = registry.select("seq", *flat)
     if once:
         right = right.groupBy(*schema.identity).agg(F.min("seq").alias("seq"))
-    right = right.select("seq", *[F.col(f).alias(f"r_{f}") for f in schema.identity])
+    right = _side(right, "seq", "r", schema)
     order = [*schema.fuzzy, *schema.exact]
-    usable = lambda side, f: F.col(f"{side}_{f}").isNotNull() & (is_empty(F.col(f"{side}_{f}")) if f in schema.exact else F.lit(True))
-    keys = lambda side: F.explode(F.array_compact(F.array(*[F.when(usable(side, f), F.struct(F.lit(i).alias("i"), fold(F.col(f"{side}_{f}")).alias("v"))) for i, f in enumerate(order)])))
+    usable = lambda side, f: F.col(f"{side}_{f}").isNotNull() & (_blank(side, f) if f in schema.exact else F.lit(True))
+    keys = lambda side: F.explode(F.array_compact(F.array(*[F.when(usable(side, f), F.struct(F.lit(i).alias("i"), F.col(f"{side}_{f}").alias("v"))) for i, f in enumerate(order)])))
     # Each registry row stands under every set of fields it lacks; a candidate under the set it has.
     sets = range(1 << len(schema.exact))
-    has = reduce(lambda x, y: x + y, [F.when(is_empty(F.col(f"c_{f}")), 0).otherwise(1 << i) for i, f in enumerate(schema.exact)], F.lit(0))
-    lacks = [reduce(lambda x, y: x & y, [is_empty(F.col(f"r_{f}")) for i, f in enumerate(schema.exact) if bits >> i & 1], F.lit(True)) for bits in sets]
+    has = reduce(lambda x, y: x + y, [F.when(_blank("c", f), 0).otherwise(1 << i) for i, f in enumerate(schema.exact)], F.lit(0))
+    lacks = [reduce(lambda x, y: x & y, [_blank("r", f) for i, f in enumerate(schema.exact) if bits >> i & 1], F.lit(True)) for bits in sets]
     left = left.withColumn("_k", keys("c")).withColumn("_p", has)
     right = right.withColumn("_k", keys("r")).withColumn("_p", F.explode(F.array_compact(F.array(*[F.when(x, F.lit(bits)) for bits, x in zip(sets, lacks)]))))
-    agree = [usable("c", f) & usable("r", f) & (fold(F.col(f"c_{f}")) == fold(F.col(f"r_{f}"))) for f in order]
-    pairs = left.join(right, ["_k", "_p"]).where(F.coalesce(*[F.when(x, F.lit(i)) for i, x in enumerate(agree)]) == F.col("_k.i"))
-    shared = overlap([(F.col(f"c_{f}"), F.col(f"r_{f}")) for f in schema.identity])
-    return pairs.drop("_k", "_p").where((1 + shared) / 2 >= PROBABLE - 1e-9)
+    agree = [usable("c", f) & usable("r", f) & (F.col(f"c_{f}") == F.col(f"r_{f}")) for f in order]
+    # Few rows make many pairs here: the tasks are not to be put together by size.
+    tasks = 4 * candidates.sparkSession.sparkContext.defaultParallelism
+    pairs = left.repartition(tasks, "_k", "_p").join(right.repartition(tasks, "_k", "_p"), ["_k", "_p"])
+    return _bounded(pairs.where(F.coalesce(*[F.when(x, F.lit(i)) for i, x in enumerate(agree)]) == F.col("_k.i")), schema)
 
 
 def _scored(pairs: DataFrame, schema: Schema) -> DataFrame:
     """(cid, seq, score, every): each pair's mean similarity and overlap, and
     whether every similarity reaches its field's least score."""
-    # Scoring branches on cheap and costly pairs; a written table keeps each
-    # branch from joining again.
+    rows = materialize(pairs)  # else the joins are made for each similarity
     for f in schema.fuzzy:
-        pairs = with_similarity(materialize(pairs), f"c_{f}", f"r_{f}", f"s_{f}")
-        pairs = pairs.withColumn(f"s_{f}", F.when(F.col(f"c_{f}").isNotNull() & F.col(f"r_{f}").isNotNull(), F.col(f"s_{f}")))
+        rows = normalized_similarity(rows, f"cn_{f}", f"rn_{f}", f"s_{f}")
     scores = F.array_compact(F.array(*[F.col(f"s_{f}") for f in schema.fuzzy]))
     mean = F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores))
-    shared = overlap([(F.col(f"c_{f}"), F.col(f"r_{f}")) for f in schema.identity])
     every = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"s_{f}") >= least, F.lit(True)) for f, least in schema.fuzzy.items()])
-    rows = pairs.withColumn("score", (mean + shared) / 2).withColumn("every", every).where("score is not null")
+    rows = rows.withColumn("score", (mean + F.col("shared")) / 2).withColumn("every", every).where("score is not null")
     return rows.select("cid", "seq", "score", "every")
 
 
@@ -163,7 +186,8 @@ def resolve_similar(candidates: DataFrame, registry: DataFrame, schema: Schema)
     wild = materialize(_best(_wildcards(once, registry, schema), schema)).withColumnRenamed("cid", "_g")
     best = alike.select("cid", "_g").join(wild, "_g").select("cid", "b")
     if schema.exact:
-        best = best.unionByName(_best(_blocked(candidates, registry, schema), schema)).groupBy("cid").agg(F.max("b").alias("b"))
+        blocked = _best(_blocked(candidates, registry, schema), schema)
+        best = best.unionByName(blocked).groupBy("cid").agg(F.max("b").alias("b"))
     return _tiered(best)
 
 
@@ -183,7 +207,10 @@ def resolve(candidates: DataFrame, registry: DataFrame, schema: Schema) -> DataF
     """(cid, seq, tier, confidence) for every candidate, the first tier that holds."""
     exact = resolve_exact(candidates, registry, schema).withColumn("tier", F.lit("exact"))
     left = candidates.join(exact, "cid", "left_anti")
-    fuzzy = resolve_similar(left, registry, schema).select("cid", "seq", "tier") if schema.fuzzy else exact.limit(0)
+    fuzzy = exact.limit(0)
+    if schema.fuzzy:
+        left = materialize(left)
+        fuzzy = materialize(resolve_similar(left, registry, schema).select("cid", "seq", "tier"))
     left = left.join(fuzzy, "cid", "left_anti")
     context = resolve_context(left, registry, schema).withColumn("tier", F.lit("context")) if schema.context else exact.limit(0)
     found = exact.unionByName(fuzzy).unionByName(context)
