@@ -262,6 +262,27 @@ def ancestor_pairs(edges: DataFrame, solved: DataFrame) -> DataFrame:
     return pairs.select("v", F.col("a").alias("ancestor"), "distance")
 
 
+def descendant_pairs(links: DataFrame, task_nodes: int = TASK_NODES) -> DataFrame:
+    """(hierarchy, node_id, descendant_id): each node with every other node that
+    is below it, on and below cycles too.
+
+    The result is as large as the sum of all depths; a cycle's is the square of
+    its length, as each of its nodes is below all others."""
+    nodes, edges = numbered_forest(links)
+    solved = materialize(solve_forest(edges, task_nodes))
+    pairs = ancestor_pairs(edges, solved).where("distance > 0").select("v", F.col("ancestor").alias("a"))
+    # Where the way up never ends, pairs meet pairs until none is new.
+    loops = materialize(edges.join(solved.where("depth < 0"), "v", "left_semi").select("v", F.col("p").alias("a")))
+    known, count = 0, loops.count()
+    while count > known:
+        longer = loops.join(loops.select(F.col("v").alias("a"), F.col("a").alias("b")), "a").select("v", F.col("b").alias("a"))
+        loops = materialize(loops.unionByName(longer).distinct())
+        known, count = count, loops.count()
+    names = nodes.select(F.col("v").alias("a"), "hierarchy", "node_id")
+    below = nodes.select("v", F.col("node_id").alias("descendant_id"))
+    return pairs.unionByName(loops.where("v != a")).join(names, "a").join(below, "v").select("hierarchy", "node_id", "descendant_id")
+
+
 def expand_hierarchy(links: DataFrame, task_nodes: int = TASK_NODES) -> DataFrame:
     """Per node: root, depth, full path from the root, number of descendants.
 

@@ -43,7 +43,12 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("descendants", F.coalesce("descendants", F.lit(-1)))
 
 
-QUERIES = {"p6_descendants": p6_descendants, "p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_paths": p6_paths}
+def p6_below(spark: SparkSession, d: str) -> DataFrame:
+    """Which nodes are below each node, on and below cycles too."""
+    return hierarchy.descendant_pairs(_links(spark, d))
+
+
+QUERIES = {"p6_below": p6_below, "p6_descendants": p6_descendants, "p4_found": p4_found, "p4_ledger": p4_ledger, "p6_found": p6_found, "p6_paths": p6_paths}
 
 _REPORTS = """
 WITH r AS (
@@ -73,7 +78,23 @@ WITH RECURSIVE n AS (
 SELECT n.hierarchy, n.node_id, COALESCE(c.m - 1, -1) AS descendants
 FROM n LEFT JOIN (SELECT hierarchy, a, count(*) AS m FROM (SELECT hierarchy, unnest(ids) AS a FROM t) GROUP BY ALL) c ON c.hierarchy = n.hierarchy AND c.a = n.k"""
 
+_PAIRS = """
+WITH RECURSIVE n AS (
+  SELECT hierarchy, lower(trim(id)) AS k, min(id) AS node_id, max(nullif(lower(trim(parent)), '')) AS p
+  FROM (SELECT 'shard' AS hierarchy, shard_id AS id, parent_shard_id AS parent FROM shards
+        UNION ALL SELECT 'token', token_id, parent_cap_id FROM entitlement_tokens)
+  GROUP BY ALL
+), e AS (SELECT n.hierarchy, n.k, n.p FROM n JOIN n q ON n.hierarchy = q.hierarchy AND n.p = q.k), t AS (
+  SELECT hierarchy, k, p AS a FROM e
+  UNION
+  SELECT t.hierarchy, t.k, e.p FROM t JOIN e ON e.hierarchy = t.hierarchy AND e.k = t.a
+)
+SELECT t.hierarchy, u.node_id, n.node_id AS descendant_id
+FROM t JOIN n ON n.hierarchy = t.hierarchy AND n.k = t.k JOIN n u ON u.hierarchy = t.hierarchy AND u.k = t.a
+WHERE t.k <> t.a"""
+
 SQL = {
+    "p6_below": _PAIRS,
     "p6_descendants": _BELOW,
     "p4_found": _REPORTS
     + """, m AS (
